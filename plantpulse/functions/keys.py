@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import payload as P
+from .payload import Payload
 
 
 def dedupe_key(site_id: Column, signal_id: Column, ts_source_text: Column, seq: Column) -> Column:
@@ -13,24 +13,24 @@ def dedupe_key(site_id: Column, signal_id: Column, ts_source_text: Column, seq:
     return F.concat_ws(":", site_id, signal_id, ts_source_text, seq.cast("string"))
 
 
-def message_key(body: Column, channel: Column, site_id: Column, asset_id: Column) -> Column:
+def message_key(p: Payload, channel: Column, site_id: Column, asset_id: Column) -> Column:
     """The event id; else the dedupe key of telemetry or the command id; else a composite.
 
     Site and asset come from the device topic, the rest from the payload.
     """
     telemetry = dedupe_key(
-        P.text(body, "siteId"), P.text(body, "signalId"), P.text(body, "ts_source"), P.whole_number(body, "seq")
+        p.text("siteId"), p.text("signalId"), p.text("ts_source"), p.whole_number("seq")
     )
     composite = F.concat_ws(
         ":",
         site_id,
         asset_id,
-        F.coalesce(P.text(body, "signalId"), channel),
-        F.coalesce(P.text(body, "ts_source"), P.text(body, "timestamp"), F.lit("na")),
+        F.coalesce(p.text("signalId"), channel),
+        F.coalesce(p.text("ts_source"), p.text("timestamp"), F.lit("na")),
     )
     return (
-        F.when(P.present(body, "eventId"), P.text(body, "eventId"))
+        F.when(p.present("eventId"), p.text("eventId"))
         .when(channel == "telemetry", telemetry)
-        .when(channel == "command/request", P.text(body, "commandId"))
+        .when(channel == "command/request", p.text("commandId"))
         .otherwise(composite)
     )

@@ -1,12 +1,16 @@
-"""Column helpers for JSON payloads held as VARIANT.
+"""Fields of JSON payloads held as VARIANT.
 
-A payload is parsed once with ``try_parse_json`` and then read field by field, so a
-field of an unexpected type costs only that field, never the whole row.
+A payload is parsed once with ``try_parse_json``. The fields a contract looks at are then
+read once each into a struct of text and type name (``fields_struct``), and all rules work
+on that struct through ``Payload``. A field of an unexpected type costs only that field,
+never the whole row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the decimal numbers accepted inside JSON strings.
@@ -19,77 +23,83 @@ ISO_TIMESTAMP = (
 )
 
 
-def node(body: Column, name: str) -> Column:
-    """The field as VARIANT: NULL when absent, a VARIANT null when it is JSON null."""
-    return F.try_variant_get(body, f"$.{name}", "variant")
-
-
-def kind(value: Column) -> Column:
-    """Type name of a VARIANT, for example BIGINT, STRING, VOID or OBJECT<...>."""
-    return F.schema_of_variant(value)
-
-
-def present(body: Column, name: str) -> Column:
-    return node(body, name).isNotNull()
-
-
-def text(body: Column, name: str) -> Column:
-    """Field as text; NULL when absent or JSON null."""
-    return F.try_variant_get(body, f"$.{name}", "string")
-
-
-def display(body: Column, name: str) -> Column:
-    """Field as text where a boolean reads True or False, as union-typed fields are shown."""
-    shown = text(body, name)
-    return F.when(kind(node(body, name)) == "BOOLEAN", F.initcap(shown)).otherwise(shown)
-
-
-def canonical(value: Column) -> Column:
-    """Compact JSON with sorted keys."""
-    return F.to_json(value)
-
-
-def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
-
-
-def is_number(value: Column) -> Column:
-    name = kind(value)
-    return name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
-
-
-def truthy(body: Column, name: str) -> Column:
-    """Field as a condition: empty text, zero, null, absent and empty containers are false."""
-    value = node(body, name)
-    name_of = kind(value)
-    shown = text(body, name)
-    return (
-        F.when(name_of == "BOOLEAN", shown == "true")
-        .when(is_number(value), F.try_variant_get(body, f"$.{name}", "double") != 0.0)
-        .when(name_of == "STRING", shown != "")
-        .when(name_of.startswith("OBJECT"), canonical(value) != "{}")
-        .when(name_of.startswith("ARRAY"), canonical(value) != "[]")
-        .otherwise(F.lit(False))
-    )
-
-
-def whole_number(body: Column, name: str) -> Column:
-    """Field as a whole number: fractions are cut, digits in text are read, booleans are 0 or 1."""
-    value = node(body, name)
-    return F.when(
-        is_number(value) | kind(value).isin("STRING", "BOOLEAN"),
-        F.try_variant_get(body, f"$.{name}", "bigint"),
-    )
-
-
-def number(body: Column, name: str) -> Column:
-    """Field as double: numbers, booleans and numbers in text; anything else is NULL."""
-    value = node(body, name)
-    as_double = F.try_variant_get(body, f"$.{name}", "double")
-    finite = F.when(F.abs(as_double) < F.lit(float("inf")), as_double)
-    return F.when(is_number(value) | (kind(value) == "BOOLEAN"), finite).when(
-        (kind(value) == "STRING") & text(body, name).rlike(NUMBER_TEXT), finite
-    )
+@dataclass(frozen=True)
+class Payload:
+    """Column builders over a parsed message: ``raw`` text, ``body`` VARIANT, ``fields`` struct."""
+
+    raw: str = "raw"
+    body: str = "body"
+    fields: str = "fields"
+
+    def is_json(self) -> Column:
+        return F.col(self.body).isNotNull()
+
+    def is_object(self) -> Column:
+        """For text known to be JSON: an object starts with a brace."""
+        return F.col(self.raw).rlike(r"^\s*\{")
+
+    def text(self, name: str) -> Column:
+        """Field as text; NULL when absent or JSON null."""
+        return F.col(f"{self.fields}.{name}.text")
+
+    def kind(self, name: str) -> Column:
+        """Type name of the field, for example BIGINT, STRING, VOID or OBJECT<...>; NULL when absent."""
+        return F.col(f"{self.fields}.{name}.kind")
+
+    def present(self, name: str) -> Column:
+        return self.kind(name).isNotNull()
+
+    def get(self, name: str, as_type: str) -> Column:
+        return F.try_variant_get(F.col(self.body), f"$.{name}", as_type)
+
+    def canonical(self, name: str | None = None) -> Column:
+        """The whole payload or one field as compact JSON with sorted keys."""
+        return F.to_json(F.col(self.body) if name is None else self.get(name, "variant"))
+
+    def display(self, name: str) -> Column:
+        """Field as text where a boolean reads True or False, as union-typed fields are shown."""
+        return F.when(self.kind(name) == "BOOLEAN", F.initcap(self.text(name))).otherwise(self.text(name))
+
+    def is_number(self, name: str) -> Column:
+        return self.kind(name).isin("BIGINT", "DOUBLE") | self.kind(name).startswith("DECIMAL")
+
+    def truthy(self, name: str) -> Column:
+        """Field as a condition: empty text, zero, null, absent and empty containers are false."""
+        kind, text = self.kind(name), self.text(name)
+        return (
+            F.when(kind == "BOOLEAN", text == "true")
+            .when(self.is_number(name), self.get(name, "double") != 0.0)
+            .when(kind == "STRING", text != "")
+            .when(kind.startswith("OBJECT"), text != "{}")
+            .when(kind.startswith("ARRAY"), text != "[]")
+            .otherwise(F.lit(False))
+        )
+
+    def whole_number(self, name: str) -> Column:
+        """Field as a whole number: fractions are cut, digits in text are read, booleans are 0 or 1."""
+        return F.when(self.is_number(name) | self.kind(name).isin("STRING", "BOOLEAN"), self.get(name, "bigint"))
+
+    def number(self, name: str) -> Column:
+        """Field as double: numbers, booleans and numbers in text; anything else is NULL."""
+        as_double = self.get(name, "double")
+        finite = F.when(F.abs(as_double) < F.lit(float("inf")), as_double)
+        return F.when(self.is_number(name) | (self.kind(name) == "BOOLEAN"), finite).when(
+            (self.kind(name) == "STRING") & self.text(name).rlike(NUMBER_TEXT), finite
+        )
+
+
+def with_payload(messages: DataFrame, raw: Column, names: list[str], payload: Payload = Payload()) -> DataFrame:
+    """Add the raw text, the parsed body and the struct of the named fields."""
+    parsed = messages.withColumn(payload.raw, raw)
+    parsed = parsed.withColumn(payload.body, F.try_parse_json(payload.raw))
+    fields = [
+        F.struct(
+            payload.get(n, "string").alias("text"),
+            F.schema_of_variant(payload.get(n, "variant")).alias("kind"),
+        ).alias(n)
+        for n in names
+    ]
+    return parsed.withColumn(payload.fields, F.struct(*fields))
 
 
 def timestamp(raw: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REJECTED = "rejected"
@@ -32,3 +32,13 @@ def first_failure(rules: list[Rule]) -> Column:
             for r in rules
         ]
     )
+
+
+def with_failure(df: DataFrame, failure: Column) -> DataFrame:
+    """Add the ``failure`` column so that it is worked out once per row.
+
+    A filter on a plain column is moved below the projection and takes a second copy of the
+    whole rule list along. A filter on a generated column stays above, so the column is
+    generated, as the one element of an array.
+    """
+    return df.withColumn("failure", F.explode(F.array(failure)))

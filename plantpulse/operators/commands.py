@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import payload as P
 from ..functions.constants import COMMAND_ACK_TIMEOUT_SECONDS, COMMAND_POLICY_FIELDS
+from ..functions.payload import Payload, with_payload
 from ..functions.times import literal
 
 
@@ -17,11 +17,12 @@ def permitted_commands(messages: DataFrame, allowed_topics: DataFrame) -> DataFr
 
     A field counts as given when it is neither absent nor null nor empty text.
     """
-    body = F.col("_body")
+    p = Payload("_raw", "_body", "_fields")
+    parsed = with_payload(messages, F.col("raw"), COMMAND_POLICY_FIELDS, p)
     given = F.lit(True)
     for name in COMMAND_POLICY_FIELDS:
-        given = given & (F.coalesce(P.text(body, name), F.lit("")) != "")
-    complete = messages.withColumn("_body", F.try_parse_json("raw")).filter(given).drop("_body")
+        given = given & (F.coalesce(p.text(name), F.lit("")) != "")
+    complete = parsed.filter(given).select(*messages.columns)
     return complete.join(allowed_topics.select("topic"), "topic", "left_semi")
 
 

@@ -1,7 +1,7 @@
 """Message contracts: rules and typed fields of the four envelopes.
 
 Each contract offers its rules (a list evaluated first-failure-first) and its typed
-columns, both over a VARIANT ``body``. Two modes exist. ``lenient`` fills defaults and
+columns, both over a parsed ``Payload``. Two modes exist. ``lenient`` fills defaults and
 ignores unknown keys; ``strict`` also demands the optional envelope fields, rejects
 unknown keys and checks JSON types.
 """
@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import payload as P
 from ..functions.constants import (
     APPROVAL_STATES,
     COMMAND_PRIORITIES,
     QUALITY_LEVELS,
     SAMPLING_CLASSES,
 )
-from ..functions.rules import MALFORMED, Rule, first_failure, rule
+from ..functions.payload import Payload, timestamp, with_payload
+from ..functions.rules import MALFORMED, Rule, first_failure, rule, with_failure
 
 LENIENT = "lenient"
 STRICT = "strict"
@@ -39,185 +39,188 @@ MODEL_OPTIONAL = ["rollbackVersion"]
 # --- shared rules ---------------------------------------------------------------------
 
 
-def payload_rules(raw: Column, body: Column) -> list[Rule]:
+def payload_rules(p: Payload) -> list[Rule]:
     return [
-        rule(body.isNull(), "payload is not valid JSON"),
-        rule(~P.is_object(body), "payload is not an object", MALFORMED),
+        rule(~p.is_json(), "payload is not valid JSON"),
+        rule(~p.is_object(), "payload is not an object", MALFORMED),
     ]
 
 
-def _missing(body: Column, names: list[str]) -> list[Rule]:
-    return [rule(~P.present(body, n), f"{n} is missing") for n in names]
+def _missing(p: Payload, names: list[str]) -> list[Rule]:
+    return [rule(~p.present(n), f"{n} is missing") for n in names]
 
 
-def _required_text(body: Column, names: dict[str, str]) -> list[Rule]:
+def _required_text(p: Payload, names: dict[str, str]) -> list[Rule]:
     """JSON null counts as empty."""
-    return [rule(F.coalesce(P.text(body, key), F.lit("")) == "", f"{label} is required") for key, label in names.items()]
+    return [rule(F.coalesce(p.text(key), F.lit("")) == "", f"{label} is required") for key, label in names.items()]
 
 
 def _one_of(value: Column, allowed: list[str], label: str) -> Rule:
     return rule(~F.coalesce(value.isin(*allowed), F.lit(False)), f"{label} is invalid")
 
 
-def _timestamp_rule(body: Column, name: str) -> Rule:
-    raw = P.text(body, name)
+def _timestamp_rule(p: Payload, name: str) -> Rule:
+    raw = p.text(name)
     return rule(
-        P.timestamp(raw).isNull(), F.concat(F.lit("Invalid timestamp: "), F.coalesce(raw, F.lit("null")))
+        timestamp(raw).isNull(), F.concat(F.lit("Invalid timestamp: "), F.coalesce(raw, F.lit("null")))
     )
 
 
-def _object_if_present(body: Column, name: str) -> Rule:
-    return rule(P.present(body, name) & ~P.is_object(P.node(body, name)), f"{name} is not an object", MALFORMED)
+def _object_if_present(p: Payload, name: str) -> Rule:
+    return rule(p.present(name) & ~p.kind(name).startswith("OBJECT"), f"{name} is not an object", MALFORMED)
 
 
-def _strict_keys(body: Column, required: list[str], allowed: list[str]) -> list[Rule]:
-    keys = F.map_keys(F.try_variant_get(body, "$", "map<string,variant>"))
+def _strict_keys(p: Payload, required: list[str], allowed: list[str]) -> list[Rule]:
+    keys = F.map_keys(F.try_variant_get(F.col(p.body), "$", "map<string,variant>"))
     unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(x) for x in allowed])))
-    return _missing(body, required) + [
+    return _missing(p, required) + [
         rule(F.size(unknown) > 0, F.concat(F.lit("unknown key: "), F.get(unknown, F.lit(0)))),
     ]
 
 
-def _typed(body: Column, names: list[str], wanted: str) -> list[Rule]:
+def _typed(p: Payload, names: list[str], wanted: str) -> list[Rule]:
     """Strict type check on fields that are present; ``wanted`` is the name used in messages."""
     out = []
     for name in names:
-        value = P.node(body, name)
-        type_of = P.kind(value)
+        type_of = p.kind(name)
         ok = {
             "string": type_of == "STRING",
             "boolean": type_of == "BOOLEAN",
             "object": type_of.startswith("OBJECT"),
-            "integer": P.is_number(value)
-            & (F.try_variant_get(body, f"$.{name}", "double") == F.floor(F.try_variant_get(body, f"$.{name}", "double"))),
-            "scalar": P.is_number(value) | type_of.isin("STRING", "BOOLEAN"),
+            "integer": p.is_number(name)
+            & (p.get(name, "double") == F.floor(p.get(name, "double"))),
+            "scalar": p.is_number(name) | type_of.isin("STRING", "BOOLEAN"),
         }[wanted]
-        out.append(rule(value.isNotNull() & ~ok, f"{name} must be of type {wanted}"))
+        out.append(rule(p.present(name) & ~ok, f"{name} must be of type {wanted}"))
     return out
 
 
-def _map_values(body: Column, name: str, wanted: str) -> Rule:
+def _number_type(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+
+
+def _map_values(p: Payload, name: str, wanted: str) -> Rule:
     """Every value of an object field has the wanted type."""
-    values = F.map_values(F.try_variant_get(body, f"$.{name}", "map<string,variant>"))
+    values = F.map_values(p.get(name, "map<string,variant>"))
     if wanted == "string":
         ok = F.forall(values, lambda v: F.schema_of_variant(v) == "STRING")
     else:
-        ok = F.forall(values, P.is_number)
+        ok = F.forall(values, lambda v: _number_type(F.schema_of_variant(v)))
     return rule(~ok, f"{name} values must be of type {wanted}")
 
 
 # --- telemetry ------------------------------------------------------------------------
 
 
-def telemetry_rules(raw: Column, body: Column, mode: str = LENIENT) -> list[Rule]:
-    seq = P.whole_number(body, "seq")
-    seq_kind = P.kind(P.node(body, "seq"))
-    rules = payload_rules(raw, body)
+def telemetry_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
+    seq = p.whole_number("seq")
+    seq_kind = p.kind("seq")
+    rules = payload_rules(p)
     if mode == STRICT:
-        rules += _strict_keys(body, TELEMETRY_REQUIRED + TELEMETRY_STRICT, TELEMETRY_REQUIRED + TELEMETRY_OPTIONAL)
+        rules += _strict_keys(p, TELEMETRY_REQUIRED + TELEMETRY_STRICT, TELEMETRY_REQUIRED + TELEMETRY_OPTIONAL)
         rules += _typed(
-            body, ["eventId", "siteId", "assetId", "signalId", "quality", "ts_source", "ts_ingest", "unit", "traceId"], "string"
+            p, ["eventId", "siteId", "assetId", "signalId", "quality", "ts_source", "ts_ingest", "unit", "traceId"], "string"
         )
-        rules += _typed(body, ["seq"], "integer") + _typed(body, ["value"], "scalar") + _typed(body, ["tags"], "object")
-        rules += [_map_values(body, "tags", "string")]
-    rules += _missing(body, TELEMETRY_REQUIRED)
+        rules += _typed(p, ["seq"], "integer") + _typed(p, ["value"], "scalar") + _typed(p, ["tags"], "object")
+        rules += [_map_values(p, "tags", "string")]
+    rules += _missing(p, TELEMETRY_REQUIRED)
     rules += [
         rule(
             (seq_kind == "VOID") | seq_kind.startswith("OBJECT") | seq_kind.startswith("ARRAY"),
             "seq is not a number", MALFORMED,
         ),
         rule(seq.isNull(), "seq is not a whole number"),
-        _object_if_present(body, "tags"),
+        _object_if_present(p, "tags"),
     ]
     rules += _required_text(
-        body, {"eventId": "event_id", "siteId": "site_id", "assetId": "asset_id", "signalId": "signal_id"}
+        p, {"eventId": "event_id", "siteId": "site_id", "assetId": "asset_id", "signalId": "signal_id"}
     )
     rules += [
-        _one_of(P.text(body, "quality"), QUALITY_LEVELS, "quality"),
-        _timestamp_rule(body, "ts_source"),
-        _timestamp_rule(body, "ts_ingest"),
+        _one_of(p.text("quality"), QUALITY_LEVELS, "quality"),
+        _timestamp_rule(p, "ts_source"),
+        _timestamp_rule(p, "ts_ingest"),
         rule(seq < 0, "seq must be non-negative"),
     ]
     return rules
 
 
-def value_rules(body: Column) -> list[Rule]:
+def value_rules(p: Payload) -> list[Rule]:
     """The extra rules of a measurement: its value has to be numeric."""
-    shown = P.text(body, "value")
-    type_of = P.kind(P.node(body, "value"))
-    supported = P.is_number(P.node(body, "value")) | type_of.isin("STRING", "BOOLEAN")
+    shown = p.text("value")
+    type_of = p.kind("value")
+    supported = p.is_number("value") | type_of.isin("STRING", "BOOLEAN")
     return [
         rule(~supported, "Unsupported telemetry value type"),
-        rule(P.number(body, "value").isNull(), F.concat(F.lit("Telemetry value is not numeric: "), shown)),
+        rule(p.number("value").isNull(), F.concat(F.lit("Telemetry value is not numeric: "), shown)),
     ]
 
 
-def telemetry_fields(body: Column) -> dict[str, Column]:
+def telemetry_fields(p: Payload) -> dict[str, Column]:
     empty_tags = F.lit("{}")
     return {
-        "event_id": P.text(body, "eventId"),
-        "site_id": P.text(body, "siteId"),
-        "asset_id": P.text(body, "assetId"),
-        "signal_id": P.text(body, "signalId"),
-        "quality": P.text(body, "quality"),
-        "ts_source": P.timestamp(P.text(body, "ts_source")),
-        "ts_ingest": P.timestamp(P.text(body, "ts_ingest")),
-        "seq": P.whole_number(body, "seq"),
-        "unit": F.coalesce(P.text(body, "unit"), F.lit("")),
-        "value": P.number(body, "value"),
-        "tags": F.coalesce(P.canonical(P.node(body, "tags")), empty_tags),
-        "trace_id": F.coalesce(P.text(body, "traceId"), F.lit("")),
+        "event_id": p.text("eventId"),
+        "site_id": p.text("siteId"),
+        "asset_id": p.text("assetId"),
+        "signal_id": p.text("signalId"),
+        "quality": p.text("quality"),
+        "ts_source": timestamp(p.text("ts_source")),
+        "ts_ingest": timestamp(p.text("ts_ingest")),
+        "seq": p.whole_number("seq"),
+        "unit": F.coalesce(p.text("unit"), F.lit("")),
+        "value": p.number("value"),
+        "tags": F.coalesce(p.canonical("tags"), empty_tags),
+        "trace_id": F.coalesce(p.text("traceId"), F.lit("")),
     }
 
 
 # --- commands -------------------------------------------------------------------------
 
 
-def command_rules(raw: Column, body: Column, mode: str = LENIENT) -> list[Rule]:
-    priority = F.when(P.present(body, "priority"), P.text(body, "priority")).otherwise(F.lit("medium"))
-    reference = F.coalesce(P.text(body, "approvalReference"), F.lit(""))
-    rules = payload_rules(raw, body)
+def command_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
+    priority = F.when(p.present("priority"), p.text("priority")).otherwise(F.lit("medium"))
+    reference = F.coalesce(p.text("approvalReference"), F.lit(""))
+    rules = payload_rules(p)
     if mode == STRICT:
-        rules += _strict_keys(body, COMMAND_REQUIRED + COMMAND_STRICT, COMMAND_REQUIRED + COMMAND_OPTIONAL)
+        rules += _strict_keys(p, COMMAND_REQUIRED + COMMAND_STRICT, COMMAND_REQUIRED + COMMAND_OPTIONAL)
         rules += _typed(
-            body,
+            p,
             ["commandId", "siteId", "assetId", "targetSignal", "requestedBy", "priority", "approvalReference", "expiresAt"],
             "string",
         )
-        rules += _typed(body, ["approved"], "boolean") + _typed(body, ["requestedValue"], "scalar")
-    rules += _missing(body, COMMAND_REQUIRED)
+        rules += _typed(p, ["approved"], "boolean") + _typed(p, ["requestedValue"], "scalar")
+    rules += _missing(p, COMMAND_REQUIRED)
     rules += _required_text(
-        body,
+        p,
         {
             "commandId": "command_id", "siteId": "site_id", "assetId": "asset_id",
             "targetSignal": "target_signal", "requestedBy": "requested_by",
         },
     )
     # Strict mode ties the reference to an explicit approved=false only.
-    not_approved = ~P.truthy(body, "approved")
+    not_approved = ~p.truthy("approved")
     if mode == STRICT:
-        not_approved = not_approved & P.present(body, "approved")
+        not_approved = not_approved & p.present("approved")
     rules += [
         _one_of(priority, COMMAND_PRIORITIES, "priority"),
         rule(not_approved & (reference != ""), "approval_reference requires approval"),
-        _timestamp_rule(body, "expiresAt"),
+        _timestamp_rule(p, "expiresAt"),
     ]
     return rules
 
 
-def command_fields(body: Column) -> dict[str, Column]:
-    approved = P.truthy(body, "approved")
+def command_fields(p: Payload) -> dict[str, Column]:
+    approved = p.truthy("approved")
     return {
-        "command_id": P.text(body, "commandId"),
-        "site_id": P.text(body, "siteId"),
-        "asset_id": P.text(body, "assetId"),
-        "target_signal": P.text(body, "targetSignal"),
-        "requested_value": F.coalesce(P.display(body, "requestedValue"), F.lit("None")),
-        "requested_by": P.text(body, "requestedBy"),
-        "priority": F.coalesce(P.text(body, "priority"), F.lit("medium")),
+        "command_id": p.text("commandId"),
+        "site_id": p.text("siteId"),
+        "asset_id": p.text("assetId"),
+        "target_signal": p.text("targetSignal"),
+        "requested_value": F.coalesce(p.display("requestedValue"), F.lit("None")),
+        "requested_by": p.text("requestedBy"),
+        "priority": F.coalesce(p.text("priority"), F.lit("medium")),
         "approved": approved,
-        "approval_reference": F.coalesce(P.text(body, "approvalReference"), F.lit("")),
-        "expires_at": P.timestamp(P.text(body, "expiresAt")),
+        "approval_reference": F.coalesce(p.text("approvalReference"), F.lit("")),
+        "expires_at": timestamp(p.text("expiresAt")),
         "status": command_status(approved),
     }
 
@@ -229,78 +232,79 @@ def command_status(approved: Column) -> Column:
 # --- devices and models ---------------------------------------------------------------
 
 
-def device_rules(raw: Column, body: Column, mode: str = LENIENT) -> list[Rule]:
-    rules = payload_rules(raw, body)
+def device_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
+    rules = payload_rules(p)
     if mode == STRICT:
-        rules += _strict_keys(body, DEVICE_REQUIRED, DEVICE_REQUIRED + DEVICE_OPTIONAL)
-        rules += _typed(body, ["siteId", "assetId", "deviceId", "protocol", "samplingClass"], "string")
-        rules += _typed(body, ["signalMap", "units", "thresholds", "ownershipTags"], "object")
-        rules += [_map_values(body, n, "string") for n in ("signalMap", "units", "ownershipTags")]
-        rules += [_map_values(body, "thresholds", "number")]
-    rules += _missing(body, DEVICE_REQUIRED)
-    rules += [_object_if_present(body, n) for n in ("signalMap", "units", "thresholds", "ownershipTags")]
+        rules += _strict_keys(p, DEVICE_REQUIRED, DEVICE_REQUIRED + DEVICE_OPTIONAL)
+        rules += _typed(p, ["siteId", "assetId", "deviceId", "protocol", "samplingClass"], "string")
+        rules += _typed(p, ["signalMap", "units", "thresholds", "ownershipTags"], "object")
+        rules += [_map_values(p, n, "string") for n in ("signalMap", "units", "ownershipTags")]
+        rules += [_map_values(p, "thresholds", "number")]
+    rules += _missing(p, DEVICE_REQUIRED)
+    rules += [_object_if_present(p, n) for n in ("signalMap", "units", "thresholds", "ownershipTags")]
     rules += _required_text(
-        body, {"siteId": "site_id", "assetId": "asset_id", "deviceId": "device_id", "protocol": "protocol"}
+        p, {"siteId": "site_id", "assetId": "asset_id", "deviceId": "device_id", "protocol": "protocol"}
     )
     rules += [
-        rule(F.size(_string_map(body, "signalMap")) == 0, "signal_map is required"),
-        _one_of(P.text(body, "samplingClass"), SAMPLING_CLASSES, "sampling_class"),
+        rule(F.size(_string_map(p, "signalMap")) == 0, "signal_map is required"),
+        _one_of(p.text("samplingClass"), SAMPLING_CLASSES, "sampling_class"),
     ]
     return rules
 
 
-def _string_map(body: Column, name: str) -> Column:
-    return F.try_variant_get(body, f"$.{name}", "map<string,string>")
+def _string_map(p: Payload, name: str) -> Column:
+    return p.get(name, "map<string,string>")
 
 
-def device_fields(body: Column) -> dict[str, Column]:
+def device_fields(p: Payload) -> dict[str, Column]:
     return {
-        "site_id": P.text(body, "siteId"),
-        "asset_id": P.text(body, "assetId"),
-        "device_id": P.text(body, "deviceId"),
-        "protocol": P.text(body, "protocol"),
-        "signal_map": _string_map(body, "signalMap"),
-        "units": _string_map(body, "units"),
-        "sampling_class": P.text(body, "samplingClass"),
+        "site_id": p.text("siteId"),
+        "asset_id": p.text("assetId"),
+        "device_id": p.text("deviceId"),
+        "protocol": p.text("protocol"),
+        "signal_map": _string_map(p, "signalMap"),
+        "units": _string_map(p, "units"),
+        "sampling_class": p.text("samplingClass"),
         "thresholds": F.coalesce(
-            F.try_variant_get(body, "$.thresholds", "map<string,double>"), F.create_map().cast("map<string,double>")
+            p.get("thresholds", "map<string,double>"), F.create_map().cast("map<string,double>")
         ),
-        "ownership_tags": F.coalesce(_string_map(body, "ownershipTags"), F.create_map().cast("map<string,string>")),
+        "ownership_tags": F.coalesce(_string_map(p, "ownershipTags"), F.create_map().cast("map<string,string>")),
     }
 
 
-def model_rules(raw: Column, body: Column, mode: str = LENIENT) -> list[Rule]:
-    rules = payload_rules(raw, body)
+def model_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
+    rules = payload_rules(p)
     if mode == STRICT:
-        rules += _strict_keys(body, MODEL_REQUIRED, MODEL_REQUIRED + MODEL_OPTIONAL)
-        rules += _typed(body, MODEL_REQUIRED + MODEL_OPTIONAL, "string")
-    rules += _missing(body, MODEL_REQUIRED)
+        rules += _strict_keys(p, MODEL_REQUIRED, MODEL_REQUIRED + MODEL_OPTIONAL)
+        rules += _typed(p, MODEL_REQUIRED + MODEL_OPTIONAL, "string")
+    rules += _missing(p, MODEL_REQUIRED)
     rules += _required_text(
-        body,
+        p,
         {"modelId": "model_id", "version": "version", "checksum": "checksum", "inputSchema": "input_schema"},
     )
-    rules += [_one_of(P.text(body, "approvalState"), APPROVAL_STATES, "approval_state")]
-    rules += _required_text(body, {"targetScope": "target_scope"})
+    rules += [_one_of(p.text("approvalState"), APPROVAL_STATES, "approval_state")]
+    rules += _required_text(p, {"targetScope": "target_scope"})
     return rules
 
 
-def model_fields(body: Column) -> dict[str, Column]:
+def model_fields(p: Payload) -> dict[str, Column]:
     return {
-        "model_id": P.text(body, "modelId"),
-        "version": P.text(body, "version"),
-        "checksum": P.text(body, "checksum"),
-        "input_schema": P.text(body, "inputSchema"),
-        "approval_state": P.text(body, "approvalState"),
-        "target_scope": P.text(body, "targetScope"),
-        "rollback_version": F.coalesce(P.text(body, "rollbackVersion"), F.lit("")),
+        "model_id": p.text("modelId"),
+        "version": p.text("version"),
+        "checksum": p.text("checksum"),
+        "input_schema": p.text("inputSchema"),
+        "approval_state": p.text("approvalState"),
+        "target_scope": p.text("targetScope"),
+        "rollback_version": F.coalesce(p.text("rollbackVersion"), F.lit("")),
     }
 
 
+# contract -> (rules, typed fields, keys the rules and fields look at)
 CONTRACTS = {
-    "telemetry": (telemetry_rules, telemetry_fields),
-    "command": (command_rules, command_fields),
-    "device": (device_rules, device_fields),
-    "model": (model_rules, model_fields),
+    "telemetry": (telemetry_rules, telemetry_fields, TELEMETRY_REQUIRED + TELEMETRY_OPTIONAL),
+    "command": (command_rules, command_fields, COMMAND_REQUIRED + COMMAND_OPTIONAL),
+    "device": (device_rules, device_fields, DEVICE_REQUIRED + DEVICE_OPTIONAL),
+    "model": (model_rules, model_fields, MODEL_REQUIRED + MODEL_OPTIONAL),
 }
 
 
@@ -311,13 +315,14 @@ def validate(messages: DataFrame, contract: str, mode: str = LENIENT, raw: str =
     """
     if mode not in (LENIENT, STRICT):
         raise ValueError(f"mode must be {LENIENT} or {STRICT}")
-    rules, fields = CONTRACTS[contract]
-    parsed = messages.withColumn("_body", F.try_parse_json(raw))
-    checked = parsed.withColumn("_failure", first_failure(rules(F.col(raw), F.col("_body"), mode)))
-    ok = F.col("_failure").isNull()
+    rules, fields, names = CONTRACTS[contract]
+    p = Payload("_raw", "_body", "_fields")
+    parsed = with_payload(messages, F.col(raw), names, p)
+    checked = with_failure(parsed, first_failure(rules(p, mode)))
+    ok = F.col("failure").isNull()
     return checked.select(
         *messages.columns,
-        *[F.when(ok, column).alias(name) for name, column in fields(F.col("_body")).items()],
-        F.col("_failure.reason").alias("reason"),
-        F.col("_failure.error").alias("error"),
+        *[F.when(ok, column).alias(name) for name, column in fields(p).items()],
+        F.col("failure.reason").alias("reason"),
+        F.col("failure.error").alias("error"),
     )

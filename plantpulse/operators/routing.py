@@ -9,12 +9,13 @@ messages of one key take effect.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import payload as P
-from ..functions.rules import Rule, first_failure, rule
+from ..functions.payload import Payload, timestamp, with_payload
+from ..functions.rules import REJECTED, Rule, first_failure, rule, with_failure
 from ..functions.topics import topic_filter
 from . import contracts as C
 
@@ -32,110 +33,110 @@ ACK_PLACEHOLDER = {
 # --- rules per topic ------------------------------------------------------------------
 
 
-def _time_text(body: Column) -> Column:
+def _time_text(p: Payload) -> Column:
     """``ts_source``, or ``timestamp`` where that is absent or empty."""
-    return F.coalesce(F.nullif(P.text(body, "ts_source"), F.lit("")), F.nullif(P.text(body, "timestamp"), F.lit("")))
+    return F.coalesce(F.nullif(p.text("ts_source"), F.lit("")), F.nullif(p.text("timestamp"), F.lit("")))
 
 
-def _time_rule(raw: Column) -> Rule:
-    return rule(raw.isNotNull() & P.timestamp(raw).isNull(), F.concat(F.lit("Invalid timestamp: "), raw))
+def _time_rule(text: Column) -> Rule:
+    return rule(text.isNotNull() & timestamp(text).isNull(), F.concat(F.lit("Invalid timestamp: "), text))
 
 
-def _text_or_none(body: Column, name: str) -> Column:
-    return F.nullif(P.text(body, name), F.lit(""))
+def _text_or_none(p: Payload, name: str) -> Column:
+    return F.nullif(p.text(name), F.lit(""))
 
 
-def _alarm_rules(raw: Column, body: Column) -> list[Rule]:
-    return C.telemetry_rules(raw, body)
+def _alarm_rules(p: Payload) -> list[Rule]:
+    return C.telemetry_rules(p)
 
 
-def _measurement_rules(raw: Column, body: Column) -> list[Rule]:
-    return C.telemetry_rules(raw, body) + C.value_rules(body)
+def _measurement_rules(p: Payload) -> list[Rule]:
+    return C.telemetry_rules(p) + C.value_rules(p)
 
 
-def _event_rules(raw: Column, body: Column) -> list[Rule]:
-    return C.payload_rules(raw, body) + [_time_rule(_time_text(body))]
+def _event_rules(p: Payload) -> list[Rule]:
+    return C.payload_rules(p) + [_time_rule(_time_text(p))]
 
 
-def _state_rules(raw: Column, body: Column) -> list[Rule]:
-    return C.payload_rules(raw, body) + [
-        _time_rule(_time_text(body)),
-        *[rule(P.text(body, n).isNull(), f"{n} is missing") for n in ("siteId", "assetId")],
+def _state_rules(p: Payload) -> list[Rule]:
+    return C.payload_rules(p) + [
+        _time_rule(_time_text(p)),
+        *[rule(p.text(n).isNull(), f"{n} is missing") for n in ("siteId", "assetId")],
     ]
 
 
-def _request_rules(raw: Column, body: Column) -> list[Rule]:
-    return C.command_rules(raw, body) + [_time_rule(_text_or_none(body, "issuedAt"))]
+def _request_rules(p: Payload) -> list[Rule]:
+    return C.command_rules(p) + [_time_rule(_text_or_none(p, "issuedAt"))]
 
 
-def _ack_rules(raw: Column, body: Column) -> list[Rule]:
-    return C.payload_rules(raw, body) + [
-        rule(P.text(body, "commandId").isNull(), "commandId is missing"),
-        _time_rule(_text_or_none(body, "issuedAt")),
-        _time_rule(_text_or_none(body, "expiresAt")),
+def _ack_rules(p: Payload) -> list[Rule]:
+    return C.payload_rules(p) + [
+        rule(p.text("commandId").isNull(), "commandId is missing"),
+        _time_rule(_text_or_none(p, "issuedAt")),
+        _time_rule(_text_or_none(p, "expiresAt")),
     ]
 
 
-def _score_rules(raw: Column, body: Column) -> list[Rule]:
-    return C.payload_rules(raw, body) + [
-        _time_rule(_time_text(body)),
-        rule(P.text(body, "score").isNull(), "score is required for analytics.inference"),
-        *[rule(P.text(body, n).isNull(), f"{n} is missing") for n in ("siteId", "assetId", "signalId")],
-        rule(P.number(body, "score").isNull(), "score is not numeric"),
+def _score_rules(p: Payload) -> list[Rule]:
+    return C.payload_rules(p) + [
+        _time_rule(_time_text(p)),
+        rule(p.text("score").isNull(), "score is required for analytics.inference"),
+        *[rule(p.text(n).isNull(), f"{n} is missing") for n in ("siteId", "assetId", "signalId")],
+        rule(p.number("score").isNull(), "score is not numeric"),
     ]
 
 
 # --- typed rows per topic -------------------------------------------------------------
 
-def _time_or_sent(raw: Column) -> Column:
+def _time_or_sent(text: Column) -> Column:
     """Messages without a time take the time the log recorded, so a replay gives the same row."""
-    return F.coalesce(P.timestamp(raw), F.col("timestamp"))
+    return F.coalesce(timestamp(text), F.col("timestamp"))
 
 
-def _measurement(body: Column) -> dict[str, Column]:
-    f = C.telemetry_fields(body)
+def _measurement(p: Payload) -> dict[str, Column]:
+    f = C.telemetry_fields(p)
     order = ["ts_source", "ts_ingest", "event_id", "site_id", "asset_id", "signal_id", "seq", "quality", "unit", "value", "tags", "trace_id"]
     return {name: f[name] for name in order}
 
 
-def _tag(body: Column, name: str) -> Column:
-    return F.try_variant_get(body, f"$.tags.{name}", "string")
+def _tag(p: Payload, name: str) -> Column:
+    return p.get(f"tags.{name}", "string")
 
 
-def _alarm(body: Column) -> dict[str, Column]:
-    f = C.telemetry_fields(body)
+def _alarm(p: Payload) -> dict[str, Column]:
+    f = C.telemetry_fields(p)
     return {
         "raised_at": f["ts_source"],
         "alarm_id": f["event_id"],
         "site_id": f["site_id"],
         "asset_id": f["asset_id"],
-        "severity": F.coalesce(_tag(body, "severity"), F.lit("medium")),
-        "message": F.coalesce(_tag(body, "message"), F.concat(f["signal_id"], F.lit(" threshold exceeded"))),
+        "severity": F.coalesce(_tag(p, "severity"), F.lit("medium")),
+        "message": F.coalesce(_tag(p, "message"), F.concat(f["signal_id"], F.lit(" threshold exceeded"))),
         "state": F.lit("open"),
         "acknowledged_at": F.lit(None).cast("timestamp"),
-        "payload": P.canonical(body),
+        "payload": p.canonical(),
     }
 
 
-def _event(body: Column) -> dict[str, Column]:
+def _event(p: Payload) -> dict[str, Column]:
     position = F.concat_ws("-", F.lit("evt"), F.col("topic"), F.col("partition"), F.col("offset"))
     return {
-        "ts_source": _time_or_sent(_time_text(body)),
-        "event_id": F.coalesce(P.text(body, "eventId"), P.text(body, "id"), position),
-        "site_id": F.coalesce(P.text(body, "siteId"), F.lit("unknown-site")),
-        "asset_id": F.coalesce(P.text(body, "assetId"), F.lit("unknown-asset")),
-        "event_type": F.coalesce(P.text(body, "eventType"), P.text(body, "type"), F.lit("generic-event")),
-        "payload": P.canonical(body),
+        "ts_source": _time_or_sent(_time_text(p)),
+        "event_id": F.coalesce(p.text("eventId"), p.text("id"), position),
+        "site_id": F.coalesce(p.text("siteId"), F.lit("unknown-site")),
+        "asset_id": F.coalesce(p.text("assetId"), F.lit("unknown-asset")),
+        "event_type": F.coalesce(p.text("eventType"), p.text("type"), F.lit("generic-event")),
+        "payload": p.canonical(),
     }
 
 
-def _state(body: Column) -> dict[str, Column]:
+def _state(p: Payload) -> dict[str, Column]:
     return {
-        "ts_source": _time_or_sent(_time_text(body)),
-        "site_id": P.text(body, "siteId"),
-        "asset_id": P.text(body, "assetId"),
-        "state": F.coalesce(P.display(body, "state"), P.display(body, "value"), F.lit("unknown")),
-        "payload": P.canonical(body),
+        "ts_source": _time_or_sent(_time_text(p)),
+        "site_id": p.text("siteId"),
+        "asset_id": p.text("assetId"),
+        "state": F.coalesce(p.display("state"), p.display("value"), F.lit("unknown")),
+        "payload": p.canonical(),
     }
 
 
@@ -145,89 +146,109 @@ COMMAND_COLUMNS = [
 ]
 
 
-def _request(body: Column) -> dict[str, Column]:
-    f = C.command_fields(body)
+def _request(p: Payload) -> dict[str, Column]:
+    f = C.command_fields(p)
     f["kind"] = F.lit("request")
-    f["issued_at"] = _time_or_sent(_text_or_none(body, "issuedAt"))
+    f["issued_at"] = _time_or_sent(_text_or_none(p, "issuedAt"))
     return {name: f[name] for name in COMMAND_COLUMNS}
 
 
-def _ack(body: Column) -> dict[str, Column]:
+def _ack(p: Payload) -> dict[str, Column]:
     f = {name: F.lit(default) for name, default in ACK_PLACEHOLDER.items()}
     f.update(
         kind=F.lit("ack"),
-        issued_at=_time_or_sent(_text_or_none(body, "issuedAt")),
-        command_id=P.text(body, "commandId"),
-        site_id=F.coalesce(P.text(body, "siteId"), F.lit("unknown-site")),
-        asset_id=F.coalesce(P.text(body, "assetId"), F.lit("unknown-asset")),
-        expires_at=_time_or_sent(_text_or_none(body, "expiresAt")),
-        status=F.coalesce(P.text(body, "status"), F.lit("acknowledged")),
+        issued_at=_time_or_sent(_text_or_none(p, "issuedAt")),
+        command_id=p.text("commandId"),
+        site_id=F.coalesce(p.text("siteId"), F.lit("unknown-site")),
+        asset_id=F.coalesce(p.text("assetId"), F.lit("unknown-asset")),
+        expires_at=_time_or_sent(_text_or_none(p, "expiresAt")),
+        status=F.coalesce(p.text("status"), F.lit("acknowledged")),
     )
     return {name: f[name] for name in COMMAND_COLUMNS}
 
 
-def _score(body: Column) -> dict[str, Column]:
+def _score(p: Payload) -> dict[str, Column]:
     return {
-        "ts_source": _time_or_sent(_time_text(body)),
-        "model_id": F.coalesce(P.text(body, "modelId"), F.lit("unknown-model")),
-        "site_id": P.text(body, "siteId"),
-        "asset_id": P.text(body, "assetId"),
-        "signal_id": P.text(body, "signalId"),
-        "score": P.number(body, "score"),
-        "anomalous": P.truthy(body, "anomalous"),
-        "payload": P.canonical(body),
+        "ts_source": _time_or_sent(_time_text(p)),
+        "model_id": F.coalesce(p.text("modelId"), F.lit("unknown-model")),
+        "site_id": p.text("siteId"),
+        "asset_id": p.text("assetId"),
+        "signal_id": p.text("signalId"),
+        "score": p.number("score"),
+        "anomalous": p.truthy("anomalous"),
+        "payload": p.canonical(),
     }
 
 
-Rules = Callable[[Column, Column], list[Rule]]
-Fields = Callable[[Column], dict[str, Column]]
-
-# topic -> (rules, typed row, table). A caller adds its own topics through ``extra``.
-ROUTES: dict[str, tuple[Rules, Fields, str]] = {
-    "raw.telemetry": (_measurement_rules, _measurement, "measurements"),
-    "raw.alarms": (_alarm_rules, _alarm, "alarms"),
-    "raw.events": (_event_rules, _event, "events"),
-    "asset.state": (_state_rules, _state, "asset_state"),
-    "command.request": (_request_rules, _request, "command_log"),
-    "command.ack": (_ack_rules, _ack, "command_log"),
-    "analytics.inference": (_score_rules, _score, "model_scores"),
+@dataclass(frozen=True)
+class Route:
+    """How one topic becomes table rows. A caller may add routes for topics of its own."""
+
+    table: str
+    names: list[str]  # keys of the payload the rules and fields look at
+    rules: Callable[[Payload], list[Rule]]
+    fields: Callable[[Payload], dict[str, Column]]
+
+
+_TELEMETRY = C.TELEMETRY_REQUIRED + C.TELEMETRY_OPTIONAL
+_COMMAND = C.COMMAND_REQUIRED + C.COMMAND_OPTIONAL + ["issuedAt"]
+_TIME = ["ts_source", "timestamp"]
+
+ROUTES = {
+    "raw.telemetry": Route("measurements", _TELEMETRY, _measurement_rules, _measurement),
+    "raw.alarms": Route("alarms", _TELEMETRY, _alarm_rules, _alarm),
+    "raw.events": Route(
+        "events", [*_TIME, "eventId", "id", "siteId", "assetId", "eventType", "type"], _event_rules, _event
+    ),
+    "asset.state": Route("asset_state", [*_TIME, "siteId", "assetId", "state", "value"], _state_rules, _state),
+    "command.request": Route("command_log", _COMMAND, _request_rules, _request),
+    "command.ack": Route(
+        "command_log", ["commandId", "siteId", "assetId", "issuedAt", "expiresAt", "status"], _ack_rules, _ack
+    ),
+    "analytics.inference": Route(
+        "model_scores", [*_TIME, "modelId", "siteId", "assetId", "signalId", "score", "anomalous"], _score_rules, _score
+    ),
 }
 
 
 # --- operators ------------------------------------------------------------------------
 
 
-def check(log: DataFrame, routes: dict[str, tuple[Rules, Fields, str]] | None = None) -> DataFrame:
-    """Parse each message once; add ``raw``, ``body``, ``arrival`` and the first ``failure``."""
-    routes = ROUTES if routes is None else routes
-    raw, body = F.col("raw"), F.col("body")
-    parsed = log.withColumn("raw", F.col("value").cast("string")).withColumn("body", F.try_parse_json("raw"))
+def check(log: DataFrame, topics: list[str] | None = None, routes: dict[str, Route] = ROUTES) -> DataFrame:
+    """Parse each message once; add ``raw``, ``body``, ``fields``, ``arrival`` and the first ``failure``.
+
+    With ``topics`` only their messages are read and only their rules are evaluated;
+    without, every message of the log is judged and unknown topics fail.
+    """
+    chosen = routes if topics is None else {t: routes[t] for t in topics}
+    if topics is not None:
+        log = log.filter(F.col("topic").isin(topics))
+    names = list(dict.fromkeys(n for r in chosen.values() for n in r.names))
+    p = Payload()
+    parsed = with_payload(log, F.col("value").cast("string"), names, p)
+    unknown = F.concat(F.lit("No processor configured for topic: "), F.coalesce(F.col("topic"), F.lit("")))
     failure = F.when(
-        ~F.coalesce(F.col("topic").isin(*routes), F.lit(False)),
-        F.struct(
-            F.lit("rejected").alias("reason"),
-            F.concat(F.lit("No processor configured for topic: "), F.coalesce(F.col("topic"), F.lit(""))).alias("error"),
-        ),
+        ~F.coalesce(F.col("topic").isin(*chosen), F.lit(False)),
+        F.struct(F.lit(REJECTED).alias("reason"), unknown.alias("error")),
     )
-    for topic, (rules, _fields, _table) in routes.items():
-        failure = failure.when(F.col("topic") == topic, first_failure(rules(raw, body)))
-    return parsed.select(
-        "key", "topic", "partition", "offset", "timestamp", "raw", "body",
+    for topic, chosen_route in chosen.items():
+        failure = failure.when(F.col("topic") == topic, first_failure(chosen_route.rules(p)))
+    checked = parsed.select(
+        "key", "topic", "partition", "offset", "timestamp", "raw", "body", "fields",
         F.struct("timestamp", "partition", "offset").alias("arrival"),
-        failure.alias("failure"),
     )
+    return with_failure(checked, failure)
 
 
-def route(checked: DataFrame, topic: str, routes: dict[str, tuple[Rules, Fields, str]] | None = None) -> DataFrame:
+def route(checked: DataFrame, topic: str, routes: dict[str, Route] = ROUTES) -> DataFrame:
     """Typed rows of one topic plus ``arrival``."""
-    _rules, fields, _table = (ROUTES if routes is None else routes)[topic]
     good = checked.filter((F.col("topic") == topic) & F.col("failure").isNull())
-    return good.select(*[c.alias(name) for name, c in fields(F.col("body")).items()], "arrival")
+    return good.select(*[c.alias(name) for name, c in routes[topic].fields(Payload()).items()], "arrival")
 
 
 def table_rows(checked: DataFrame, table: str) -> DataFrame:
     """Typed rows of every topic that feeds a table."""
-    parts = [route(checked, topic) for topic, (_r, _f, target) in ROUTES.items() if target == table]
+    parts = [route(checked, topic) for topic, r in ROUTES.items() if r.table == table]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

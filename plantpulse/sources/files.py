@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import payload as P
+from ..functions.payload import Payload, timestamp, with_payload
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -22,16 +22,16 @@ def stream_files(spark: SparkSession, path: str, schema: str, max_files: int | N
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """Score windows from JSON lines. Lines that lack the window, asset or signal are dropped."""
-    body = F.col("_body")
-    lines = spark.read.text(path).withColumn("_body", F.try_parse_json("value"))
-    rows = lines.select(
-        F.try_variant_get(body, "$.window", "array<double>").alias("window"),
-        P.text(body, "modelId").alias("model_id"),
-        P.text(body, "siteId").alias("site_id"),
-        P.text(body, "assetId").alias("asset_id"),
-        P.text(body, "signalId").alias("signal_id"),
-        P.timestamp(P.text(body, "ts_source")).alias("ts_source"),
-        P.number(body, "threshold").alias("threshold"),
+    p = Payload()
+    names = ["modelId", "siteId", "assetId", "signalId", "ts_source", "threshold"]
+    rows = with_payload(spark.read.text(path), F.col("value"), names, p).select(
+        p.get("window", "array<double>").alias("window"),
+        p.text("modelId").alias("model_id"),
+        p.text("siteId").alias("site_id"),
+        p.text("assetId").alias("asset_id"),
+        p.text("signalId").alias("signal_id"),
+        timestamp(p.text("ts_source")).alias("ts_source"),
+        p.number("threshold").alias("threshold"),
     )
     return rows.filter(F.col("window").isNotNull() & F.col("asset_id").isNotNull() & F.col("signal_id").isNotNull())
 

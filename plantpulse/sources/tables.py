@@ -35,12 +35,18 @@ def clustered(df: DataFrame, time: str = "ts_source", cluster: list[str] | None
     return dated.repartitionByRange(DAY, *keys, time).sortWithinPartitions(DAY, *keys, time)
 
 
-def write_table(df: DataFrame, path: str, time: str = "ts_source", cluster: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Write a day-partitioned table; ``overwrite`` replaces only the days that occur in ``df``."""
+def write_table(
+    df: DataFrame, path: str, time: str = "ts_source", cluster: list[str] | None = None,
+    mode: str = "overwrite", only_days: bool = True,
+) -> None:
+    """Write a day-partitioned table; ``overwrite`` replaces only the days that occur in ``df``.
+
+    With ``only_days=False`` it replaces the whole table and leaves a success marker.
+    """
     (
         clustered(df, time, cluster)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "dynamic" if only_days else "static")
         .option("compression", "zstd")
         .partitionBy(DAY)
         .parquet(path)
@@ -162,7 +168,7 @@ class FoldedTable:
         else:
             touched = base.join(days, DAY, "left_semi")
         folded = merge(touched, changes, self.spec).select(*self.schema.names)
-        write_table(folded, self.staged_path, self.spec.time)
+        write_table(folded, self.staged_path, self.spec.time, only_days=False)
         self._finish_swap()
         for batch in batches:
             _remove(self.spark, f"{self.changes_path}/batch={batch}")

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.contracts import telemetry_fields
+from ..functions.payload import Payload, with_payload
+from ..operators.contracts import TELEMETRY_OPTIONAL, TELEMETRY_REQUIRED, telemetry_fields
+
+FIELDS = TELEMETRY_REQUIRED + TELEMETRY_OPTIONAL
 
 
 def parsed_telemetry(log: DataFrame) -> DataFrame:
     """Typed telemetry of a log; fields that do not parse are NULL."""
-    body = F.col("_body")
-    wanted = ("site_id", "asset_id", "signal_id", "ts_source", "seq", "quality", "value")
-    fields = telemetry_fields(body)
-    return log.select(F.try_parse_json(F.col("value").cast("string")).alias("_body")).select(
-        *[fields[name].alias(name) for name in wanted]
-    )
+    p = Payload()
+    parsed = with_payload(log.select("value"), F.col("value").cast("string"), FIELDS, p)
+    fields = telemetry_fields(p)
+    return parsed.select(*[fields[name].alias(name) for name in ("site_id", "asset_id", "signal_id", "ts_source", "value")])
 
 
 def rolling_means(telemetry: DataFrame, width: str = "1 minute", late_by: str = "10 minutes") -> DataFrame:

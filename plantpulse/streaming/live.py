@@ -17,14 +17,18 @@ POINT = ["ts_source", "signal_id", "value", "quality", "unit", "tags"]
 
 
 def latest_telemetry(measurements: DataFrame) -> DataFrame:
-    """Newest point per asset; cut to a look-back when the view is read."""
-    return newest(measurements, ["asset_id"], ["ts_source", "seq", "signal_id"], POINT)
+    """Newest point per asset; cut to a look-back when the view is read.
 
+    A repeated reading is settled by when it was ingested.
+    """
+    return newest(measurements, ["asset_id"], ["ts_source", "seq", "signal_id", "ts_ingest"], POINT)
 
-def latest_open_alarms(alarms: DataFrame) -> DataFrame:
-    """Newest open alarm per site."""
+
+def latest_open_alarms(alarms: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """Newest open alarm per site; ``ties`` are columns that order repeats of one alarm."""
     opened = alarms.filter(F.col("state") == "open")
-    return newest(opened, ["site_id"], ["raised_at", "alarm_id"], ["raised_at", "alarm_id", "asset_id", "severity", "message"])
+    order = ["raised_at", "alarm_id", *(ties or [])]
+    return newest(opened, ["site_id"], order, ["raised_at", "alarm_id", "asset_id", "severity", "message"])
 
 
 def command_status(changes: DataFrame, arrival: str = "arrival") -> DataFrame:
