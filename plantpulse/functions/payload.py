@@ -21,87 +21,134 @@ ISO_TIMESTAMP = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
+# Fixed value: a time given to the minute, which a cast does not read.
+WITHOUT_SECONDS = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-].*)?$"
+
+
+# How a field is read: as text, as text and a time, a whole number or a number, or RAW: by type alone.
+TEXT, TIME, WHOLE, NUMBER, RAW = "text", "time", "whole", "number", "raw"
 
 
 @dataclass(frozen=True)
 class Payload:
-    """Column builders over a parsed message: ``raw`` text, ``body`` VARIANT, ``fields`` struct."""
+    """Column builders over a parsed message.
+
+    ``raw`` is the text, ``body`` the VARIANT, ``fields`` holds value, type name and text of
+    each field, ``typed`` its reading as time, whole number or number.
+    """
 
     raw: str = "raw"
     body: str = "body"
     fields: str = "fields"
+    typed: str = "typed"
+
+    def _part(self, name: str, part: str) -> Column:
+        return F.col(f"{self.fields}.{name}.{part}")
 
     def is_json(self) -> Column:
         return F.col(self.body).isNotNull()
 
     def is_object(self) -> Column:
         """For text known to be JSON: an object starts with a brace."""
-        return F.col(self.raw).rlike(r"^\s*\{")
+        return F.ltrim(F.col(self.raw)).startswith("{")
+
+    def value(self, name: str) -> Column:
+        """Field as VARIANT."""
+        return self._part(name, "value")
 
     def text(self, name: str) -> Column:
         """Field as text; NULL when absent or JSON null."""
-        return F.col(f"{self.fields}.{name}.text")
+        return self._part(name, "text")
 
     def kind(self, name: str) -> Column:
         """Type name of the field, for example BIGINT, STRING, VOID or OBJECT<...>; NULL when absent."""
-        return F.col(f"{self.fields}.{name}.kind")
+        return self._part(name, "kind")
+
+    def time(self, name: str) -> Column:
+        """A TIME field as an instant; NULL when it is not an ISO timestamp."""
+        return F.col(f"{self.typed}.{name}")
+
+    def whole_number(self, name: str) -> Column:
+        """A WHOLE field: fractions are cut, digits in text are read, booleans are 0 or 1."""
+        return F.col(f"{self.typed}.{name}")
+
+    def number(self, name: str) -> Column:
+        """A NUMBER field: numbers, booleans and numbers in text; anything else is NULL."""
+        return F.col(f"{self.typed}.{name}")
 
     def present(self, name: str) -> Column:
         return self.kind(name).isNotNull()
 
-    def get(self, name: str, as_type: str) -> Column:
-        return F.try_variant_get(F.col(self.body), f"$.{name}", as_type)
+    def get(self, path: str, as_type: str) -> Column:
+        return F.try_variant_get(F.col(self.body), f"$.{path}", as_type)
 
     def canonical(self, name: str | None = None) -> Column:
         """The whole payload or one field as compact JSON with sorted keys."""
-        return F.to_json(F.col(self.body) if name is None else self.get(name, "variant"))
+        return F.to_json(F.col(self.body) if name is None else self.value(name))
 
     def display(self, name: str) -> Column:
         """Field as text where a boolean reads True or False, as union-typed fields are shown."""
         return F.when(self.kind(name) == "BOOLEAN", F.initcap(self.text(name))).otherwise(self.text(name))
 
     def is_number(self, name: str) -> Column:
-        return self.kind(name).isin("BIGINT", "DOUBLE") | self.kind(name).startswith("DECIMAL")
+        return is_number_kind(self.kind(name))
 
     def truthy(self, name: str) -> Column:
         """Field as a condition: empty text, zero, null, absent and empty containers are false."""
         kind, text = self.kind(name), self.text(name)
         return (
             F.when(kind == "BOOLEAN", text == "true")
-            .when(self.is_number(name), self.get(name, "double") != 0.0)
+            .when(self.is_number(name), self.value(name).try_cast("double") != 0.0)
             .when(kind == "STRING", text != "")
             .when(kind.startswith("OBJECT"), text != "{}")
             .when(kind.startswith("ARRAY"), text != "[]")
             .otherwise(F.lit(False))
         )
 
-    def whole_number(self, name: str) -> Column:
-        """Field as a whole number: fractions are cut, digits in text are read, booleans are 0 or 1."""
-        return F.when(self.is_number(name) | self.kind(name).isin("STRING", "BOOLEAN"), self.get(name, "bigint"))
 
-    def number(self, name: str) -> Column:
-        """Field as double: numbers, booleans and numbers in text; anything else is NULL."""
-        as_double = self.get(name, "double")
-        finite = F.when(F.abs(as_double) < F.lit(float("inf")), as_double)
-        return F.when(self.is_number(name) | (self.kind(name) == "BOOLEAN"), finite).when(
-            (self.kind(name) == "STRING") & self.text(name).rlike(NUMBER_TEXT), finite
-        )
+def is_number_kind(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+
 
+def with_payload(messages: DataFrame, raw: Column, reads: dict[str, str], payload: Payload = Payload()) -> DataFrame:
+    """Add the raw text, the parsed body and the fields to read.
 
-def with_payload(messages: DataFrame, raw: Column, names: list[str], payload: Payload = Payload()) -> DataFrame:
-    """Add the raw text, the parsed body and the struct of the named fields."""
+    One cast of the body gives all fields at once. Each step is a projection of its own, so
+    that what a later step uses several times is worked out once.
+    """
+    values = "_values"
+    members = ", ".join(f"`{n}`: variant" for n in reads)
     parsed = messages.withColumn(payload.raw, raw)
     parsed = parsed.withColumn(payload.body, F.try_parse_json(payload.raw))
-    fields = [
-        F.struct(
-            payload.get(n, "string").alias("text"),
-            F.schema_of_variant(payload.get(n, "variant")).alias("kind"),
-        ).alias(n)
-        for n in names
-    ]
-    return parsed.withColumn(payload.fields, F.struct(*fields))
+    parsed = parsed.withColumn(values, F.try_variant_get(F.col(payload.body), "$", f"struct<{members}>"))
+
+    fields = []
+    for n, reading in reads.items():
+        value = F.col(f"{values}.{n}")
+        parts = {"value": value, "kind": F.schema_of_variant(value)}
+        if reading != RAW:
+            parts["text"] = value.try_cast("string")
+        if reading in (WHOLE, NUMBER):
+            parts["cast"] = value.try_cast("bigint" if reading == WHOLE else "double")
+        fields.append(F.struct(*[c.alias(part) for part, c in parts.items()]).alias(n))
+    parsed = parsed.withColumn(payload.fields, F.struct(*fields)).drop(values)
+
+    typed = [F.lit(True).alias("_")]
+    for n, reading in reads.items():
+        text, kind = payload.text(n), payload.kind(n)
+        if reading == TIME:
+            typed.append(timestamp(text).alias(n))
+        elif reading == WHOLE:
+            readable = is_number_kind(kind) | kind.isin("STRING", "BOOLEAN")
+            typed.append(F.when(readable, payload._part(n, "cast")).alias(n))
+        elif reading == NUMBER:
+            cast = payload._part(n, "cast")
+            readable = is_number_kind(kind) | (kind == "BOOLEAN") | ((kind == "STRING") & text.rlike(NUMBER_TEXT))
+            typed.append(F.when((F.abs(cast) < F.lit(float("inf"))) & readable, cast).alias(n))
+    return parsed.withColumn(payload.typed, F.struct(*typed))
 
 
 def timestamp(raw: Column) -> Column:
     """ISO text to an instant in UTC; NULL when the text is not an ISO timestamp."""
-    return F.when(raw.rlike(ISO_TIMESTAMP), raw.try_cast("timestamp"))
+    with_seconds = F.regexp_replace(raw, WITHOUT_SECONDS, "$1:00$2")
+    return F.when(raw.rlike(ISO_TIMESTAMP), F.coalesce(raw.try_cast("timestamp"), with_seconds.try_cast("timestamp")))

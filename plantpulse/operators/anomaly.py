@@ -8,8 +8,9 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +76,14 @@ class LinearReconstruction:
 
 
 def fit(windows: DataFrame, k: int = BOTTLENECK, window: str = "window") -> LinearReconstruction:
-    """Fit the bottleneck on all windows.
+    """Fit the bottleneck on all windows, in one pass for the mean and one for the covariance.
 
-    Mean and covariance are summed by the executors; only matrices of the window length
-    reach the driver.
+    Both are summed by the executors; only matrices of the window length reach the driver.
     """
     vectors = windows.select(array_to_vector(F.col(window)).alias("x"))
-    scaler = StandardScaler(inputCol="x", outputCol="c", withMean=True, withStd=False).fit(vectors)
-    pca = PCA(k=k, inputCol="c", outputCol="p").fit(scaler.transform(vectors))
-    return LinearReconstruction(np.asarray(scaler.mean.toArray()), np.asarray(pca.pc.toArray()))
+    mean = vectors.select(Summarizer.mean(F.col("x"))).first()[0]
+    components = PCA(k=k, inputCol="x", outputCol="p").fit(vectors).pc
+    return LinearReconstruction(np.asarray(mean.toArray()), np.asarray(components.toArray()))
 
 
 def score(windows: DataFrame, reconstruction: Column, window: str = "window") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import COMMAND_ACK_TIMEOUT_SECONDS, COMMAND_POLICY_FIELDS
-from ..functions.payload import Payload, with_payload
+from ..functions.payload import TEXT, Payload, with_payload
 from ..functions.times import literal
 
 
@@ -17,8 +17,8 @@ def permitted_commands(messages: DataFrame, allowed_topics: DataFrame) -> DataFr
 
     A field counts as given when it is neither absent nor null nor empty text.
     """
-    p = Payload("_raw", "_body", "_fields")
-    parsed = with_payload(messages, F.col("raw"), COMMAND_POLICY_FIELDS, p)
+    p = Payload("_raw", "_body", "_fields", "_typed")
+    parsed = with_payload(messages, F.col("raw"), dict.fromkeys(COMMAND_POLICY_FIELDS, TEXT), p)
     given = F.lit(True)
     for name in COMMAND_POLICY_FIELDS:
         given = given & (F.coalesce(p.text(name), F.lit("")) != "")

@@ -17,7 +17,7 @@ from ..functions.constants import (
     QUALITY_LEVELS,
     SAMPLING_CLASSES,
 )
-from ..functions.payload import Payload, timestamp, with_payload
+from ..functions.payload import NUMBER, RAW, TEXT, TIME, WHOLE, Payload, is_number_kind, with_payload
 from ..functions.rules import MALFORMED, Rule, first_failure, rule, with_failure
 
 LENIENT = "lenient"
@@ -60,10 +60,8 @@ def _one_of(value: Column, allowed: list[str], label: str) -> Rule:
 
 
 def _timestamp_rule(p: Payload, name: str) -> Rule:
-    raw = p.text(name)
-    return rule(
-        timestamp(raw).isNull(), F.concat(F.lit("Invalid timestamp: "), F.coalesce(raw, F.lit("null")))
-    )
+    shown = F.coalesce(p.text(name), F.lit("null"))
+    return rule(p.time(name).isNull(), F.concat(F.lit("Invalid timestamp: "), shown))
 
 
 def _object_if_present(p: Payload, name: str) -> Rule:
@@ -88,24 +86,20 @@ def _typed(p: Payload, names: list[str], wanted: str) -> list[Rule]:
             "boolean": type_of == "BOOLEAN",
             "object": type_of.startswith("OBJECT"),
             "integer": p.is_number(name)
-            & (p.get(name, "double") == F.floor(p.get(name, "double"))),
+            & (p.value(name).try_cast("double") == F.floor(p.value(name).try_cast("double"))),
             "scalar": p.is_number(name) | type_of.isin("STRING", "BOOLEAN"),
         }[wanted]
         out.append(rule(p.present(name) & ~ok, f"{name} must be of type {wanted}"))
     return out
 
 
-def _number_type(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-
-
 def _map_values(p: Payload, name: str, wanted: str) -> Rule:
     """Every value of an object field has the wanted type."""
-    values = F.map_values(p.get(name, "map<string,variant>"))
+    values = F.map_values(p.value(name).try_cast("map<string,variant>"))
     if wanted == "string":
         ok = F.forall(values, lambda v: F.schema_of_variant(v) == "STRING")
     else:
-        ok = F.forall(values, lambda v: _number_type(F.schema_of_variant(v)))
+        ok = F.forall(values, lambda v: is_number_kind(F.schema_of_variant(v)))
     return rule(~ok, f"{name} values must be of type {wanted}")
 
 
@@ -163,8 +157,8 @@ def telemetry_fields(p: Payload) -> dict[str, Column]:
         "asset_id": p.text("assetId"),
         "signal_id": p.text("signalId"),
         "quality": p.text("quality"),
-        "ts_source": timestamp(p.text("ts_source")),
-        "ts_ingest": timestamp(p.text("ts_ingest")),
+        "ts_source": p.time("ts_source"),
+        "ts_ingest": p.time("ts_ingest"),
         "seq": p.whole_number("seq"),
         "unit": F.coalesce(p.text("unit"), F.lit("")),
         "value": p.number("value"),
@@ -220,7 +214,7 @@ def command_fields(p: Payload) -> dict[str, Column]:
         "priority": F.coalesce(p.text("priority"), F.lit("medium")),
         "approved": approved,
         "approval_reference": F.coalesce(p.text("approvalReference"), F.lit("")),
-        "expires_at": timestamp(p.text("expiresAt")),
+        "expires_at": p.time("expiresAt"),
         "status": command_status(approved),
     }
 
@@ -253,7 +247,7 @@ def device_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
 
 
 def _string_map(p: Payload, name: str) -> Column:
-    return p.get(name, "map<string,string>")
+    return p.value(name).try_cast("map<string,string>")
 
 
 def device_fields(p: Payload) -> dict[str, Column]:
@@ -266,7 +260,7 @@ def device_fields(p: Payload) -> dict[str, Column]:
         "units": _string_map(p, "units"),
         "sampling_class": p.text("samplingClass"),
         "thresholds": F.coalesce(
-            p.get("thresholds", "map<string,double>"), F.create_map().cast("map<string,double>")
+            p.value("thresholds").try_cast("map<string,double>"), F.create_map().cast("map<string,double>")
         ),
         "ownership_tags": F.coalesce(_string_map(p, "ownershipTags"), F.create_map().cast("map<string,string>")),
     }
@@ -299,12 +293,25 @@ def model_fields(p: Payload) -> dict[str, Column]:
     }
 
 
+def reads(names: list[str], times: tuple[str, ...] = (), raw: tuple[str, ...] = (), **others: str) -> dict[str, str]:
+    """How each key of a contract is read; text unless said otherwise."""
+    special = {**dict.fromkeys(times, TIME), **dict.fromkeys(raw, RAW), **others}
+    return {n: special.get(n, TEXT) for n in names}
+
+
+TELEMETRY_READS = reads(
+    TELEMETRY_REQUIRED + TELEMETRY_OPTIONAL, ("ts_source", "ts_ingest"), ("tags",), seq=WHOLE, value=NUMBER
+)
+COMMAND_READS = reads(COMMAND_REQUIRED + COMMAND_OPTIONAL, ("expiresAt",))
+DEVICE_READS = reads(DEVICE_REQUIRED + DEVICE_OPTIONAL, (), ("signalMap", "units", "thresholds", "ownershipTags"))
+MODEL_READS = reads(MODEL_REQUIRED + MODEL_OPTIONAL)
+
 # contract -> (rules, typed fields, keys the rules and fields look at)
 CONTRACTS = {
-    "telemetry": (telemetry_rules, telemetry_fields, TELEMETRY_REQUIRED + TELEMETRY_OPTIONAL),
-    "command": (command_rules, command_fields, COMMAND_REQUIRED + COMMAND_OPTIONAL),
-    "device": (device_rules, device_fields, DEVICE_REQUIRED + DEVICE_OPTIONAL),
-    "model": (model_rules, model_fields, MODEL_REQUIRED + MODEL_OPTIONAL),
+    "telemetry": (telemetry_rules, telemetry_fields, TELEMETRY_READS),
+    "command": (command_rules, command_fields, COMMAND_READS),
+    "device": (device_rules, device_fields, DEVICE_READS),
+    "model": (model_rules, model_fields, MODEL_READS),
 }
 
 
@@ -315,9 +322,9 @@ def validate(messages: DataFrame, contract: str, mode: str = LENIENT, raw: str =
     """
     if mode not in (LENIENT, STRICT):
         raise ValueError(f"mode must be {LENIENT} or {STRICT}")
-    rules, fields, names = CONTRACTS[contract]
-    p = Payload("_raw", "_body", "_fields")
-    parsed = with_payload(messages, F.col(raw), names, p)
+    rules, fields, wanted = CONTRACTS[contract]
+    p = Payload("_raw", "_body", "_fields", "_typed")
+    parsed = with_payload(messages, F.col(raw), wanted, p)
     checked = with_failure(parsed, first_failure(rules(p, mode)))
     ok = F.col("failure").isNull()
     return checked.select(

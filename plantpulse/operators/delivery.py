@@ -28,7 +28,7 @@ def delivery_state(spool: DataFrame, attempts: DataFrame) -> DataFrame:
     ``attempts`` holds row_id, attempted_at, ok, error. Every attempt counts; a failed one
     sets the error text, a good one sets the record sent.
     """
-    failed_at = F.when(~F.col("ok"), F.col("attempted_at"))
+    failed_at = F.when(~F.col("ok"), F.struct("attempted_at", "error"))
     folded = attempts.groupBy("row_id").agg(
         F.count("*").alias("attempts"),
         F.max_by(F.left("error", F.lit(ERROR_TEXT_LIMIT)), failed_at).alias("last_error"),

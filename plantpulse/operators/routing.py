@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import Payload, timestamp, with_payload
+from ..functions.payload import NUMBER, TEXT, Payload, with_payload
 from ..functions.rules import REJECTED, Rule, first_failure, rule, with_failure
 from ..functions.topics import topic_filter
 from . import contracts as C
@@ -29,21 +29,24 @@ ACK_PLACEHOLDER = {
     "approval_reference": "",
 }
 
+# Where a message's own time may stand, in order.
+SOURCE_TIME = ("ts_source", "timestamp")
 
 # --- rules per topic ------------------------------------------------------------------
 
 
-def _time_text(p: Payload) -> Column:
-    """``ts_source``, or ``timestamp`` where that is absent or empty."""
-    return F.coalesce(F.nullif(p.text("ts_source"), F.lit("")), F.nullif(p.text("timestamp"), F.lit("")))
+def _first_time(p: Payload, *names: str) -> tuple[Column, Column]:
+    """Text and instant of the first of the fields that is neither absent nor empty."""
+    given = [F.coalesce(p.text(n), F.lit("")) != "" for n in names]
+    text, time = F.when(given[0], p.text(names[0])), F.when(given[0], p.time(names[0]))
+    for name, has in zip(names[1:], given[1:]):
+        text, time = text.when(has, p.text(name)), time.when(has, p.time(name))
+    return text, time
 
 
-def _time_rule(text: Column) -> Rule:
-    return rule(text.isNotNull() & timestamp(text).isNull(), F.concat(F.lit("Invalid timestamp: "), text))
-
-
-def _text_or_none(p: Payload, name: str) -> Column:
-    return F.nullif(p.text(name), F.lit(""))
+def _time_rule(p: Payload, *names: str) -> Rule:
+    text, time = _first_time(p, *names)
+    return rule(text.isNotNull() & time.isNull(), F.concat(F.lit("Invalid timestamp: "), text))
 
 
 def _alarm_rules(p: Payload) -> list[Rule]:
@@ -55,32 +58,32 @@ def _measurement_rules(p: Payload) -> list[Rule]:
 
 
 def _event_rules(p: Payload) -> list[Rule]:
-    return C.payload_rules(p) + [_time_rule(_time_text(p))]
+    return C.payload_rules(p) + [_time_rule(p, *SOURCE_TIME)]
 
 
 def _state_rules(p: Payload) -> list[Rule]:
     return C.payload_rules(p) + [
-        _time_rule(_time_text(p)),
+        _time_rule(p, *SOURCE_TIME),
         *[rule(p.text(n).isNull(), f"{n} is missing") for n in ("siteId", "assetId")],
     ]
 
 
 def _request_rules(p: Payload) -> list[Rule]:
-    return C.command_rules(p) + [_time_rule(_text_or_none(p, "issuedAt"))]
+    return C.command_rules(p) + [_time_rule(p, "issuedAt")]
 
 
 def _ack_rules(p: Payload) -> list[Rule]:
     return C.payload_rules(p) + [
         rule(p.text("commandId").isNull(), "commandId is missing"),
-        _time_rule(_text_or_none(p, "issuedAt")),
-        _time_rule(_text_or_none(p, "expiresAt")),
+        _time_rule(p, "issuedAt"),
+        _time_rule(p, "expiresAt"),
     ]
 
 
 def _score_rules(p: Payload) -> list[Rule]:
     return C.payload_rules(p) + [
-        _time_rule(_time_text(p)),
-        rule(p.text("score").isNull(), "score is required for analytics.inference"),
+        _time_rule(p, *SOURCE_TIME),
+        rule(F.coalesce(p.kind("score"), F.lit("VOID")) == "VOID", "score is required for analytics.inference"),
         *[rule(p.text(n).isNull(), f"{n} is missing") for n in ("siteId", "assetId", "signalId")],
         rule(p.number("score").isNull(), "score is not numeric"),
     ]
@@ -88,9 +91,9 @@ def _score_rules(p: Payload) -> list[Rule]:
 
 # --- typed rows per topic -------------------------------------------------------------
 
-def _time_or_sent(text: Column) -> Column:
+def _time_or_sent(p: Payload, *names: str) -> Column:
     """Messages without a time take the time the log recorded, so a replay gives the same row."""
-    return F.coalesce(timestamp(text), F.col("timestamp"))
+    return F.coalesce(_first_time(p, *names)[1], F.col("timestamp"))
 
 
 def _measurement(p: Payload) -> dict[str, Column]:
@@ -121,7 +124,7 @@ def _alarm(p: Payload) -> dict[str, Column]:
 def _event(p: Payload) -> dict[str, Column]:
     position = F.concat_ws("-", F.lit("evt"), F.col("topic"), F.col("partition"), F.col("offset"))
     return {
-        "ts_source": _time_or_sent(_time_text(p)),
+        "ts_source": _time_or_sent(p, *SOURCE_TIME),
         "event_id": F.coalesce(p.text("eventId"), p.text("id"), position),
         "site_id": F.coalesce(p.text("siteId"), F.lit("unknown-site")),
         "asset_id": F.coalesce(p.text("assetId"), F.lit("unknown-asset")),
@@ -132,7 +135,7 @@ def _event(p: Payload) -> dict[str, Column]:
 
 def _state(p: Payload) -> dict[str, Column]:
     return {
-        "ts_source": _time_or_sent(_time_text(p)),
+        "ts_source": _time_or_sent(p, *SOURCE_TIME),
         "site_id": p.text("siteId"),
         "asset_id": p.text("assetId"),
         "state": F.coalesce(p.display("state"), p.display("value"), F.lit("unknown")),
@@ -149,7 +152,7 @@ COMMAND_COLUMNS = [
 def _request(p: Payload) -> dict[str, Column]:
     f = C.command_fields(p)
     f["kind"] = F.lit("request")
-    f["issued_at"] = _time_or_sent(_text_or_none(p, "issuedAt"))
+    f["issued_at"] = _time_or_sent(p, "issuedAt")
     return {name: f[name] for name in COMMAND_COLUMNS}
 
 
@@ -157,11 +160,11 @@ def _ack(p: Payload) -> dict[str, Column]:
     f = {name: F.lit(default) for name, default in ACK_PLACEHOLDER.items()}
     f.update(
         kind=F.lit("ack"),
-        issued_at=_time_or_sent(_text_or_none(p, "issuedAt")),
+        issued_at=_time_or_sent(p, "issuedAt"),
         command_id=p.text("commandId"),
         site_id=F.coalesce(p.text("siteId"), F.lit("unknown-site")),
         asset_id=F.coalesce(p.text("assetId"), F.lit("unknown-asset")),
-        expires_at=_time_or_sent(_text_or_none(p, "expiresAt")),
+        expires_at=_time_or_sent(p, "expiresAt"),
         status=F.coalesce(p.text("status"), F.lit("acknowledged")),
     )
     return {name: f[name] for name in COMMAND_COLUMNS}
@@ -169,7 +172,7 @@ def _ack(p: Payload) -> dict[str, Column]:
 
 def _score(p: Payload) -> dict[str, Column]:
     return {
-        "ts_source": _time_or_sent(_time_text(p)),
+        "ts_source": _time_or_sent(p, *SOURCE_TIME),
         "model_id": F.coalesce(p.text("modelId"), F.lit("unknown-model")),
         "site_id": p.text("siteId"),
         "asset_id": p.text("assetId"),
@@ -185,28 +188,34 @@ class Route:
     """How one topic becomes table rows. A caller may add routes for topics of its own."""
 
     table: str
-    names: list[str]  # keys of the payload the rules and fields look at
+    reads: dict[str, str]  # keys of the payload the rules and fields look at, and how
     rules: Callable[[Payload], list[Rule]]
     fields: Callable[[Payload], dict[str, Column]]
 
 
-_TELEMETRY = C.TELEMETRY_REQUIRED + C.TELEMETRY_OPTIONAL
-_COMMAND = C.COMMAND_REQUIRED + C.COMMAND_OPTIONAL + ["issuedAt"]
-_TIME = ["ts_source", "timestamp"]
+_WHO = ["siteId", "assetId"]
 
 ROUTES = {
-    "raw.telemetry": Route("measurements", _TELEMETRY, _measurement_rules, _measurement),
-    "raw.alarms": Route("alarms", _TELEMETRY, _alarm_rules, _alarm),
+    "raw.telemetry": Route("measurements", C.TELEMETRY_READS, _measurement_rules, _measurement),
+    "raw.alarms": Route("alarms", C.TELEMETRY_READS, _alarm_rules, _alarm),
     "raw.events": Route(
-        "events", [*_TIME, "eventId", "id", "siteId", "assetId", "eventType", "type"], _event_rules, _event
+        "events", C.reads([*SOURCE_TIME, "eventId", "id", *_WHO, "eventType", "type"], SOURCE_TIME), _event_rules, _event
+    ),
+    "asset.state": Route(
+        "asset_state", C.reads([*SOURCE_TIME, *_WHO, "state", "value"], SOURCE_TIME), _state_rules, _state
+    ),
+    "command.request": Route(
+        "command_log", {**C.COMMAND_READS, **C.reads(["issuedAt"], ("issuedAt",))}, _request_rules, _request
     ),
-    "asset.state": Route("asset_state", [*_TIME, "siteId", "assetId", "state", "value"], _state_rules, _state),
-    "command.request": Route("command_log", _COMMAND, _request_rules, _request),
     "command.ack": Route(
-        "command_log", ["commandId", "siteId", "assetId", "issuedAt", "expiresAt", "status"], _ack_rules, _ack
+        "command_log",
+        C.reads(["commandId", *_WHO, "issuedAt", "expiresAt", "status"], ("issuedAt", "expiresAt")),
+        _ack_rules, _ack,
     ),
     "analytics.inference": Route(
-        "model_scores", [*_TIME, "modelId", "siteId", "assetId", "signalId", "score", "anomalous"], _score_rules, _score
+        "model_scores",
+        C.reads([*SOURCE_TIME, "modelId", *_WHO, "signalId", "score", "anomalous"], SOURCE_TIME, score=NUMBER),
+        _score_rules, _score,
     ),
 }
 
@@ -214,8 +223,18 @@ ROUTES = {
 # --- operators ------------------------------------------------------------------------
 
 
+def _all_reads(routes: list[Route]) -> dict[str, str]:
+    """Readings of several routes. A typed reading includes the text, so it serves both."""
+    merged: dict[str, str] = {}
+    for r in routes:
+        for name, reading in r.reads.items():
+            if merged.get(name, TEXT) == TEXT:
+                merged[name] = reading
+    return merged
+
+
 def check(log: DataFrame, topics: list[str] | None = None, routes: dict[str, Route] = ROUTES) -> DataFrame:
-    """Parse each message once; add ``raw``, ``body``, ``fields``, ``arrival`` and the first ``failure``.
+    """Parse each message once; add ``raw``, ``body``, its fields, ``arrival`` and the first ``failure``.
 
     With ``topics`` only their messages are read and only their rules are evaluated;
     without, every message of the log is judged and unknown topics fail.
@@ -223,9 +242,8 @@ def check(log: DataFrame, topics: list[str] | None = None, routes: dict[str, Rou
     chosen = routes if topics is None else {t: routes[t] for t in topics}
     if topics is not None:
         log = log.filter(F.col("topic").isin(topics))
-    names = list(dict.fromkeys(n for r in chosen.values() for n in r.names))
     p = Payload()
-    parsed = with_payload(log, F.col("value").cast("string"), names, p)
+    parsed = with_payload(log, F.col("value").cast("string"), _all_reads(list(chosen.values())), p)
     unknown = F.concat(F.lit("No processor configured for topic: "), F.coalesce(F.col("topic"), F.lit("")))
     failure = F.when(
         ~F.coalesce(F.col("topic").isin(*chosen), F.lit(False)),
@@ -234,7 +252,7 @@ def check(log: DataFrame, topics: list[str] | None = None, routes: dict[str, Rou
     for topic, chosen_route in chosen.items():
         failure = failure.when(F.col("topic") == topic, first_failure(chosen_route.rules(p)))
     checked = parsed.select(
-        "key", "topic", "partition", "offset", "timestamp", "raw", "body", "fields",
+        "key", "topic", "partition", "offset", "timestamp", "raw", "body", "fields", "typed",
         F.struct("timestamp", "partition", "offset").alias("arrival"),
     )
     return with_failure(checked, failure)

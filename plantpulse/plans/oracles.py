@@ -310,31 +310,30 @@ FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey=s.s
        CASE WHEN envelope_error IS NULL THEN event_id END AS event_id, CASE WHEN envelope_error IS NULL THEN site_id END AS site_id,
        CASE WHEN envelope_error IS NULL THEN asset_id END AS asset_id, CASE WHEN envelope_error IS NULL THEN signal_id END AS signal_id,
        CASE WHEN envelope_error IS NULL THEN quality END AS quality, CASE WHEN envelope_error IS NULL THEN ts_source END AS ts_source,
-       CASE WHEN envelope_error IS NULL THEN ts_ingest END AS ts_ingest, CASE WHEN envelope_error IS NULL THEN seq END AS seq,
+       CASE WHEN envelope_error IS NULL THEN ts_ingest END AS ts_ingest, CASE WHEN envelope_error IS NULL THEN CAST(seq AS VARCHAR) END AS seq,
        CASE WHEN envelope_error IS NULL THEN unit END AS unit, CASE WHEN envelope_error IS NULL THEN tags END AS tags,
        CASE WHEN envelope_error IS NULL THEN trace_id END AS trace_id,
        CASE WHEN envelope_error IS NOT NULL THEN reason END AS reason, envelope_error AS error FROM telemetry""",
-    "contract_telemetry_strict": """SELECT arrival AS "offset", CASE WHEN seq%50=14 THEN 'malformed' WHEN seq%50<>17 THEN 'rejected' END AS reason,
-       CASE seq%50 WHEN 4 THEN 'payload is not valid JSON' WHEN 14 THEN 'payload is not an object' WHEN 0 THEN 'assetId is missing'
-            WHEN 7 THEN 'unit is missing' WHEN 12 THEN 'seq must be of type integer' WHEN 13 THEN 'seq must be of type integer'
-            WHEN 8 THEN 'value must be of type scalar' WHEN 9 THEN 'tags must be of type object' WHEN 17 THEN NULL
-            ELSE 'tags values must be of type string' END AS error
+    "contract_telemetry_strict": """SELECT arrival AS "offset", CASE WHEN seq%50=14 THEN 'malformed' WHEN seq%50 IN (0,1,3,4,7,8,9,12,13,15,16) THEN 'rejected' END AS reason,
+       CASE seq%50 WHEN 7 THEN 'unit is missing' WHEN 12 THEN 'seq must be of type integer' WHEN 13 THEN 'seq must be of type integer'
+            WHEN 8 THEN 'value must be of type scalar' WHEN 9 THEN 'tags must be of type object' ELSE envelope_error END AS error
 FROM telemetry""",
     "contract_command": """SELECT command_id AS key,
        CASE WHEN error IS NULL THEN command_id END AS command_id, CASE WHEN error IS NULL THEN site_id END AS site_id,
        CASE WHEN error IS NULL THEN asset_id END AS asset_id, CASE WHEN error IS NULL THEN target_signal END AS target_signal,
        CASE WHEN error IS NULL THEN requested_value END AS requested_value, CASE WHEN error IS NULL THEN requested_by END AS requested_by,
-       CASE WHEN error IS NULL THEN priority END AS priority, CASE WHEN error IS NULL THEN approved END AS approved,
+       CASE WHEN error IS NULL THEN priority END AS priority, CASE WHEN error IS NULL THEN CAST(approved AS VARCHAR) END AS approved,
        CASE WHEN error IS NULL THEN approval_reference END AS approval_reference, CASE WHEN error IS NULL THEN expires_at END AS expires_at,
        CASE WHEN error IS NULL THEN status END AS status, CASE WHEN error IS NOT NULL THEN 'rejected' END AS reason, error FROM request_rows""",
-    "contract_command_strict": """SELECT command_id AS key, 'rejected' AS reason,
-       CASE n%40 WHEN 1 THEN 'requestedBy is missing' WHEN 7 THEN 'priority is missing' WHEN 4 THEN 'unexpected' ELSE 'unknown key: issuedAt' END AS error
-FROM request_rows""",
+    "contract_command_strict": """SELECT key, CASE WHEN error IS NOT NULL THEN 'rejected' END AS reason, error FROM (SELECT command_id AS key,
+       CASE WHEN n%40=1 THEN 'requestedBy is missing' WHEN n%40=7 THEN 'priority is missing' WHEN n%10=9 THEN 'unknown key: issuedAt'
+            WHEN n%40=8 THEN 'approved must be of type boolean' ELSE error END AS error
+FROM request_rows)""",
     "contract_device": """SELECT asset_key, CASE WHEN e IS NULL THEN site_id END AS site_id, CASE WHEN e IS NULL THEN asset_id END AS asset_id,
        CASE WHEN e IS NULL THEN concat('dev-',asset_key) END AS device_id, CASE WHEN e IS NULL THEN 'mqtt' END AS protocol,
        CASE WHEN e IS NOT NULL THEN NULL WHEN asset_key%20=6 THEN 'error=7' ELSE 'error=ns=2;s=1;view=ns=2;s=2' END AS signal_map,
        CASE WHEN e IS NULL THEN 'error=C;view=bar' END AS units, CASE WHEN e IS NULL THEN '5s' END AS sampling_class,
-       CAST(CASE WHEN e IS NOT NULL THEN NULL WHEN asset_key%20 IN (3,7) THEN 0 ELSE 2 END AS INTEGER) AS thresholds,
+       CAST(CASE WHEN e IS NOT NULL THEN -1 WHEN asset_key%20=3 THEN 0 WHEN asset_key%20=7 THEN 1 ELSE 2 END AS INTEGER) AS thresholds,
        CASE WHEN e IS NOT NULL THEN NULL WHEN asset_key%20=4 THEN 'shift=b;team=a' ELSE '' END AS ownership_tags,
        CASE WHEN e IS NOT NULL THEN 'rejected' END AS reason, e AS error
 FROM (SELECT *, CASE asset_key%20 WHEN 0 THEN 'signal_map is required' WHEN 1 THEN 'sampling_class is invalid' WHEN 2 THEN 'units is missing'
@@ -425,7 +424,8 @@ WHERE a.event_type='purchase'""",
        coalesce(a.n,0) AS attempts, coalesce(a.last_error,'') AS last_error, a.sent_at
 FROM spool s LEFT JOIN (
   SELECT l_orderkey, count(*) AS n, max(l_shipdate + to_seconds(l_linenumber)) FILTER (WHERE l_returnflag='R') AS sent_at,
-         left(max_by(concat('line ',l_linenumber,' part ',l_partkey,': ',repeat('timeout ',60)), l_shipdate + to_seconds(l_linenumber))
+         left(max_by(concat('line ',l_linenumber,' part ',l_partkey,': ',repeat('timeout ',60)), 
+                   struct_pack(t := l_shipdate + to_seconds(l_linenumber), e := concat('line ',l_linenumber,' part ',l_partkey,': ')))
               FILTER (WHERE l_returnflag<>'R'), 400) AS last_error
   FROM lineitem GROUP BY l_orderkey) a ON a.l_orderkey=s.row_id""",
     "replay_stalled": f"""SELECT site_id, count(*) FILTER (WHERE status='pending') AS depth, max(sent_at) AS last_sent_at FROM spool
@@ -433,8 +433,8 @@ GROUP BY site_id HAVING depth > 0 AND coalesce(last_sent_at < {AS_OF} - INTERVAL
     "backlog_trend": """SELECT *, CAST(backlog - coalesce(lag(backlog) OVER (PARTITION BY site_id ORDER BY slot),0) AS BIGINT) AS change FROM (
   SELECT site_id, slot, CAST(came AS BIGINT) AS came, CAST(went AS BIGINT) AS went,
          CAST(sum(came-went) OVER (PARTITION BY site_id ORDER BY slot) AS BIGINT) AS backlog FROM (
-    SELECT site_id, time_bucket(INTERVAL '15 minutes', at) AS slot, sum(came) AS came, sum(went) AS went FROM (
-      SELECT site_id, created_at AS at, 1 AS came, 0 AS went FROM spool
+    SELECT site_id, time_bucket(INTERVAL '15 minutes', moment) AS slot, sum(came) AS came, sum(went) AS went FROM (
+      SELECT site_id, created_at AS moment, 1 AS came, 0 AS went FROM spool
       UNION ALL SELECT site_id, sent_at, 0, 1 FROM spool WHERE sent_at IS NOT NULL) GROUP BY 1,2))""",
     "sliding_windows": """SELECT asset_id, signal_id, ts_source, seq, array_to_string(w, ',') AS "window" FROM (
   SELECT asset_id, signal_id, ts_source, seq, list(CAST(round(value*100) AS BIGINT)) OVER (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.payload import Payload, timestamp, with_payload
+from ..functions.payload import NUMBER, RAW, TEXT, TIME, Payload, with_payload
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -23,14 +23,15 @@ def stream_files(spark: SparkSession, path: str, schema: str, max_files: int | N
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """Score windows from JSON lines. Lines that lack the window, asset or signal are dropped."""
     p = Payload()
-    names = ["modelId", "siteId", "assetId", "signalId", "ts_source", "threshold"]
-    rows = with_payload(spark.read.text(path), F.col("value"), names, p).select(
-        p.get("window", "array<double>").alias("window"),
+    reads = dict.fromkeys(["modelId", "siteId", "assetId", "signalId"], TEXT)
+    reads |= {"ts_source": TIME, "threshold": NUMBER, "window": RAW}
+    rows = with_payload(spark.read.text(path), F.col("value"), reads, p).select(
+        p.value("window").try_cast("array<double>").alias("window"),
         p.text("modelId").alias("model_id"),
         p.text("siteId").alias("site_id"),
         p.text("assetId").alias("asset_id"),
         p.text("signalId").alias("signal_id"),
-        timestamp(p.text("ts_source")).alias("ts_source"),
+        p.time("ts_source").alias("ts_source"),
         p.number("threshold").alias("threshold"),
     )
     return rows.filter(F.col("window").isNotNull() & F.col("asset_id").isNotNull() & F.col("signal_id").isNotNull())

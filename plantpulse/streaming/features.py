@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import Payload, with_payload
-from ..operators.contracts import TELEMETRY_OPTIONAL, TELEMETRY_REQUIRED, telemetry_fields
-
-FIELDS = TELEMETRY_REQUIRED + TELEMETRY_OPTIONAL
+from ..operators.contracts import TELEMETRY_READS, telemetry_fields
 
 
 def parsed_telemetry(log: DataFrame) -> DataFrame:
     """Typed telemetry of a log; fields that do not parse are NULL."""
     p = Payload()
-    parsed = with_payload(log.select("value"), F.col("value").cast("string"), FIELDS, p)
+    parsed = with_payload(log.select("value"), F.col("value").cast("string"), TELEMETRY_READS, p)
     fields = telemetry_fields(p)
     return parsed.select(*[fields[name].alias(name) for name in ("site_id", "asset_id", "signal_id", "ts_source", "value")])
 
