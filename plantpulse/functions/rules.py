@@ -26,12 +26,11 @@ def rule(broken: Column, message: str | Column, reason: str = REJECTED) -> Rule:
 
 def first_failure(rules: list[Rule]) -> Column:
     """Struct (reason, error) of the first broken rule, NULL when every rule holds."""
-    return F.coalesce(
-        *[
-            F.when(r.broken, F.struct(F.lit(r.reason).alias("reason"), r.message.alias("error")))
-            for r in rules
-        ]
-    )
+    def failure(r: Rule) -> Column:
+        return F.struct(F.lit(r.reason).alias("reason"), r.message.alias("error"))
+
+    never = F.when(F.lit(False), failure(rule(F.lit(False), "")))
+    return F.coalesce(*[F.when(r.broken, failure(r)) for r in rules], never)
 
 
 def with_failure(df: DataFrame, failure: Column) -> DataFrame:

@@ -60,6 +60,7 @@ class Plant:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._splits: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -75,9 +76,10 @@ class Plant:
         """
         table = self.table(name)
         cores = self.spark.sparkContext.defaultParallelism
-        few = table.rdd.getNumPartitions() < cores
+        if name not in self._splits:
+            self._splits[name] = table.rdd.getNumPartitions()
         rows = table if rows is None else rows
-        return rows.repartition(cores) if few else rows
+        return rows.repartition(cores) if self._splits[name] < cores else rows
 
     def sized(self, df: DataFrame, *sources: DataFrame) -> DataFrame:
         """``df`` marked for broadcast when the tables it is joined from are small together.
