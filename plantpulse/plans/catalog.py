@@ -504,7 +504,10 @@ def route_model_scores(p: Plant) -> DataFrame:
 
 @query
 def quarantine(p: Plant) -> DataFrame:
-    return routing.quarantine(routing.check(p.log)).drop("raw")
+    """The stored log judged as a whole: all topics, all rules, one pass."""
+    path = new_folder(p.spark, "log")
+    p.log.write.parquet(path)
+    return routing.quarantine(routing.check(p.spark.read.parquet(path))).drop("raw")
 
 
 @query
