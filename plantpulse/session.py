@@ -16,9 +16,6 @@ SQL_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Top-n per key prunes on the map side up to the largest page an asset query may ask for.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
-    # Long rule lists compile to methods the JVM would only interpret; above the size it
-    # compiles, Spark generates code per operator in smaller methods instead.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
