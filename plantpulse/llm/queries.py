@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,7 +20,17 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(*mixing.mix(_table(spark, folder, "documents"))).drop("source")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    listed = F.concat_ws(",", "items")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
 }
