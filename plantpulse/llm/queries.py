@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing
+from . import decontaminate, exact_dedup, language_id, mixing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,8 +29,17 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs, ~held_out)
+    scored = language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
 }
