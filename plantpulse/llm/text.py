@@ -1,6 +1,6 @@
 """Words of Arrow text columns as flat NumPy arrays, for use inside tasks.
 
-A column is cut into slices of whole documents of about ``SLICE`` bytes, so that the arrays of
+A column is cut into slices of whole documents of about ``SLICE`` bytes and at most ``SLICE_ROWS`` rows, so that the arrays of
 one step stay small whatever the batch; a longer document is a slice of its own.
 """
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 2 << 20
+SLICE_ROWS = 1 << 15
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -57,7 +58,7 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[Slice]:
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        last = min(max(last, first + 1), rows)
+        last = min(max(last, first + 1), first + SLICE_ROWS, rows)
         yield Slice(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 
