@@ -325,7 +325,7 @@ def fit(texts: DataFrame) -> Model:
     sums = stats.agg(
         *[F.sum(f"n{k}").cast("bigint") for k in range(1, 5)],
         *[F.count_if(F.col("follows") == k) for k in range(1, 5)],
-        F.sum("follows").cast("bigint"), F.count_if("follows >= 3"),
+        F.sum("follows").cast("bigint"), F.count_if(F.col("follows") >= 3),
     ).first()
     d2, d1 = discounts(sums[:4]), discounts(sums[4:8])
     kinds = float(sums[8] or 0)
