@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup
+from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,12 +48,17 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.without_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
     "op5_near_dedup": op5_near_dedup,
     "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
 }
 
