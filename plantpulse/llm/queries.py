@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, substring_dedup
+from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), percent=85)
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[pii.counted("base", kind).alias(f"n_{kind}") for kind, _, _ in pii.PATTERNS],
+        F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"),
+    )
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -56,6 +64,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
     "op5_near_dedup": op5_near_dedup,
+    "op7_personal_data": op7_personal_data,
     "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
