@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup
+from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +37,32 @@ def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"), token_counts.Vocabulary.load())
+
+
+def list_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Dated list entries: events name hosts of ``pages`` in turn; errors list a host, purchases take it off again, views
+    list a host with a first path segment, clicks take that off."""
+    pages, events = _table(spark, folder, "pages"), _table(spark, folder, "events")
+    names = pages.select(url_filter.host(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    names = names.withColumn("place", F.row_number().over(Window.orderBy("host")) - 1)
+    number = names.agg(F.count("*")).first()[0]
+    kinds = {"error": ("", True), "purchase": ("", False), "view": ("/en", True), "click": ("/en", False)}
+    suffix = F.create_map(*[F.lit(x) for kind, (path, _) in kinds.items() for x in (kind, path)])
+    listed = F.create_map(*[F.lit(x) for kind, (_, on) in kinds.items() for x in (kind, on)])
+    events = events.filter(F.col("event_type").isin(*kinds)).withColumn("place", F.col("user_id") % max(number, 1))
+    return events.join(names, "place").select(
+        F.concat("host", suffix[F.col("event_type")]).alias("key"), F.col("ts").alias("at"), listed[F.col("event_type")].alias("listed")
+    )
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    fetched = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("page_id") * 7919 % 43200).cast("int"))
+    captures = _table(spark, folder, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    return url_filter.judged(captures, list_changes(spark, folder))
+
+
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), percent=85)
 
@@ -63,6 +90,8 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
+    "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op5_near_dedup": op5_near_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_language": op8_language,
@@ -73,7 +102,39 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_HOST = "regexp_replace(split_part(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '@', -1), ':[0-9]*$', '')"
+
 ORACLES: dict[str, str] = {
+    "op4_url_filter": f"""
+        WITH captures AS (
+            SELECT page_id, url, {_HOST} AS host,
+                   regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment,
+                   TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 7919 % 43200 AS INTEGER)) AS fetched_at
+            FROM pages),
+        names AS (
+            SELECT host, row_number() OVER (ORDER BY host) - 1 AS place
+            FROM (SELECT DISTINCT host FROM captures WHERE host <> '')),
+        changes AS (
+            SELECT host || CASE WHEN event_type IN ('view', 'click') THEN '/en' ELSE '' END AS key, CAST(ts AS TIMESTAMP) AS since,
+                   bool_or(event_type IN ('error', 'view')) AS listed
+            FROM events JOIN names ON user_id % (SELECT count(*) FROM names) = place
+            WHERE event_type IN ('error', 'purchase', 'view', 'click')
+            GROUP BY ALL),
+        spans AS (
+            SELECT key, since, until FROM (
+                SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM changes)
+            WHERE listed),
+        parts AS (SELECT *, string_split(host, '.') AS labels FROM captures WHERE host <> ''),
+        keys AS (
+            SELECT page_id, fetched_at, host AS key FROM parts
+            UNION SELECT page_id, fetched_at, array_to_string(labels[k:], '.')
+                  FROM (SELECT *, unnest(range(2, len(labels))) AS k FROM parts)
+            UNION SELECT page_id, fetched_at, host || '/' || segment FROM parts WHERE segment <> ''),
+        hits AS (
+            SELECT page_id, k.key, s.since, row_number() OVER (PARTITION BY page_id ORDER BY length(k.key) DESC, k.key DESC) AS place
+            FROM keys k JOIN spans s ON k.key = s.key AND fetched_at >= since AND (until IS NULL OR fetched_at < until))
+        SELECT c.page_id, url, fetched_at, key IS NOT NULL AS blocked, key AS matched_key, since AS listed_since
+        FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND place = 1""",
     "op9_exact_dedup": f"""
         WITH lowered AS (SELECT doc_id, {_LOWER} AS t FROM documents),
         ranked AS (
