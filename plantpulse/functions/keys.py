@@ -9,14 +9,16 @@ from .payload import Payload
 
 
 def dedupe_key(site_id: Column, signal_id: Column, ts_source_text: Column, seq: Column) -> Column:
-    """``site:signal:ts_source:seq`` over the timestamp text as sent."""
-    return F.concat_ws(":", site_id, signal_id, ts_source_text, seq.cast("string"))
+    """``site:signal:ts_source:seq`` over the timestamp text as sent; NULL when a part is missing."""
+    colon = F.lit(":")
+    return F.concat(site_id, colon, signal_id, colon, ts_source_text, colon, seq.cast("string"))
 
 
 def message_key(p: Payload, channel: Column, site_id: Column, asset_id: Column) -> Column:
     """The event id; else the dedupe key of telemetry or the command id; else a composite.
 
-    Site and asset come from the device topic, the rest from the payload.
+    Site and asset come from the device topic, the rest from the payload. Incomplete telemetry
+    and requests without a command id have no key: NULL, with the reason in ``key_error``.
     """
     telemetry = dedupe_key(
         p.text("siteId"), p.text("signalId"), p.text("ts_source"), p.whole_number("seq")
@@ -34,3 +36,9 @@ def message_key(p: Payload, channel: Column, site_id: Column, asset_id: Column)
         .when(channel == "command/request", p.text("commandId"))
         .otherwise(composite)
     )
+
+
+def key_error(channel: Column, key: Column) -> Column:
+    """Why a message has no key; NULL when it has one."""
+    lacking = F.when(channel == "telemetry", "telemetry lacks site, signal, source time or sequence").otherwise("message lacks an id")
+    return F.when(key.isNull(), lacking)

@@ -49,8 +49,8 @@ class Payload:
         return F.col(self.body).isNotNull()
 
     def is_object(self) -> Column:
-        """For text known to be JSON: an object starts with a brace."""
-        return F.ltrim(F.col(self.raw)).startswith("{")
+        """For text known to be JSON: after JSON white space, an object starts with a brace."""
+        return F.ltrim(F.col(self.raw), F.lit(" \t\n\r")).startswith("{")
 
     def value(self, name: str) -> Column:
         """Field as VARIANT."""

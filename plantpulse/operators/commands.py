@@ -43,13 +43,15 @@ def overdue_commands(command_changes: DataFrame, as_of: datetime, timeout_second
     )
 
 
-def reconcile(acks: DataFrame, asset_state: DataFrame, chunk: str = "day") -> DataFrame:
+def reconcile(acks: DataFrame, asset_state: DataFrame, chunk: str = "hour") -> DataFrame:
     """Each acknowledgement with the first state its asset reports at or after it.
 
     Acks and states of an asset are laid on one time line. The next state is looked up
-    inside the (asset, day) first and else taken from the first later day that has one, so
-    no pairs are formed and a busy asset is split over its days.
+    inside the (asset, hour) first and else taken from the first later hour that has one, so
+    no pairs are formed and a busy asset is split over its hours. Of states reported at one
+    instant the smallest counts, whatever the order of the input.
     """
+    asset_state = asset_state.groupBy("asset_id", "ts_source").agg(F.min("state").alias("state"))
     line = acks.select(
         "asset_id", F.col("acked_at").alias("at"), F.struct("command_id", "status").alias("ack"),
         F.lit(None).cast(asset_state.schema["state"].dataType).alias("state"),
@@ -57,17 +59,17 @@ def reconcile(acks: DataFrame, asset_state: DataFrame, chunk: str = "day") -> Da
         asset_state.select(
             "asset_id", F.col("ts_source").alias("at"), "state",
         ).withColumn("ack", F.lit(None).cast("struct<command_id:string,status:string>"))
-    ).withColumn("day", F.date_trunc(chunk, F.col("at")))
+    ).withColumn("chunk", F.date_trunc(chunk, F.col("at")))
     found = F.when(F.col("state").isNotNull(), F.struct("at", "state"))
     # Walking back in time keeps the frame growing by one row a step. A state at the very
     # time of the ack counts, hence the range frame.
-    ahead = Window.partitionBy("asset_id", "day").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("asset_id", "chunk").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     within = line.withColumn("hit", F.last(found, ignorenulls=True).over(ahead)).filter(F.col("ack").isNotNull())
-    daily = line.groupBy("asset_id", "day").agg(F.min(found).alias("opening"))
-    later = Window.partitionBy("asset_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    following = daily.withColumn("next_hit", F.last("opening", ignorenulls=True).over(later)).drop("opening")
+    openings = line.groupBy("asset_id", "chunk").agg(F.min(found).alias("opening"))
+    later = Window.partitionBy("asset_id").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    following = openings.withColumn("next_hit", F.last("opening", ignorenulls=True).over(later)).drop("opening")
     return (
-        within.join(following, ["asset_id", "day"])
+        within.join(following, ["asset_id", "chunk"])
         .withColumn("hit", F.coalesce("hit", "next_hit"))
         .select(
             F.col("ack.command_id").alias("command_id"), "asset_id", F.col("at").alias("acked_at"),

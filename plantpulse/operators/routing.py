@@ -233,11 +233,18 @@ def _all_reads(routes: list[Route]) -> dict[str, str]:
     return merged
 
 
-def check(log: DataFrame, topics: list[str] | None = None, routes: dict[str, Route] = ROUTES) -> DataFrame:
+ARRIVAL_ORDER = ("timestamp", "partition", "offset")
+
+
+def check(
+    log: DataFrame, topics: list[str] | None = None, routes: dict[str, Route] = ROUTES, arrival: tuple[str, ...] = ARRIVAL_ORDER,
+) -> DataFrame:
     """Parse each message once; add ``raw``, ``body``, its fields, ``arrival`` and the first ``failure``.
 
     With ``topics`` only their messages are read and only their rules are evaluated;
-    without, every message of the log is judged and unknown topics fail.
+    without, every message of the log is judged and unknown topics fail. ``arrival`` names
+    the columns that order arrivals: where a key stays in one partition and producers' times
+    may run back, ``("partition", "offset")`` follows the log itself.
     """
     chosen = routes if topics is None else {t: routes[t] for t in topics}
     if topics is not None:
@@ -253,7 +260,7 @@ def check(log: DataFrame, topics: list[str] | None = None, routes: dict[str, Rou
         failure = failure.when(F.col("topic") == topic, first_failure(chosen_route.rules(p)))
     checked = parsed.select(
         "key", "topic", "partition", "offset", "timestamp", "raw", "body", "fields", "typed",
-        F.struct("timestamp", "partition", "offset").alias("arrival"),
+        F.struct(*arrival).alias("arrival"),
     )
     return with_failure(checked, failure)
 

@@ -232,14 +232,13 @@ def telemetry_window(p: Plant) -> DataFrame:
 
 @query
 def telemetry_window_all(p: Plant) -> DataFrame:
-    return readmodel.telemetry_window_all(p.measurements, p.assets, AS_OF, START, END, limit=5)
+    return readmodel.telemetry_window_all(p.measurements, p.assets, AS_OF, START, END)
 
 
 @query
 def telemetry_points(p: Plant) -> DataFrame:
     """Points as shown: the value as text."""
-    last_hours = readmodel.in_range(p.measurements, "ts_source", END, AS_OF, AS_OF)
-    return readmodel.points(last_hours).select("asset_id", "seq", *readmodel.POINT_COLUMNS)
+    return readmodel.points(p.measurements).select("asset_id", "seq", *readmodel.POINT_COLUMNS)
 
 
 @query
@@ -433,7 +432,9 @@ def message_keys(p: Plant) -> DataFrame:
     payload = Payload()
     reads = {n: WHOLE if n == "seq" else TEXT for n in ("eventId", "siteId", "signalId", "ts_source", "timestamp", "seq", "commandId")}
     key = key_fn.message_key(payload, F.col("parsed.channel"), F.col("parsed.site_id"), F.col("parsed.asset_id"))
-    return with_payload(m, raw, reads, payload).select("o_orderkey", key.alias("message_key"))
+    return with_payload(m, raw, reads, payload).select(
+        "o_orderkey", key.alias("message_key"), key_fn.key_error(F.col("parsed.channel"), key).alias("key_error")
+    )
 
 
 @query
@@ -544,7 +545,7 @@ def overdue_commands(p: Plant) -> DataFrame:
 
 @query
 def command_reconciliation(p: Plant) -> DataFrame:
-    """Acks of 1998 moved to 2024 meet the states that assets report there."""
+    """Purchases stand for acknowledgements, the other events for the states their assets report."""
     acks = p.table("events").filter(F.col("event_type") == "purchase").select(
         F.concat(F.lit("asset-"), "user_id").alias("asset_id"),
         F.concat(F.lit("cmd-"), "event_id").alias("command_id"),
@@ -590,10 +591,10 @@ def backlog_trend(p: Plant) -> DataFrame:
 
 @query
 def sliding_windows(p: Plant) -> DataFrame:
-    """Windows of 8 samples per series, flattened to text for comparison."""
-    found = anomaly.sliding_windows(p.measurements, ["asset_id", "signal_id"], length=8, chunk="day")
+    """Windows of 32 samples per asset, flattened to text for comparison."""
+    found = anomaly.sliding_windows(p.measurements, ["site_id", "asset_id"])
     cents = F.transform("window", lambda v: F.round(v * 100).cast("bigint").cast("string"))
-    return found.select("asset_id", "signal_id", "ts_source", "seq", F.array_join(cents, ",").alias("window"))
+    return found.select("site_id", "asset_id", "ts_source", "seq", F.array_join(cents, ",").alias("window"))
 
 
 def _vectors(p: Plant) -> DataFrame:
@@ -602,8 +603,9 @@ def _vectors(p: Plant) -> DataFrame:
 
 def _centroid_scores(p: Plant) -> DataFrame:
     vectors = _vectors(p)
-    mean = F.array(*[F.avg(F.get("window", F.lit(i))) for i in range(64)])
-    centroids = vectors.groupBy("label").agg(mean.alias("centroid"))
+    means = vectors.select("label", F.posexplode("window").alias("at", "x")).groupBy("label", "at").agg(F.avg("x").alias("x"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "x")))
+    centroids = means.groupBy("label").agg(F.transform(listed, lambda m: m["x"]).alias("centroid"))
     named = vectors.join(centroids, "label").select(
         F.lit("site-x").alias("site_id"),
         F.concat(F.lit("asset-"), F.col("label")).alias("asset_id"),
@@ -638,7 +640,7 @@ def pca_scores(p: Plant) -> DataFrame:
     The windows are read three times, so they are written once.
     """
     path = new_folder(p.spark, "windows")
-    anomaly.sliding_windows(p.measurements, ["site_id", "asset_id"], chunk="day").write.parquet(path)
+    anomaly.sliding_windows(p.measurements, ["site_id", "asset_id"]).write.parquet(path)
     windows = p.spark.read.parquet(path).withColumn("signal_id", F.lit("all"))
     fitted = anomaly.fit(windows)
     return rounded(anomaly.score(windows, fitted.reconstruct(F.col("window"))), "score")
@@ -649,7 +651,7 @@ def pca_scores(p: Plant) -> DataFrame:
 
 def _stream(p: Plant, name: str) -> DataFrame:
     path = f"{p.folder}/{name}.parquet"
-    return p.dealt(name, files.stream_files(p.spark, path, p.table(name).schema))
+    return files.stream_files(p.spark, path, p.table(name).schema)
 
 
 def _finish(running) -> None:

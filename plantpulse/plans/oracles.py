@@ -276,9 +276,9 @@ FROM ({_latest_health("connected, spool_depth")})""",
 WHERE asset_id='asset-7' AND ts_source {RANGE} ORDER BY ts_source DESC, seq DESC LIMIT 500""",
     "telemetry_window_all": f"""SELECT * FROM (SELECT asset_id, site_id,
        row_number() OVER (PARTITION BY asset_id ORDER BY ts_source DESC, seq DESC) AS rank, ts_source, signal_id, value, quality, unit, tags
-FROM measurements WHERE ts_source {RANGE}) WHERE rank <= 5""",
+FROM measurements WHERE ts_source {RANGE}) WHERE rank <= 500""",
     "telemetry_points": f"""SELECT asset_id, seq, ts_source, signal_id, CAST(value AS VARCHAR) AS value, quality, unit, tags FROM measurements
-WHERE ts_source BETWEEN TIMESTAMP '2024-01-30 12:00:00' AND {AS_OF}""",
+WHERE ts_source <= {AS_OF}""",
     "alarm_list": "SELECT * FROM alarms ORDER BY raised_at DESC, alarm_id DESC LIMIT 200",
     "alarm_list_filtered": """SELECT * FROM alarms WHERE site_id='site-asia' AND state='open' ORDER BY raised_at DESC, alarm_id DESC LIMIT 200""",
     "threshold_alarms": """SELECT ts_source, asset_id, signal_id, seq, value, limit_value FROM measurements
@@ -369,10 +369,11 @@ FROM events""",
     "canonical_json": """SELECT event_id, concat('{"a":"',event_type,'","b":{"x":[',user_id,',null],"y":true},"z":0}') AS canonical FROM events""",
     "dedupe_keys": """SELECT arrival, concat(site_id,':',signal_id,':',strftime(ts_source,'%Y-%m-%dT%H:%M:%SZ'),':',seq) AS dedupe_key FROM arrivals""",
     "message_keys": """SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN concat('ev-',o_orderkey)
-       WHEN turn=0 AND o_orderkey%3=1 THEN concat('s:level:2024-01-01T00:00:00Z:',o_orderkey) WHEN turn=0 THEN ''
+       WHEN turn=0 AND o_orderkey%3=1 THEN concat('s:level:2024-01-01T00:00:00Z:',o_orderkey) WHEN turn=0 THEN NULL
        WHEN turn=6 THEN concat('cmd-',o_orderkey)
        WHEN o_orderkey%3=1 THEN concat(site_id,':',asset_id,':level:2024-01-01T00:00:00Z')
-       ELSE concat(site_id,':',asset_id,':command/ack:t',o_orderkey) END AS message_key
+       ELSE concat(site_id,':',asset_id,':command/ack:t',o_orderkey) END AS message_key,
+       CASE WHEN turn=0 AND o_orderkey%3=2 THEN 'telemetry lacks site, signal, source time or sequence' END AS key_error
 FROM device_topics WHERE turn IN (0,1,6)""",
     "topic_build": """SELECT asset_id, CASE WHEN asset_key%8<6 THEN concat('site/',site_id,'/area/',area_id,'/asset/',asset_id,'/',
             CASE asset_key%8 WHEN 0 THEN 'telemetry' WHEN 1 THEN 'event' WHEN 2 THEN 'alarm' WHEN 3 THEN 'state'
@@ -436,9 +437,9 @@ GROUP BY site_id HAVING depth > 0 AND coalesce(last_sent_at < {AS_OF} - INTERVAL
     SELECT site_id, time_bucket(INTERVAL '15 minutes', moment) AS slot, sum(came) AS came, sum(went) AS went FROM (
       SELECT site_id, created_at AS moment, 1 AS came, 0 AS went FROM spool
       UNION ALL SELECT site_id, sent_at, 0, 1 FROM spool WHERE sent_at IS NOT NULL) GROUP BY 1,2))""",
-    "sliding_windows": """SELECT asset_id, signal_id, ts_source, seq, array_to_string(w, ',') AS "window" FROM (
-  SELECT asset_id, signal_id, ts_source, seq, list(CAST(round(value*100) AS BIGINT)) OVER (
-         PARTITION BY asset_id, signal_id ORDER BY ts_source, seq ROWS 7 PRECEDING) AS w FROM measurements) WHERE len(w)=8""",
+    "sliding_windows": """SELECT site_id, asset_id, ts_source, seq, array_to_string(w, ',') AS "window" FROM (
+  SELECT site_id, asset_id, ts_source, seq, list(CAST(round(value*100) AS BIGINT)) OVER (
+         PARTITION BY site_id, asset_id ORDER BY ts_source, seq ROWS 31 PRECEDING) AS w FROM measurements) WHERE len(w)=32""",
     "window_mse": """SELECT 'site-x' AS site_id, concat('asset-',label) AS asset_id, concat('vec-',vec_id) AS signal_id,
        'vibration-anomaly' AS model_id, threshold, round(score,6) AS score, score>threshold AS anomalous FROM vector_scores""",
     "published_scores": f"""SELECT {AS_OF} AS ts_source, 'vibration-anomaly' AS model_id, concat('asset-',label) AS asset_id,

@@ -23,9 +23,6 @@ THRESHOLDS = {"error": 120.0, "purchase": 150.0, "view": 150.0, "click": 200.0}
 # Fixed value: how much later a replayed reading arrives.
 REPLAY_OFFSET = 100_000_000
 
-# Fixed value: bytes up to which a registry is sent to every executor.
-BROADCAST_LIMIT = 10 * 1024 * 1024
-
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -60,36 +57,12 @@ class Plant:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
-        self._splits: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._tables[name]
 
-    def dealt(self, name: str, rows: DataFrame | None = None) -> DataFrame:
-        """A table that the message views, which are heavy per row, are built from.
-
-        Only a table of fewer file splits than there are cores is dealt out over them; its
-        size is bounded by that. A larger one is already in enough pieces. ``rows`` may be
-        the same table as a stream.
-        """
-        table = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        if name not in self._splits:
-            self._splits[name] = table.rdd.getNumPartitions()
-        rows = table if rows is None else rows
-        return rows.repartition(cores) if self._splits[name] < cores else rows
-
-    def sized(self, df: DataFrame, *sources: DataFrame) -> DataFrame:
-        """``df`` marked for broadcast when the tables it is joined from are small together.
-
-        The planner multiplies the sizes of joined tables and so takes a small registry for
-        a large one. Beyond the limit the choice is left to the planner.
-        """
-        total = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in sources)
-        return F.broadcast(df) if total <= BROADCAST_LIMIT else df
-
     # --- registries -------------------------------------------------------------------
 
     @cached_property
@@ -106,7 +79,7 @@ class Plant:
             F.col("c_name").alias("name"),
             F.lit("mqtt").alias("protocol"),
         )
-        return self.sized(joined, customer, nation, region)
+        return joined
 
     @property
     def assets(self) -> DataFrame:
@@ -277,7 +250,7 @@ class Plant:
                 "traceId": _pick(fault, {18: None}, _quoted(F.col("trace_id"))),
             }
         )
-        value = F.when(fault == 4, F.left(text, F.lit(40))).when(fault == 14, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+        value = F.when(fault == 4, F.left(text, F.lit(40))).when(fault == 19, F.concat(F.lit("\n\t"), text)).when(fault == 14, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
         return a.select(
             F.col("event_id").alias("key"),
             value.alias("value"),
@@ -289,12 +262,12 @@ class Plant:
 
     @property
     def telemetry_messages(self) -> DataFrame:
-        return self.telemetry_messages_of(self.dealt("events"))
+        return self.telemetry_messages_of(self.table("events"))
 
     @property
     def alarm_messages(self) -> DataFrame:
         """Alarm envelopes of breaching readings; some carry no severity, some no tags."""
-        m = alarm_ops.breaches(self.arrivals_of(self.dealt("events")), self.thresholds)
+        m = alarm_ops.breaches(self.arrivals_of(self.table("events")), self.thresholds)
         fault = F.col("seq") % 5
         iso = F.concat(F.date_format("ts_source", ISO_MICROS), F.lit("Z"))
         full = F.concat(F.lit('{"severity":"high","message":"'), F.col("signal_id"), F.lit(' over limit"}'))
@@ -321,7 +294,7 @@ class Plant:
     @property
     def event_messages(self) -> DataFrame:
         """Plain events with the id, type and time under their various names, or absent."""
-        e = self.dealt("events")
+        e = self.table("events")
         fault = F.col("event_id") % 6
         iso = _quoted(F.concat(F.date_format("ts", ISO_MICROS), F.lit("Z")))
         name = F.concat(F.lit('"ev-'), F.col("event_id"), F.lit('"'))
@@ -349,7 +322,7 @@ class Plant:
     @property
     def state_messages(self) -> DataFrame:
         """Asset states named by the event type, or by a value, or not at all."""
-        e = self.dealt("events")
+        e = self.table("events")
         fault = F.col("event_id") % 6
         iso = _quoted(F.concat(F.date_format("ts", ISO_MICROS), F.lit("Z")))
         text = _object(
@@ -370,7 +343,7 @@ class Plant:
     @property
     def command_messages(self) -> DataFrame:
         """Requests and acknowledgements as messages; every fortieth order has a faulty request."""
-        c = self.command_arrivals_of(self.dealt("orders")).withColumn("order_key", F.substring("command_id", 5, 20).cast("bigint"))
+        c = self.command_arrivals_of(self.table("orders")).withColumn("order_key", F.substring("command_id", 5, 20).cast("bigint"))
         ack = F.col("kind") == "ack"
         fault = F.when(ack, F.lit(-1)).otherwise(F.col("order_key") % 40)
         ack_fault = F.when(ack, F.col("order_key") % 7).otherwise(-1)
@@ -412,7 +385,7 @@ class Plant:
     @property
     def score_messages(self) -> DataFrame:
         """Scores of the vectors' first element, with the optional fields varied."""
-        e = self.dealt("embeddings")
+        e = self.table("embeddings")
         fault = F.col("vec_id") % 6
         text = _object(
             {
@@ -475,7 +448,7 @@ class Plant:
     @property
     def model_messages(self) -> DataFrame:
         """Model deployments, one per part."""
-        p = self.dealt("part")
+        p = self.table("part")
         fault = F.col("p_partkey") % 20
         text = _object(
             {

@@ -35,6 +35,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # The test tables are single small files: read them with all cores.
+        .config("spark.sql.files.minPartitionNum", str(max(shuffle_partitions, 8)))
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.ui.showConsoleProgress", "false")
         # Recording the Python line of every expression costs more than building long rule lists.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

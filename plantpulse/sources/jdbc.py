@@ -8,32 +8,26 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 
 def table_reader(
-    spark: SparkSession, url: str, table: str, user: str, password: str, time: str = "ts_source",
-    start: datetime | None = None, end: datetime | None = None, partitions: int = 1, fetch_size: int = 10_000,
+    spark: SparkSession, url: str, table: str, user: str, password: str, start: datetime, end: datetime, partitions: int,
+    time: str = "ts_source", fetch_size: int = 10_000,
 ) -> DataFrameReader:
     """A reader that splits the scan into ``partitions`` equal time spans.
 
     Filters and column choice reach the database; rows outside the bounds are still read,
     by the first and last partition.
     """
-    reader = (
+    return (
         spark.read.format("jdbc")
         .option("url", url)
         .option("dbtable", table)
         .option("user", user)
         .option("password", password)
         .option("fetchsize", fetch_size)
+        .option("partitionColumn", time)
+        .option("lowerBound", start.isoformat(sep=" "))
+        .option("upperBound", end.isoformat(sep=" "))
+        .option("numPartitions", partitions)
     )
-    if partitions > 1:
-        if start is None or end is None:
-            raise ValueError("a split scan needs start and end")
-        reader = (
-            reader.option("partitionColumn", time)
-            .option("lowerBound", start.isoformat(sep=" "))
-            .option("upperBound", end.isoformat(sep=" "))
-            .option("numPartitions", partitions)
-        )
-    return reader
 
 
 def overwrite_table(

@@ -143,11 +143,14 @@ class FoldedTable:
         return self.spark.read.schema(self.change_schema).parquet(*paths)
 
     def read(self) -> DataFrame:
-        """The table as of now: one row per key."""
-        self._finish_swap()
-        return merge(self._base(), self._changes(self._batches()), self.spec).select(*self.schema.names)
+        """The table as of now: one row per key. Reading changes nothing: staged days count as soon as they are whole."""
+        base = self._base()
+        if _exists(self.spark, f"{self.staged_path}/_SUCCESS"):
+            staged = self.spark.read.schema(base.schema).parquet(self.staged_path)
+            base = base.join(staged.select(DAY).distinct(), DAY, "left_anti").unionByName(staged)
+        return merge(base, self._changes(self._batches()), self.spec).select(*self.schema.names)
 
-    def compact(self, max_listed_days: int = 1000) -> None:
+    def compact(self) -> None:
         """Fold the stored batches into the base and drop them.
 
         The days that change are written aside in full before the base is touched, and the
@@ -159,14 +162,8 @@ class FoldedTable:
         if not batches:
             return
         changes = self._changes(batches)
-        days = changes.select(DAY).distinct()
-        listed = [r[0] for r in days.limit(max_listed_days + 1).collect()]
-        base = self._base()
-        # A short list of days prunes the scan of the base by partition; a long one is joined.
-        if len(listed) <= max_listed_days:
-            touched = base.filter(F.col(DAY).isin(listed)) if listed else base.limit(0)
-        else:
-            touched = base.join(days, DAY, "left_semi")
+        # The join on the partition column prunes the scan of the base to the days that change.
+        touched = self._base().join(changes.select(DAY).distinct(), DAY, "left_semi")
         folded = merge(touched, changes, self.spec).select(*self.schema.names)
         write_table(folded, self.staged_path, self.spec.time, only_days=False)
         self._finish_swap()
