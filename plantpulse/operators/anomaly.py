@@ -54,10 +54,12 @@ def mean_squared_error(a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class LinearReconstruction:
-    """A fitted bottleneck: the mean window and ``k`` orthonormal directions (length x k)."""
+    """A fitted bottleneck: the mean window, ``k`` orthonormal directions (length x k), and the
+    variance per window that they leave."""
 
     mean: np.ndarray
     directions: np.ndarray
+    residual: float = 0.0
 
     def reconstruct(self, window: Column) -> Column:
         """The window as seen through the bottleneck, in Arrow batches of windows."""
@@ -81,9 +83,11 @@ def fit(windows: DataFrame, k: int = BOTTLENECK, window: str = "window") -> Line
     Both are summed by the executors; only matrices of the window length reach the driver.
     """
     vectors = windows.select(array_to_vector(F.col(window)).alias("x"))
-    mean = vectors.select(Summarizer.mean(F.col("x"))).first()[0]
-    components = PCA(k=k, inputCol="x", outputCol="p").fit(vectors).pc
-    return LinearReconstruction(np.asarray(mean.toArray()), np.asarray(components.toArray()))
+    found = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("x")).alias("s")).first().s
+    model = PCA(k=k, inputCol="x", outputCol="p").fit(vectors)
+    spread = float(found.variance.toArray().sum()) * (found["count"] - 1) / found["count"]
+    left = spread * (1 - float(model.explainedVariance.toArray().sum()))
+    return LinearReconstruction(np.asarray(found.mean.toArray()), np.asarray(model.pc.toArray()), left)
 
 
 def score(windows: DataFrame, reconstruction: Column, window: str = "window") -> DataFrame:

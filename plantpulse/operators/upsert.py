@@ -84,12 +84,12 @@ SPECS = {s.table: s for s in (MEASUREMENTS, ALARMS, EVENTS, ASSET_STATE, COMMAND
 def fold(arrivals: DataFrame, spec: UpsertSpec, arrival: str | Column = "arrival") -> DataFrame:
     """One row per key. ``arrival`` is any orderable column, unique within a key."""
     order = F.col(arrival) if isinstance(arrival, str) else arrival
-    aggregates = [F.min_by(c, order).alias(c) for c in spec.first]
-    aggregates += [F.max_by(c, order).alias(c) for c in spec.last]
+    # All first columns travel with one copy of the order, all last columns with another.
+    aggregates = [F.min_by(F.struct(*spec.first), order).alias("_first"), F.max_by(F.struct(*spec.last), order).alias("_last")]
     for name, default in spec.last_known.items():
         known = F.max_by(name, F.when(F.col(name).isNotNull(), order))
         aggregates.append(F.coalesce(known, F.lit(default)).alias(name))
-    return arrivals.groupBy(*spec.keys).agg(*aggregates)
+    return arrivals.groupBy(*spec.keys).agg(*aggregates).select(*spec.keys, "_first.*", "_last.*", *spec.last_known)
 
 
 def command_changes(command_rows: DataFrame) -> DataFrame:

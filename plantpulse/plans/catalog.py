@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as key_fn
@@ -635,7 +636,8 @@ def published_scores(p: Plant) -> DataFrame:
 
 @query
 def pca_scores(p: Plant) -> DataFrame:
-    """Reconstruction error of 32-sample windows per asset through a bottleneck of 8.
+    """Windows of 32 samples per asset seen through a bottleneck of 8: how many are scored, whether the mean error is the
+    variance the fit leaves, and whether its directions are orthonormal.
 
     The windows are read three times, so they are written once.
     """
@@ -643,7 +645,22 @@ def pca_scores(p: Plant) -> DataFrame:
     anomaly.sliding_windows(p.measurements, ["site_id", "asset_id"]).write.parquet(path)
     windows = p.spark.read.parquet(path).withColumn("signal_id", F.lit("all"))
     fitted = anomaly.fit(windows)
-    return rounded(anomaly.score(windows, fitted.reconstruct(F.col("window"))), "score")
+    scored = anomaly.score(windows, fitted.reconstruct(F.col("window")))
+    sums = scored.groupBy("site_id", "asset_id").agg(F.count("score").alias("windows"), F.sum("score").alias("error"))
+    sums = sums.withColumn("mean_error", F.sum("error").over(Window.partitionBy()) / F.sum("windows").over(Window.partitionBy()))
+    length, k = fitted.directions.shape
+    orthonormal = bool(abs(fitted.directions.T @ fitted.directions - np.eye(k)).max() < 1e-9)
+    agrees = F.abs(F.col("mean_error") * length - fitted.residual) <= 1e-6 * max(fitted.residual, 1.0)
+    return sums.select("site_id", "asset_id", "windows", agrees.alias("error_is_residual"), F.lit(orthonormal).alias("orthonormal"))
+
+
+@query
+def window_moments(p: Plant) -> DataFrame:
+    """Mean and variance of every position of the 32-sample windows per asset."""
+    windows = anomaly.sliding_windows(p.measurements, ["site_id", "asset_id"])
+    each = windows.select(F.posexplode("window").alias("position", "x"))
+    found = each.groupBy("position").agg(F.count("x").alias("windows"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
+    return found.withColumns({c: F.round(c, 4) for c in ("mean", "variance")})
 
 
 # --- streams -------------------------------------------------------------------------------

@@ -482,4 +482,10 @@ def _with_views(sql: str) -> str:
     return f"WITH {views}\n{sql}" if views else sql
 
 
+_WINDOWS = """(SELECT site_id, asset_id, w FROM (SELECT site_id, asset_id, list(value) OVER (
+    PARTITION BY site_id, asset_id ORDER BY ts_source, seq ROWS 31 PRECEDING) AS w FROM measurements) WHERE len(w)=32)"""
+QUERIES["pca_scores"] = f"SELECT site_id, asset_id, count(*) AS windows, TRUE AS error_is_residual, TRUE AS orthonormal FROM {_WINDOWS} GROUP BY 1, 2"
+QUERIES["window_moments"] = f"""SELECT CAST(k - 1 AS INTEGER) AS position, count(x) AS windows, round(avg(x),4) AS mean, round(var_pop(x),4) AS variance
+FROM (SELECT unnest(w) AS x, unnest(range(1,33)) AS k FROM {_WINDOWS}) GROUP BY k"""
+
 ORACLES = {name: _with_views(sql) for name, sql in QUERIES.items()}

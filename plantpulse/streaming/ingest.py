@@ -15,10 +15,14 @@ ARRIVAL = "struct<timestamp:timestamp,partition:int,offset:bigint>"
 
 
 class Ingest:
-    """Tables under ``path`` and the batch step that feeds them."""
+    """Tables under ``path`` and the batch step that feeds them.
 
-    def __init__(self, spark: SparkSession, path: str, tables: list[str] | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    Every ``compact_every`` batches the tables fold their batches into their base, so that no
+    more than that many stay open. A batch that is tried again after that folds to the same rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tables: list[str] | None = None, compact_every: int = 16):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
         self.tables = {
             name: FoldedTable(spark, f"{self.path}/{name}", SPECS[name], TABLES[name], ARRIVAL)
             for name in (tables or list(SPECS))
@@ -38,6 +42,9 @@ class Ingest:
             rejected.write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={batch_id}")
         finally:
             checked.unpersist()
+        if (batch_id + 1) % self.compact_every == 0:
+            for table in self.tables.values():
+                table.compact()
 
     def start(self, log: DataFrame, **trigger) -> StreamingQuery:
         """Run the step over a log stream; pass ``availableNow=True`` or ``processingTime=...``."""

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.times import literal
 from ..operators.ordering import newest
 from ..operators.upsert import COMMAND_LOG, fold
+from ..sources.tables import _children, _exists, _remove
 
 POLL = "5 seconds"
 POINT = ["ts_source", "signal_id", "value", "quality", "unit", "tags"]
@@ -42,13 +43,40 @@ def site_connectivity(site_health: DataFrame) -> DataFrame:
 
 
 class LiveView:
-    """The changed rows of each batch under ``path``, and the newest of them per key."""
+    """The changed rows of each batch under ``path``, and the newest of them per key.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    Every ``compact_every`` batches the view is written whole below ``folded`` and the batches it
+    holds are dropped; a stop between the two leaves rows twice, which reads do not notice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], compact_every: int = 16):
+        self.spark, self.path, self.keys, self.compact_every = spark, path.rstrip("/"), keys, compact_every
 
     def apply(self, changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            old = self._parts()
+            target = f"{self.path}/folded/batch={batch_id}"
+            self._current().write.mode("overwrite").parquet(target)
+            for part in old:
+                if part != target:
+                    _remove(self.spark, part)
+
+    def _parts(self) -> list[str]:
+        """Folders of rows in use: the last whole fold and the batches."""
+        found = [f"{self.path}/rows/{n}" for n in _children(self.spark, f"{self.path}/rows")]
+        folds = [f"{self.path}/folded/{n}" for n in _children(self.spark, f"{self.path}/folded")]
+        whole = [f for f in folds if _exists(self.spark, f"{f}/_SUCCESS")]
+        return found + whole
+
+    def _current(self) -> DataFrame:
+        """The newest row per key."""
+        parts = self._parts()
+        rows = [self.spark.read.parquet(part).withColumn("_batch", F.lit(int(part.rpartition("=")[2]))) for part in parts]
+        every = rows[0]
+        for more in rows[1:]:
+            every = every.unionByName(more)
+        return newest(every, self.keys, ["_batch"], [c for c in every.columns if c not in (*self.keys, "_batch")])
 
     def start(self, view: DataFrame, **trigger) -> StreamingQuery:
         return (
@@ -61,8 +89,7 @@ class LiveView:
 
     def read(self, time: str | None = None, as_of: datetime | None = None, within: timedelta | None = None) -> DataFrame:
         """Current rows; with a look-back only those whose time lies inside it."""
-        rows = self.spark.read.parquet(f"{self.path}/rows")
-        current = newest(rows, self.keys, ["batch"], [c for c in rows.columns if c not in (*self.keys, "batch")])
+        current = self._current()
         if time is None:
             return current
         low, high = literal(as_of - within, current, time), literal(as_of, current, time)

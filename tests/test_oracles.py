@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences, oracle_frame
+from plantpulse.plans.catalog import CATALOG
+from plantpulse.plans.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(CATALOG), dict(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -20,9 +22,8 @@ def test_query(spark, name):
     assert differences(got, oracle_frame(ORACLES[name], FOLDER)) is None
 
 
-def test_only_the_fitted_scores_lack_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"pca_scores"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
@@ -31,9 +32,6 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-STREAMED = {"stream_features_1m", "stream_ingest", "stream_replay", "pca_scores", "layout_write"}
-
-
 @pytest.mark.parametrize("name", ["upsert_measurements", "asset_health", "rollup_15m", "threshold_alarms", "command_log", "backlog_trend"])
 def test_no_plan_pairs_everything(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
