@@ -4,9 +4,9 @@
    documents with equal sets form one class, and only classes are joined.
 2. Trees: at a node, a document branches by one of its minwise tokens, which the node chooses, and now and then by a
    second, so that a pair at the threshold shares one child on average. Nodes of at most ``SMALL`` classes are compared
-   exhaustively by sketch. A larger node compares two pivots with all its members and branches again; at the last level
-   it is cut into blocks along further minwise tokens and each block is compared exhaustively. ``TREES`` independent
-   trees give the recall.
+   exhaustively by sketch. A larger node compares a pivot with all its members and branches again without the pivot and
+   those almost equal to it; what is left after the last level is cut into blocks that are compared exhaustively.
+   ``TREES`` independent trees give the recall.
 3. Pairs whose sketches agree enough are confirmed on their full sets: first one partner for each class, then every
    pair whose ends are not connected yet. Pairs left out join classes that are already in one component.
 4. Components of the confirmed links; of each the smallest id stays.
@@ -31,9 +31,10 @@ from .text import LOWER, NOT_BLANK, hashes, mixed, runs, slices, words
 
 RUN = 5
 COORDINATES = 64
-TREES = 16
-LEVELS = 6
+TREES = 10
+LEVELS = 3
 SMALL = 64
+ALIKE = 61  # coordinates in which a member agrees with a pivot to be almost equal
 _RANDOM = np.random.default_rng(20240609)
 _XOR = _RANDOM.integers(0, 2**64 - 1, COORDINATES, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**64 - 1, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -111,7 +112,7 @@ def children(at: np.ndarray, level: int, tree: np.ndarray | None, sketch: np.nda
         one = (mixed(at ^ np.uint64(1)) % np.uint64(COORDINATES)).astype(int)
         two = (mixed(at ^ np.uint64(2)) % np.uint64(COORDINATES)).astype(int)
     coin = mixed(at ^ np.uint64(3)) / 2.0**64
-    again = np.flatnonzero(coin < 1 / threshold - 1)
+    again = np.flatnonzero((coin < 1 / threshold - 1) & (one != two))
     member = np.concatenate([np.arange(len(at)), again])
     place = np.concatenate([one, two[again]])
     token = sketch[member, place].astype(np.uint64)
@@ -154,16 +155,15 @@ def least_agreement(threshold: float) -> int:
     return math.floor(COORDINATES * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
 
 
-def compared_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b) of rows (a, sa, b, sb) whose sketches agree in ``least`` coordinates."""
+def with_agreement(rows: DataFrame) -> DataFrame:
+    """(key, at, pivot, agree) of rows (key, at, sketch, pivot, sp): how many coordinates agree with the pivot's."""
 
     def work(batches):
         for batch in batches:
-            ok = (_matrix(batch.column(1)) == _matrix(batch.column(3))).sum(axis=1) >= least
-            a, b = _ints(batch.column(0))[ok], _ints(batch.column(2))[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            agree = (_matrix(batch.column(2)) == _matrix(batch.column(4))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3)), pa.array(agree.astype(np.int32))], names=["key", "at", "pivot", "agree"])
 
-    return rows.select("a", "sa", "b", "sb").mapInArrow(work, "a bigint, b bigint")
+    return rows.select("key", "at", "sketch", "pivot", "sp").mapInArrow(work, "key bigint, at bigint, pivot bigint, agree int")
 
 
 def exhaustive_pairs(rows: DataFrame, least: int) -> DataFrame:
@@ -202,36 +202,34 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Distinct (a, b), a < b, of classes (key, sketch) that meet in a tree and whose sketches agree enough."""
     least = least_agreement(threshold)
     sketches = classes.select("key", "sketch")
-    members, found = sketches, []
+    pivot_sketches = sketches.withColumnsRenamed({"key": "pivot", "sketch": "sp"})
+    members, small, found = sketches, [], []
     for level in range(LEVELS):
-        # A class may reach a node by two ways; it counts once.
-        rows = saved(grow(members, level, threshold).distinct(), "tree-rows")
-        order = F.struct(F.xxhash64("key", "at").alias("h"), "key")
-        nodes = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high"))
-        nodes = saved(nodes.filter("n > 1"), "tree-nodes")
-        small = rows.join(nodes.filter(F.col("n") <= SMALL).select("at"), "at").join(sketches, "key")
-        found.append(saved(exhaustive_pairs(small, least).distinct(), "pairs"))
+        rows = saved(grow(members, level, threshold), "tree-rows")
+        pivot = F.min(F.struct(F.xxhash64("key", "at").alias("h"), "key"))["key"].alias("pivot")
+        nodes = saved(rows.groupBy("at").agg(F.count("*").alias("n"), pivot).filter("n > 1"), "tree-nodes")
+        small.append(rows.join(nodes.filter(F.col("n") <= SMALL).select("at"), "at"))
         large = nodes.filter(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        members = saved(rows.join(large.select("at"), "at").join(sketches, "key"), "tree-members")
-        pivots = large.select("at", F.explode(F.array("low.key", "high.key")).alias("b"))
-        pivots = pivots.join(sketches.withColumnsRenamed({"key": "b", "sketch": "sb"}), "b")
-        met = members.withColumnsRenamed({"key": "a", "sketch": "sa"}).join(pivots, "at").filter("a <> b")
-        found.append(saved(compared_pairs(met, least).distinct(), "pairs"))
+        met = rows.join(large.select("at", "pivot"), "at").join(sketches, "key").join(pivot_sketches, "pivot")
+        met = saved(with_agreement(met), "pivots")
+        pairs = met.filter((F.col("agree") >= least) & (F.col("key") != F.col("pivot")))
+        found.append(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
+        # The pivot has met all members; those almost equal to it are linked to it and stop here, in this tree.
+        going = met.filter((F.col("agree") < ALIKE) & (F.col("key") != F.col("pivot"))).select("key", "at")
+        members = going.join(sketches, "key")
     else:
-        # Blocks of the nodes that are still large: along two tokens none has branched by, then by count.
-        tail = F.substring("sketch", COORDINATES * 4 - 7, 8)
-        part = F.pmod(F.xxhash64(tail), F.ceil(F.col("n") / SMALL))
-        spread = members.join(large.select("at", "n"), "at").withColumn("at", F.xxhash64("at", part))
-        for shift in range(2):
-            # Blocks filled unevenly by equal tokens are cut again by a hash of the key, in two ways.
-            counts = spread.groupBy("at").agg(F.count("*").alias("m"))
-            cut = F.pmod(F.xxhash64("key", F.lit(shift)), F.ceil(F.col("m") * 2 / SMALL))
-            blocks = spread.join(counts, "at").withColumn("at", F.xxhash64("at", cut, F.lit(shift)))
-            found.append(saved(exhaustive_pairs(blocks, least).distinct(), "pairs"))
-    out = found[0]
-    for more in found[1:]:
+        # Blocks of the nodes that are still large, drawn twice.
+        parts = going.groupBy("at").agg(F.ceil(F.count("*") * 2 / SMALL).alias("parts"))
+        for draw in range(2):
+            part = F.pmod(F.xxhash64("key", F.lit(draw)), F.col("parts"))
+            small.append(going.join(parts, "at").select("key", F.xxhash64("at", part, F.lit(draw)).alias("at")))
+    gathered = small[0].select("key", "at")
+    for more in small[1:]:
+        gathered = gathered.unionAll(more.select("key", "at"))
+    out = exhaustive_pairs(gathered.join(sketches, "key"), least)
+    for more in found:
         out = out.unionAll(more)
     return saved(out.distinct(), "candidates")
 
