@@ -272,12 +272,16 @@ def pair_counts(uri: str, key: np.ndarray) -> np.ndarray:
 
 
 def discounts(t: list[int]) -> np.ndarray:
-    """Discounts for counts 0, 1, 2, 3 and more, from how many events have count 1, 2, 3, 4; kept between 0 and the count."""
+    """Discounts for counts 0, 1, 2, 3 and more, from how many events have count 1, 2, 3, 4.
+
+    Where the estimate is not above 0 and up to the count, half the count is taken: no event may get probability 0.
+    """
     t1, t2, t3, t4 = (float(x or 0) for x in t)
     y = t1 / (t1 + 2 * t2) if t1 else 0.5
     out = [0.0]
     for k, a, b in ((1, t1, t2), (2, t2, t3), (3, t3, t4)):
-        out.append(min(max(k - (k + 1) * y * b / a if a else k * y, 0.0), float(k)))
+        estimate = k - (k + 1) * y * b / a if a else 0.0
+        out.append(estimate if 0 < estimate <= k else k / 2)
     return np.array(out)
 
 
