@@ -2,29 +2,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
-
-SMALL = "/root/testdata/sf0.001"
-#: Names that operators use inside; as extra columns they must not disturb anything.
-CLASHING = ["id", "key", "row", "at", "kept", "score", "doc", "tie", "spans", "copy", "lang_pred", "component_id", "size", "hits"]
-
-
-def edge_rows() -> list[tuple]:
-    passage = "Gross ist die alte Stadt am Fluss, und viele Boote fahren dort an jedem hellen Morgen vorbei. " * 3
-    longest = " ".join(f"Wort{k % 977}x{k % 13}" for k in range(40_000))
-    return [
-        (None, None, None, None), (None, "No id at all, but some text here to read", "en", None), (900_001, None, "en", "src0"),
-        (900_002, "", "en", "src0"), (900_003, " \t\n", None, "src1"), (900_004, "!!! 12 ...", "en", "src1"), (900_005, "ein", "de", "edge"),
-        (900_006, "EIN", "de", "edge"), (900_007, longest, "de", "edge"), (900_010, passage, "de", "edge"), (900_010, passage, "de", "edge"),
-        (900_011, "vorher " + passage.upper() + " nachher", "de", None), (900_012, passage + passage, "de", "edge"),
-        (900_013, "Ñandú, élève, naïve – 東京タワー 東京タワー", "es", "edge"), (900_014, "a" * 500, None, "edge"), (900_015, "ab " * 400, None, "edge"),
-    ]
-
-
-def frame(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    for name in CLASHING:
-        df = df.withColumn(name, df["source"])
-    return df
+from cases import SMALL, edge_rows, frame
 
 
 @pytest.fixture(scope="session")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SMALL
+from cases import SMALL
 from plantpulse.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup, token_counts, url_filter
 from plantpulse.llm.queries import list_changes
 

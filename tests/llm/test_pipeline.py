@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 import brute
 import corpus_pipeline
-from conftest import CLASHING, SMALL
+from cases import CLASHING, SMALL
 from test_operators import items, multiset
 
 sys.path.append(str(Path(__file__).parent.parent))
