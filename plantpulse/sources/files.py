@@ -20,8 +20,8 @@ def stream_files(spark: SparkSession, path: str, schema: str, max_files: int | N
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    """Score windows from JSON lines. Lines that lack the window, asset or signal are dropped."""
+def _window_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Score windows from JSON lines, with the line and what it lacks."""
     p = Payload()
     reads = dict.fromkeys(["modelId", "siteId", "assetId", "signalId"], TEXT)
     reads |= {"ts_source": TIME, "threshold": NUMBER, "window": RAW}
@@ -33,8 +33,23 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
         p.text("signalId").alias("signal_id"),
         p.time("ts_source").alias("ts_source"),
         p.number("threshold").alias("threshold"),
+        F.col("value").alias("raw"),
+        p.is_json().alias("json"),
     )
-    return rows.filter(F.col("window").isNotNull() & F.col("asset_id").isNotNull() & F.col("signal_id").isNotNull())
+    error = F.when(~F.col("json"), "line is not JSON")
+    for name in ("window", "asset_id", "signal_id"):
+        error = error.when(F.col(name).isNull(), f"line lacks a usable {name}")
+    return rows.withColumn("error", error).drop("json")
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The score windows of JSON lines; lines without window, asset or signal are in ``rejected_windows``."""
+    return _window_lines(spark, path).filter(F.col("error").isNull()).drop("raw", "error")
+
+
+def rejected_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that give no score window, and why: the quarantine of ``read_windows``."""
+    return _window_lines(spark, path).filter(F.col("error").isNotNull()).select("raw", "error")
 
 
 def write_messages(messages: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -103,3 +103,14 @@ def test_refresh_range_takes_whole_buckets_only():
     assert refresh_range("1 hour", "2 hours", "1 minute", datetime(2024, 1, 1, 12, 30)) == (
         datetime(2024, 1, 1, 11), datetime(2024, 1, 1, 12),
     )
+
+
+def test_first_and_last_columns_of_repeated_events_states_and_requests(spark):
+    from plantpulse.operators.upsert import ASSET_STATE, COMMAND_REQUESTS, EVENTS
+
+    for spec in (EVENTS, ASSET_STATE, COMMAND_REQUESTS):
+        names = [*spec.keys, *spec.first, *spec.last]
+        arrivals = [tuple("k" if n in spec.keys else f"{n}{turn}" for n in names) + (turn,) for turn in (2, 0, 1)]
+        df = spark.createDataFrame(arrivals, ", ".join(f"{n} string" for n in names) + ", arrival int")
+        (row,) = fold(df, spec).collect()
+        assert row.asDict() == {n: "k" if n in spec.keys else f"{n}{0 if n in spec.first else 2}" for n in names}

@@ -97,11 +97,13 @@ def test_reconcile_looks_over_day_borders(spark):
 
 
 def test_score_windows_from_json_lines(spark, tmp_path):
-    from plantpulse.sources.files import read_windows, write_messages
+    from plantpulse.sources.files import read_windows, rejected_windows, write_messages
 
     path = tmp_path / "w.json"
     path.write_text('{"window": [1, 2.5], "assetId": "a", "signalId": "s", "threshold": "0.2"}\n\nbroken\n{"window": [1]}\n')
     df = read_windows(spark, str(path))
     assert [(r.window, r.asset_id, r.threshold, r.model_id) for r in df.collect()] == [([1.0, 2.5], "a", 0.2, None)]
+    bad = {r.raw: r.error for r in rejected_windows(spark, str(path)).collect()}
+    assert bad == {"": "line is not JSON", "broken": "line is not JSON", '{"window": [1]}': "line lacks a usable asset_id"}
     write_messages(df.select(F.to_json(F.struct("asset_id")).alias("value")), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"asset_id":"a"}'
