@@ -6,8 +6,8 @@ the same row. All strings are judged on the input.
 1. Anchors: of each string the leftmost ``GRAM``-byte run with the least hash. Equal strings have equal anchors at equal
    offsets, so only strings around equal anchors need comparing. Anchors are counted; only those that occur twice or
    more go on, held in a filter of fixed size whose false hits cost work only.
-2. Segments, the bytes around such an anchor that its strings can reach, are sent to the anchor's task; copies within a
-   batch shrink to the first. An anchor with more than ``MOST`` occurrences sends single strings by their own hash.
+2. Segments, the bytes of all strings that have such an anchor, are sent packed to the bucket of the anchor; copies
+   within a batch shrink to the first. An anchor with more than ``MOST`` occurrences sends single strings by their own hash.
 3. A task takes its segments as a collection of short texts, aligned at their anchors, and builds the transform from
    the last column to the first: each round inserts one symbol of each text, sorts the texts by (symbol, order so far)
    and updates the lengths of the common prefixes of neighbours. Neighbours with ``LENGTH`` common bytes hold equal
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,12 +37,14 @@ from pyspark.sql.window import Window
 from .scratch import saved
 from .text import _VALUE, flat, mixed, powers, slices
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 20
 REACH = LENGTH - GRAM  # an anchor lies at most so many bytes into its string
 WIDTH = REACH + LENGTH
 PIECE = 1 << 20
 MOST = 200_000
-BATCH = 40_000  # segments in one collection, more only for one anchor
+BATCH = 1 << 15  # segments in one collection, more only for one anchor
+FLUSH = 1 << 15  # segments that are packed together
+BUCKET = 150_000  # segments, before copies shrink, that are sent to one task
 _FILTER_BITS = 27
 _LAST = np.iinfo(np.int64).max
 
@@ -49,9 +52,8 @@ _LAST = np.iinfo(np.int64).max
 # --- anchors --------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and positions of the anchors of all strings inside rows, piece by piece."""
-    done = -1  # the last anchor of the piece before may come again
+def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hash and position of each anchor, and the first and last start of the strings inside rows that have it."""
     for a in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
         piece = data[a : a + PIECE + LENGTH - 1]
         n = len(piece) - LENGTH + 1
@@ -70,13 +72,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         place = (least & np.uint64(2**21 - 1)).astype(np.int64)
         # Strings that begin less than LENGTH bytes before the end of their row reach into the next one.
         starts = np.arange(a, a + n)
-        row_end = np.repeat(offsets[1:], np.diff(offsets))[a : a + n] if len(offsets) > 2 else offsets[-1]
-        place = place[starts + LENGTH <= row_end]
+        row_end = offsets[np.searchsorted(offsets, starts, "right")]
+        inside = starts + LENGTH <= row_end
+        place, starts = place[inside], starts[inside]
         if len(place):
-            place = place[np.concatenate([[place[0] + a > done], place[1:] != place[:-1]])]
-        if len(place):
-            done = int(place[-1]) + a
-            yield h[place], place + a
+            heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            tails = np.append(heads[1:], len(place)) - 1
+            yield h[place[heads]], place[heads] + a, starts[heads], starts[tails]
 
 
 class Filter:
@@ -99,7 +101,7 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            found = [h for part in slices(batch.column(0)) for h, _ in anchors(part.data, part.offsets)]
+            found = [h for part in slices(batch.column(0)) for h, *_ in anchors(part.data, part.offsets)]
             if found:
                 values, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -112,45 +114,66 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
 
 def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of all ranges, one after the other."""
-    edge = np.cumsum(size) - size
-    return data[np.repeat(begin - edge, size) + np.arange(size.sum())]
+    n = int(size.sum())
+    kind = np.int32 if max(n, len(data)) < 2**31 else np.int64  # half the memory where it is enough
+    at = np.repeat((begin - np.cumsum(size) + size).astype(kind), size)
+    at += np.arange(n, dtype=kind)
+    return data[at]
+
+
+def within(size: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... inside each range."""
+    at = np.arange(int(size.sum()), dtype=np.int32)
+    at -= np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    return at
+
+
+_KINDS = (("at", np.uint64), ("left", np.uint8), ("size", np.uint8), ("doc", np.int64), ("tie", np.int64), ("pos", np.int64))
 
 
-def binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
-    edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+def pack(columns: list[np.ndarray], data: np.ndarray) -> bytes:
+    raw = b"".join([np.int64(len(columns[0])).tobytes(), *(c.astype(t).tobytes() for c, (_, t) in zip(columns, _KINDS, strict=True)), data.tobytes()])
+    return zstandard.compress(raw, 3)
 
 
-def segments(keyed: DataFrame, repeated, frequent) -> DataFrame:
-    """Rows of two kinds, from rows (doc, tie, text): segments (at, left, segment, doc, tie, pos), and, for copies inside
-    a batch, intervals of marked starts (segment null, doc, tie, first, last)."""
-    schema = "at bigint, left int, segment binary, doc bigint, tie bigint, pos bigint, first bigint, last bigint"
+def unpack(payload: bytes) -> list[np.ndarray]:
+    """at, left, size, doc, tie, pos as 64-bit numbers, and the bytes."""
+    raw = zstandard.decompress(payload)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for _, t in _KINDS:
+        size = n * np.dtype(t).itemsize
+        out.append(np.frombuffer(raw, t, n, at).astype(np.uint64 if t is np.uint64 else np.int64))
+        at += size
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
+
+
+def segments(keyed: DataFrame, repeated, frequent, buckets: int) -> DataFrame:
+    """Rows of two kinds, from rows (doc, tie, text): packed segments of a bucket of anchors, and, for copies inside a
+    batch, intervals of marked starts (doc, tie, first, last)."""
+    schema = "bucket bigint, payload binary, doc bigint, tie bigint, first bigint, last bigint"
+    names = ["bucket", "payload", "doc", "tie", "first", "last"]
 
     def work(batches):
         for batch in batches:
             doc, tie = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             held = []
             for part in slices(batch.column(2)):
-                for h, pos in anchors(part.data, part.offsets):
+                for h, pos, first, last in anchors(part.data, part.offsets):
                     keep = repeated.value.has(h)
-                    h, pos = h[keep], pos[keep]
-                    row = np.searchsorted(part.offsets, pos, "right") - 1
-                    left = np.minimum(pos - part.offsets[row], REACH)
-                    size = left + np.minimum(part.offsets[row + 1] - pos, LENGTH)
-                    begin, many = pos - left, frequent.value.has(h)
+                    h, pos, first, last = (x[keep] for x in (h, pos, first, last))
+                    many = frequent.value.has(h)
                     if many.any():
-                        n = np.maximum(size[many] - LENGTH + 1, 0)
-                        start = np.repeat(begin[many] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        start = np.unique(start)
+                        # Single strings, by their own hash.
+                        n = (last - first + 1)[many]
+                        start = np.repeat(first[many] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                         up, down = powers(len(part.data) + 1)
                         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[part.data] * up[: len(part.data)])])
                         own = mixed((total[start + LENGTH] - total[start]) * down[start] + np.uint64(LENGTH))
-                        r = np.searchsorted(part.offsets, start, "right") - 1
-                        one = np.full(len(start), LENGTH)
-                        held.append((own, np.zeros_like(start), one, gathered(part.data, start, one), r + part.first, start - part.offsets[r]))
-                        h, pos, row, left, size, begin = (x[~many] for x in (h, pos, row, left, size, begin))
-                    held.append((h, left, size, gathered(part.data, begin, size), row + part.first, pos - part.offsets[row]))
-                if sum(len(x[0]) for x in held) >= 1 << 16:
+                        h, pos, first, last = (np.concatenate([x[~many], y]) for x, y in ((h, own), (pos, start), (first, start), (last, start)))
+                    row = np.searchsorted(part.offsets, pos, "right") - 1
+                    size = last - first + LENGTH
+                    held.append((h, pos - first, size, gathered(part.data, first, size), row + part.first, pos - part.offsets[row]))
+                if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from sent(held, doc, tie)
                     held = []
             if held:
@@ -166,32 +189,30 @@ def segments(keyed: DataFrame, repeated, frequent) -> DataFrame:
         data = gathered(data, edge, size)
         edge = np.cumsum(size) - size
         # Copies of a segment: same anchor, same place of it, same bytes. The first in order stands for them.
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(_VALUE[data] + (np.arange(len(data)) - np.repeat(edge, size)).astype(np.uint64)))])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(_VALUE[data] + within(size).astype(np.uint64)))])
         name = mixed(total[edge + size] - total[edge]) ^ mixed(at + left.astype(np.uint64) * np.uint64(512) + size.astype(np.uint64))
         _, first, which = np.unique(name, return_index=True, return_inverse=True)
         chief = first[which]
         copy = (chief != np.arange(len(at))) & (size[chief] == size) & (left[chief] == left) & (at[chief] == at)
         c = np.flatnonzero(copy)
-        same = gathered(data, edge[c], size[c]) == gathered(data, edge[chief[c]], size[c])
         if len(c):
+            same = gathered(data, edge[c], size[c]) == gathered(data, edge[chief[c]], size[c])
             copy[c] = np.logical_and.reduceat(same, np.cumsum(size[c]) - size[c])
-        keep = ~copy
-        names = ["at", "left", "segment", "doc", "tie", "pos", "first", "last"]
-        k = np.flatnonzero(keep)
-        none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at[k].view(np.int64)), pa.array(left[k].astype(np.int32)), binaries(gathered(data, edge[k], size[k]), size[k]),
-             pa.array(doc[row[k]]), pa.array(tie[row[k]]), pa.array(pos[k]), none, none],
-            names=names,
-        )
-        c = np.flatnonzero(copy & (size >= LENGTH))
+        bucket = (at % np.uint64(buckets)).astype(np.int64)
+        keep = np.flatnonzero(~copy)
+        keep = keep[np.argsort(bucket[keep], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[keep][1:] != bucket[keep][:-1], [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k = keep[a:b]
+            packed = pack([at[k], left[k], size[k], doc[row[k]], tie[row[k]], pos[k]], gathered(data, edge[k], size[k]))
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[k[0]]]), pa.array([packed], pa.binary()), none, none, none, none], names=names)
+        c = np.flatnonzero(copy)
         begin = pos[c] - left[c]
         for r, a, b in merged(row[c], begin, begin + size[c] - LENGTH):
-            none = pa.nulls(len(r), pa.int64())
-            # Marked intervals are dealt by document, not by anchor.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mixed(doc[r].astype(np.uint64)).view(np.int64)), pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.binary()),
-                 pa.array(doc[r]), pa.array(tie[r]), none, pa.array(a), pa.array(b)],
+                [pa.array(mixed(doc[r].astype(np.uint64)).view(np.int64) % buckets), pa.nulls(len(r), pa.binary()),
+                 pa.array(doc[r]), pa.array(tie[r]), pa.array(a), pa.array(b)],
                 names=names,
             )
 
@@ -258,65 +279,61 @@ def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
     return np.minimum(table[level, low], table[level, high + 1 - (1 << level)]).astype(np.int64)
 
 
-def marked_intervals(rows: DataFrame) -> DataFrame:
+def marked_intervals(rows: DataFrame, buckets: int) -> DataFrame:
     """(doc, tie, first, last): starts of strings that also start earlier."""
 
     def work(batches):
-        held = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int64), np.zeros(0, np.uint8)]
+        now, held = None, []
         for batch in batches:
-            is_mark = np.asarray(batch.column(2).is_null())
+            is_mark = np.asarray(batch.column(1).is_null())
             if is_mark.any():
                 yield batch.filter(pa.array(is_mark)).select(["doc", "tie", "first", "last"])
                 batch = batch.filter(pa.array(~is_mark))
-            if not batch.num_rows:
-                continue
-            data, offsets = binary_flat(batch.column(2))
-            new = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 3, 4, 5)]
-            left = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            size = np.diff(offsets)
-            held = [np.concatenate(x) for x in zip(held, [*new, left * 512 + size, data], strict=True)]
-            at = held[0]
-            # Collections end between anchors; the last anchor may go on in the next batch.
-            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            while len(heads) > 1 and heads[-1] >= BATCH:
-                cut = int(heads[max(1, int(np.searchsorted(heads, BATCH, "right")) - 1)])
-                now, held = taken(held, cut)
-                yield from judged(now)
-                heads = heads[heads >= cut] - cut
-        yield from judged(held)
-
-    def taken(held, cut):
-        edge = int((held[4][:cut] % 512).sum())
-        return [*(x[:cut] for x in held[:5]), held[5][:edge]], [*(x[cut:] for x in held[:5]), held[5][edge:]]
-
-    def judged(held):
-        _, doc, tie, pos, shape, data = held
-        if len(doc) < 2:
-            return
-        left, size = np.divmod(shape, 512)
-        order = np.lexsort((pos, tie, doc))
-        data = gathered(data, (np.cumsum(size) - size)[order], size[order])
-        doc, tie, pos, left, size = (x[order] for x in (doc, tie, pos, left, size))
-        columns = np.zeros((WIDTH, len(doc)), np.uint16)
+            for r in range(batch.num_rows):
+                bucket = batch.column(0)[r].as_py()
+                if bucket != now and held:
+                    yield from bucket_marks(held)
+                    held = []
+                now = bucket
+                held.append(unpack(batch.column(1)[r].as_py()))
+        if held:
+            yield from bucket_marks(held)
+
+    def bucket_marks(held):
+        """Collections of a bucket: whole anchors, together about BATCH segments."""
+        at, left, size, doc, tie, pos, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         edge = np.cumsum(size) - size
-        text = np.repeat(np.arange(len(doc)), size)
-        columns[np.arange(len(data)) - np.repeat(edge - (REACH - left), size), text] = data.astype(np.uint16) + 1
+        order = np.lexsort((pos, tie, doc, at))
+        heads = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
+        # An anchor with one segment repeats nothing.
+        alone = np.diff(np.append(heads, len(at))) == 1
+        order = np.delete(order, heads[alone])
+        heads = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]])) if len(order) else order
+        first = 0
+        while first < len(order):
+            k = int(np.searchsorted(heads, first + BATCH, "right"))
+            last = len(order) if k >= len(heads) and len(order) - first <= BATCH else int(heads[k - 1])
+            if last <= first:
+                last = int(heads[k]) if k < len(heads) else len(order)
+            part = order[first:last]
+            part = part[np.lexsort((pos[part], tie[part], doc[part]))]
+            yield from judged(left[part], size[part], doc[part], tie[part], pos[part], gathered(data, edge[part], size[part]))
+            first = last
+
+    def judged(left, size, doc, tie, pos, data):
+        columns = np.zeros((WIDTH, len(doc)), np.uint16)
+        text = np.repeat(np.arange(len(doc), dtype=np.int32), size)
+        columns[within(size) + np.repeat((REACH - left).astype(np.int32), size), text] = data.astype(np.uint16) + 1
         text, column = np.nonzero(repeated_windows(columns))
         start = pos[text] - REACH + column
         for t, a, b in merged(text, start, start):
             yield pa.RecordBatch.from_arrays([pa.array(doc[t]), pa.array(tie[t]), pa.array(a), pa.array(b)], names=["doc", "tie", "first", "last"])
 
-    dealt = rows.repartition("at").sortWithinPartitions("at")
+    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(work, "doc bigint, tie bigint, first bigint, last bigint")
 
 
-def binary_flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
 # --- cutting --------------------------------------------------------------------------
 
 
@@ -331,7 +348,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = saved(anchor_counts(keyed.select("text")).filter("n > 1"), "anchors")
     repeated = context.broadcast(Filter(counted.select("h")))
     frequent = context.broadcast(Filter(counted.filter(F.col("n") > most).select("h")))
-    marks = marked_intervals(segments(keyed, repeated, frequent))
+    buckets = max(1, (counted.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    marks = marked_intervals(segments(keyed, repeated, frequent, buckets), buckets)
     spans = saved(marks.groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "repeats")
 
     def work(batches):
