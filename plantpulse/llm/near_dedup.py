@@ -33,7 +33,7 @@ RUN = 5
 COORDINATES = 64
 TREES = 10
 LEVELS = 3
-SMALL = 64
+SMALL = 32
 ALIKE = 61  # coordinates in which a member agrees with a pivot to be almost equal
 _RANDOM = np.random.default_rng(20240609)
 _XOR = _RANDOM.integers(0, 2**64 - 1, COORDINATES, dtype=np.uint64)
