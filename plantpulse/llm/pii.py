@@ -32,6 +32,7 @@ PATTERNS = (
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+"),
 )
 _CANDIDATE = rf"(?<![^{_BLANK}])[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
+_BLOCK = 256  # matches placed together
 _NEAR = 64  # characters of the surroundings in which the neighbouring word is looked for
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
@@ -45,9 +46,6 @@ LEAST_DIGITS, LEAST_CHARACTERS = 3, 6
 def matches(text: Column, pattern: str) -> Column:
     """All matches with their places: array of (start, end, hit, before, after), before and after being the text
     between this match and its neighbours."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pieces = F.transform(hits, lambda hit, k: F.struct(hit.alias("hit"), F.get(gaps, k).alias("before"), F.get(gaps, k + 1).alias("after")))
     kind = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
     none = F.expr("array()").cast(kind)
 
@@ -60,7 +58,36 @@ def matches(text: Column, pattern: str) -> Column:
         )
         return F.struct(end.cast("bigint").alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("rows")), step, lambda s: s["rows"])
+    def paired(found: Column) -> Column:
+        return F.transform(
+            found["hits"],
+            lambda hit, k: F.struct(hit.alias("hit"), F.get(found["gaps"], k).alias("before"), F.get(found["gaps"], k + 1).alias("after")),
+        )
+
+    def placed(pieces: Column) -> Column:
+        """Places by running sums: over blocks first, then inside each block, so that no long array is copied per match."""
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(pieces) / F.lit(_BLOCK)).cast("int"))
+        return let(F.transform(numbers, lambda b: F.slice(pieces, b * _BLOCK + 1, F.lit(_BLOCK))), in_blocks)
+
+    def in_blocks(blocks: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        size = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda n, x: n + F.char_length(x["before"]) + F.char_length(x["hit"])))
+        begin = F.aggregate(
+            size, F.array(zero), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
+        )
+        inside = F.zip_with(
+            blocks, F.slice(begin, 1, F.size(blocks)),
+            lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("rows")), step, lambda state: state["rows"]),
+        )
+        return F.flatten(inside)
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return let(let(found, paired), placed)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is worked out once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def luhn(digits: Column) -> Column:
