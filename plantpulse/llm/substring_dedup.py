@@ -121,6 +121,16 @@ def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[at]
 
 
+def in_order(*keys: np.ndarray) -> np.ndarray:
+    """The order by the keys, without rows whose keys all repeat: the same segment of rows with equal id and text."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    return order[new]
+
+
 def within(size: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... inside each range."""
     at = np.arange(int(size.sum()), dtype=np.int32)
@@ -183,7 +193,7 @@ def segments(keyed: DataFrame, repeated, frequent, buckets: int) -> DataFrame:
         at, left, size, data, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         if not len(at):
             return
-        order = np.lexsort((pos, tie[row], doc[row]))
+        order = in_order(doc[row], tie[row], pos, left)
         edge = (np.cumsum(size) - size)[order]
         at, left, size, row, pos = (x[order] for x in (at, left, size, row, pos))
         data = gathered(data, edge, size)
@@ -304,10 +314,10 @@ def marked_intervals(rows: DataFrame, buckets: int) -> DataFrame:
         at, left, size, doc, tie, pos, data = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         edge = np.cumsum(size) - size
-        order = np.lexsort((pos, tie, doc, at))
+        order = in_order(at.view(np.int64), doc, tie, pos, left)
         heads = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
         # An anchor with one segment repeats nothing.
-        alone = np.diff(np.append(heads, len(at))) == 1
+        alone = np.diff(np.append(heads, len(order))) == 1
         order = np.delete(order, heads[alone])
         heads = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]])) if len(order) else order
         first = 0
