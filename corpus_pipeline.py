@@ -17,10 +17,9 @@ from plantpulse.llm import decontaminate, exact_dedup, language_id, mixing, near
 from plantpulse.llm.scratch import saved
 
 
-def _by_id(docs: DataFrame, decided: DataFrame, how: str, *also: str) -> DataFrame:
-    """Rows of ``docs`` whose id (and further columns) occur, or do not, in ``decided`` (columns d_...)."""
-    same = [docs[c].eqNullSafe(decided[f"d_{c}"]) for c in ("doc_id", *also)]
-    return docs.join(decided, same, how)
+def _by_id(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id occurs, or does not, in ``decided`` (column d_doc_id)."""
+    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["d_doc_id"]), how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +31,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    kept = exact_dedup.copies(docs).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("d_doc_id"), F.col("text_sha256").alias("d__sha"))
+    kept = exact_dedup.copies(docs).filter("kept").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("_key"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    marked = docs.withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower).cast("binary"), 256))
-    place = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("doc_id"))
-    left = _by_id(marked, kept, "left_semi", "_sha").withColumn("_place", place).filter("_place = 1")
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower).cast("binary"), 256)
+    marked = docs.withColumn("_key", F.struct("doc_id", sha.alias("sha")))
+    # A struct is never null, and equal where its fields are, nulls too: join and window share one exchange of the texts.
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    left = marked.join(kept, "_key", "left_semi").withColumn("_place", place).filter("_place = 1")
     return left.select(*docs.columns)
 
 
