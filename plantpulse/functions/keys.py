@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .payload import Payload
+from .payload import TEXT, WHOLE, Payload
+
+#: What ``message_key`` reads of a payload.
+KEY_READS = {n: WHOLE if n == "seq" else TEXT for n in ("eventId", "siteId", "signalId", "ts_source", "timestamp", "seq", "commandId")}
 
 
 def dedupe_key(site_id: Column, signal_id: Column, ts_source_text: Column, seq: Column) -> Column:

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import KEY_READS, key_error, message_key
 from ..functions.payload import NUMBER, TEXT, Payload, with_payload
 from ..functions.rules import REJECTED, Rule, first_failure, rule, with_failure
-from ..functions.topics import topic_filter
+from ..functions.topics import log_topic, parse_topic, topic_filter
 from . import contracts as C
 
 # What a command acknowledgement writes when no request is known yet.
@@ -304,3 +305,22 @@ def live_feed(log: DataFrame, pattern: str, topic: str = "topic", payload: str =
         F.col(topic).alias("topic"),
         F.to_json(F.struct(F.col(topic).alias("topic"), shown_at.alias("receivedAt"), carried.alias("payload"))).alias("value"),
     )
+
+
+def forward(messages: DataFrame, topic: str = "topic", payload: str = "value") -> DataFrame:
+    """Device messages with the ``log_topic`` and ``message_key`` they are sent on under.
+
+    Messages that cannot be sent have neither, and the reason in ``error``: topic, payload, then key.
+    """
+    p = Payload()
+    placed = messages.withColumn("_place", parse_topic(F.col(topic)))
+    channel = F.col("_place.channel")
+    key = message_key(p, channel, F.col("_place.site_id"), F.col("_place.asset_id"))
+    error = F.coalesce(
+        F.col("_place.error"), F.when(~F.coalesce(p.is_json(), F.lit(False)), "payload is not valid JSON"), key_error(channel, key)
+    )
+    judged = with_payload(placed, F.col(payload).cast("string"), KEY_READS, p).select(
+        *messages.columns, log_topic(channel).alias("log_topic"), key.alias("message_key"), error.alias("error")
+    )
+    sent = F.col("error").isNull()
+    return judged.withColumns({name: F.when(sent, F.col(name)) for name in ("log_topic", "message_key")})

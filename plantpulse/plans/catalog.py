@@ -6,13 +6,13 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as key_fn
 from ..functions import topics as topic_fn
 from ..functions.constants import DEVICE_TOPIC_FILTER, ROLLUPS
-from ..functions.payload import NUMBER, TEXT, WHOLE, Payload, timestamp, with_payload
+from ..functions.payload import NUMBER, TEXT, Payload, timestamp, with_payload
 from ..operators import alarms, anomaly, commands, contracts, delivery, health, readmodel, registry, rollups, routing
 from ..operators.upsert import (
     ALARMS, ASSET_STATE, COMMAND_LOG, COMMAND_REQUESTS, EVENTS, MEASUREMENTS, MODEL_SCORES,
@@ -23,7 +23,7 @@ from ..session import configure, new_folder
 from ..sources import files, tables
 from ..streaming import features, live, replay
 from ..streaming.ingest import Ingest
-from .views import AS_OF, Plant
+from .views import AS_OF, REPLAY_OFFSET, Plant
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -67,14 +67,29 @@ def upsert_alarms(p: Plant) -> DataFrame:
     return _folded(p, "raw.alarms", p.alarm_messages, ALARMS)
 
 
+def _again(messages: DataFrame, which: Column, changes: dict[str, str]) -> DataFrame:
+    """The messages, and the chosen ones once more: later on the log, with parts of their text replaced."""
+    text = F.col("value")
+    for old, new in changes.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    later = messages.filter(which).withColumns({"value": text, "offset": F.col("offset") + REPLAY_OFFSET})
+    return messages.unionByName(later)
+
+
 @query
 def upsert_events(p: Plant) -> DataFrame:
-    return _folded(p, "raw.events", p.event_messages, EVENTS)
+    """Errors come twice, the second time under another site and type."""
+    named = F.col("value").contains('"eventId"') & F.col("value").contains('"eventType":"error"')
+    changes = {'"site-x"': '"site-y"', '"eventType":"error"': '"eventType":"fault"'}
+    return _folded(p, "raw.events", _again(p.event_messages, named, changes), EVENTS)
 
 
 @query
 def upsert_asset_state(p: Plant) -> DataFrame:
-    return _folded(p, "asset.state", p.state_messages, ASSET_STATE)
+    """Error states come twice, the second time under another site and state."""
+    failing = F.col("value").contains('"state":"error"')
+    changes = {'"site-x"': '"site-y"', '"state":"error"': '"state":"fault"'}
+    return _folded(p, "asset.state", _again(p.state_messages, failing, changes), ASSET_STATE)
 
 
 @query
@@ -84,7 +99,15 @@ def upsert_model_scores(p: Plant) -> DataFrame:
 
 @query
 def command_requests(p: Plant) -> DataFrame:
-    return fold(p.command_arrivals.filter(F.col("kind") == "request"), COMMAND_REQUESTS)
+    """Every seventh order asks again, with another operator, value and status."""
+    requests = p.command_arrivals.filter(F.col("kind") == "request")
+    again = requests.filter(F.substring("command_id", 5, 20).cast("bigint") % 7 == 0).withColumns(
+        {
+            "requested_by": F.lit("operator-late"), "requested_value": F.concat("requested_value", F.lit("0")),
+            "status": F.lit("superseded"), "arrival": F.col("arrival") + REPLAY_OFFSET,
+        }
+    )
+    return fold(requests.unionByName(again), COMMAND_REQUESTS)
 
 
 @query
@@ -418,8 +441,25 @@ def dedupe_keys(p: Plant) -> DataFrame:
 def message_keys(p: Plant) -> DataFrame:
     """Keys of messages with and without an event id, by channel."""
     m = p.device_topics.withColumn("parsed", topic_fn.parse_topic(F.col("topic"))).filter(F.col("parsed.error").isNull())
+    payload = Payload()
+    key = key_fn.message_key(payload, F.col("parsed.channel"), F.col("parsed.site_id"), F.col("parsed.asset_id"))
+    return with_payload(m, _keyed_payload(), key_fn.KEY_READS, payload).select(
+        "o_orderkey", key.alias("message_key"), key_fn.key_error(F.col("parsed.channel"), key).alias("key_error")
+    )
+
+
+@query
+def forwarded(p: Plant) -> DataFrame:
+    """Device messages as log messages; every eleventh payload is not JSON."""
+    raw = F.when(F.col("o_orderkey") % 11 == 0, F.lit("no json")).otherwise(_keyed_payload())
+    sent = routing.forward(p.device_topics.select("o_orderkey", "topic", raw.alias("value")))
+    return sent.select("o_orderkey", "log_topic", "message_key", "error")
+
+
+def _keyed_payload() -> Column:
+    """Payloads per order: with an event id, with the parts of a key, and with neither."""
     order = F.col("o_orderkey")
-    raw = (
+    return (
         F.when(order % 3 == 0, F.concat(F.lit('{"eventId":"ev-'), order, F.lit('"}')))
         .when(
             order % 3 == 1,
@@ -430,12 +470,6 @@ def message_keys(p: Plant) -> DataFrame:
         )
         .otherwise(F.concat(F.lit('{"commandId":"cmd-'), order, F.lit('","timestamp":"t'), order, F.lit('"}')))
     )
-    payload = Payload()
-    reads = {n: WHOLE if n == "seq" else TEXT for n in ("eventId", "siteId", "signalId", "ts_source", "timestamp", "seq", "commandId")}
-    key = key_fn.message_key(payload, F.col("parsed.channel"), F.col("parsed.site_id"), F.col("parsed.asset_id"))
-    return with_payload(m, raw, reads, payload).select(
-        "o_orderkey", key.alias("message_key"), key_fn.key_error(F.col("parsed.channel"), key).alias("key_error")
-    )
 
 
 @query
@@ -512,15 +546,31 @@ def quarantine(p: Plant) -> DataFrame:
     return routing.quarantine(routing.check(p.spark.read.parquet(path))).drop("raw")
 
 
-@query
-def live_feed(p: Plant) -> DataFrame:
-    """Device messages as feed events; every other payload is not JSON."""
+def _device_log(p: Plant) -> DataFrame:
+    """Device messages per order; every other payload is not JSON."""
     order = F.col("o_orderkey")
     raw = F.when(order % 2 == 0, F.concat(F.lit('{"n": '), order, F.lit("}"))).otherwise(F.concat(F.lit('say "'), order, F.lit('"')))
-    log = p.device_topics.withColumns(
+    return p.device_topics.withColumns(
         {"value": raw, "timestamp": F.lit(AS_OF.isoformat()).cast("timestamp") + F.make_dt_interval(secs=order % 1000)}
     )
-    return routing.live_feed(log, DEVICE_TOPIC_FILTER)
+
+
+@query
+def live_feed(p: Plant) -> DataFrame:
+    """Device messages as feed events."""
+    return routing.live_feed(_device_log(p), DEVICE_TOPIC_FILTER)
+
+
+@query
+def stream_live_feed(p: Plant) -> DataFrame:
+    """The live feed as a stream: four batches of device messages through the file sink."""
+    out, log = new_folder(p.spark, "feed"), _device_log(p)
+    feed = routing.live_feed(files.stream_files(p.spark, _staged(p, log, "device-log"), log.schema, max_files=1), DEVICE_TOPIC_FILTER)
+    _finish(
+        feed.writeStream.format("parquet").option("path", f"{out}/messages")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    return p.spark.read.schema(feed.schema).parquet(f"{out}/messages")
 
 
 # --- commands ---------------------------------------------------------------------------
@@ -711,19 +761,19 @@ def _live(p: Plant, view: DataFrame, keys: list[str]) -> live.LiveView:
 
 @query
 def live_latest_telemetry(p: Plant) -> DataFrame:
-    view = live.latest_telemetry(p.arrivals_of(_stream(p, "events")))
+    view = live.latest_telemetry(p.arrivals_of(_in_batches(p, "events")))
     return _live(p, view, ["asset_id"]).read("ts_source", datetime(2024, 1, 30, 23, 58), timedelta(hours=12))
 
 
 @query
 def live_open_alarms(p: Plant) -> DataFrame:
-    opened = p.alarms_of(p.arrivals_of(_stream(p, "events")), "arrival")
+    opened = p.alarms_of(p.arrivals_of(_in_batches(p, "events")), "arrival")
     return _live(p, live.latest_open_alarms(opened, ["arrival"]), ["site_id"]).read()
 
 
 @query
 def live_command_status(p: Plant) -> DataFrame:
-    changes = command_changes(p.command_arrivals_of(_stream(p, "orders")))
+    changes = command_changes(p.command_arrivals_of(_in_batches(p, "orders")))
     return _live(p, live.command_status(changes), COMMAND_LOG.keys).read()
 
 
@@ -734,6 +784,11 @@ def _staged(p: Plant, df: DataFrame, purpose: str) -> str:
     return path
 
 
+def _in_batches(p: Plant, name: str) -> DataFrame:
+    """A table as a stream of four files, one a batch, so that state is carried over."""
+    return files.stream_files(p.spark, _staged(p, p.table(name), name), p.table(name).schema, max_files=1)
+
+
 @query
 def live_site_connectivity(p: Plant) -> DataFrame:
     inputs = p.site_health.withColumn("updated_at", F.col("updated_at").cast("timestamp"))

@@ -212,12 +212,30 @@ QUERIES = {
        'open' AS state, CAST(NULL AS TIMESTAMP) AS acknowledged_at, max_by(severity,arrival) AS severity,
        max_by(message,arrival) AS message, max_by(payload,arrival) AS payload
 FROM alarm_rows GROUP BY raised_at, alarm_id""",
-    "upsert_events": "SELECT * FROM event_rows",
-    "upsert_asset_state": "SELECT * FROM state_rows",
+    "upsert_events": """SELECT ts_source, event_id, min_by(site_id,again) AS site_id, min_by(asset_id,again) AS asset_id,
+       max_by(payload,again) AS payload, max_by(event_type,again) AS event_type
+FROM (SELECT ts_source, event_id, site_id, asset_id, event_type, payload, 0 AS again FROM event_rows
+      UNION ALL SELECT ts_source, event_id, 'site-y', asset_id, 'fault',
+             replace(replace(payload,'"site-x"','"site-y"'),'"eventType":"error"','"eventType":"fault"'), 1
+      FROM event_rows WHERE payload LIKE '%"eventId"%' AND payload LIKE '%"eventType":"error"%')
+GROUP BY ts_source, event_id""",
+    "upsert_asset_state": """SELECT ts_source, asset_id, min_by(site_id,again) AS site_id, max_by(state,again) AS state, max_by(payload,again) AS payload
+FROM (SELECT ts_source, asset_id, site_id, state, payload, 0 AS again FROM state_rows
+      UNION ALL SELECT ts_source, asset_id, 'site-y', 'fault',
+             replace(replace(payload,'"site-x"','"site-y"'),'"state":"error"','"state":"fault"'), 1
+      FROM state_rows WHERE payload LIKE '%"state":"error"%')
+GROUP BY ts_source, asset_id""",
     "upsert_model_scores": """SELECT ts_source, model_id, asset_id, signal_id, 'site-x' AS site_id, max_by(score,vec_id) AS score,
        max_by(anomalous,vec_id) AS anomalous, max_by(payload,vec_id) AS payload
 FROM score_rows GROUP BY ts_source, model_id, asset_id, signal_id""",
-    "command_requests": f"SELECT {COMMANDS} FROM command_arrivals WHERE kind='request'",
+    "command_requests": """SELECT issued_at, command_id, min_by(site_id,again) AS site_id, min_by(asset_id,again) AS asset_id,
+       min_by(target_signal,again) AS target_signal, max_by(requested_value,again) AS requested_value,
+       min_by(requested_by,again) AS requested_by, min_by(priority,again) AS priority, max_by(approved,again) AS approved,
+       max_by(approval_reference,again) AS approval_reference, min_by(expires_at,again) AS expires_at, max_by(status,again) AS status
+FROM (SELECT *, 0 AS again FROM command_arrivals WHERE kind='request'
+      UNION ALL SELECT * REPLACE ('operator-late' AS requested_by, concat(requested_value,'0') AS requested_value, 'superseded' AS status), 1
+      FROM command_arrivals WHERE kind='request' AND n%7=0)
+GROUP BY issued_at, command_id""",
     "command_log": "SELECT * FROM command_log",
     "command_log_from_messages": """SELECT issued_at, command_id, min_by(site_id,arrival) AS site_id, min_by(asset_id,arrival) AS asset_id,
        min_by(target_signal,arrival) AS target_signal,
@@ -488,4 +506,12 @@ QUERIES["pca_scores"] = f"SELECT site_id, asset_id, count(*) AS windows, TRUE AS
 QUERIES["window_moments"] = f"""SELECT CAST(k - 1 AS INTEGER) AS position, count(x) AS windows, round(avg(x),4) AS mean, round(var_pop(x),4) AS variance
 FROM (SELECT unnest(w) AS x, unnest(range(1,33)) AS k FROM {_WINDOWS}) GROUP BY k"""
 
+QUERIES["stream_live_feed"] = QUERIES["live_feed"]
+QUERIES["forwarded"] = f"""SELECT o_orderkey, CASE WHEN error IS NULL THEN CASE turn WHEN 0 THEN 'raw.telemetry' WHEN 1 THEN 'command.ack'
+       ELSE 'command.request' END END AS log_topic, CASE WHEN error IS NULL THEN message_key END AS message_key, error
+FROM (SELECT o_orderkey, turn, message_key, CASE WHEN turn IN (3,4) THEN concat('Topic is malformed: ',topic)
+             WHEN turn=2 THEN 'Unsupported channel: write' WHEN turn=5 THEN 'Unsupported channel: command/request/now'
+             WHEN o_orderkey%11=0 THEN 'payload is not valid JSON' ELSE key_error END AS error
+      FROM (SELECT *, {TOPIC} AS topic FROM device_topics) LEFT JOIN ({QUERIES["message_keys"]}) USING (o_orderkey))"""
+
 ORACLES = {name: _with_views(sql) for name, sql in QUERIES.items()}
