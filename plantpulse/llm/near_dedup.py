@@ -5,11 +5,13 @@
 2. Trees: at a node, a document branches by one of its minwise tokens, which the node chooses, and now and then by a
    second, so that a pair at the threshold shares one child on average. Nodes of at most ``SMALL`` classes are compared
    exhaustively by sketch. A larger node compares a pivot with all its members and branches again without the pivot and
-   those almost equal to it; what is left after the last level is cut into blocks that are compared exhaustively.
-   ``TREES`` independent trees give the recall.
+   those almost equal to it. Where the members agree with the pivot so much that branching would not part them, and
+   after the last level, the node is a crowd. ``TREES`` independent trees give the recall.
 3. Pairs whose sketches agree enough are confirmed on their full sets: first one partner for each class, then every
    pair whose ends are not connected yet. Pairs left out join classes that are already in one component.
-4. Components of the confirmed links; of each the smallest id stays.
+4. In a crowd, all members that are not connected yet are compared on their full sets, part by part; of what is linked
+   in two parts, only a spanning forest is handed on.
+5. Components of the confirmed links; of each the smallest id stays.
 
 A text with fewer than five words is one run of all its words. Null text or text without words has an empty set, is
 linked with nothing and kept. Null ids never name a component that has another id. Rows repeated with one id get equal
@@ -19,6 +21,8 @@ results. An empty table gives an empty result; columns other than id and text ar
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,10 @@ from .text import LOWER, NOT_BLANK, hashes, mixed, runs, slices, words
 RUN = 5
 COORDINATES = 64
 TREES = 10
-LEVELS = 3
+LEVELS = 8
 SMALL = 32
+CLOSE = 0.7  # of the threshold: mean agreement with the pivot from which a node is a crowd
+PART, PART_SHINGLES = 512, 1 << 19  # members of a crowd compared together, and shingles of these
 ALIKE = 61  # coordinates in which a member agrees with a pivot to be almost equal
 _RANDOM = np.random.default_rng(20240609)
 _XOR = _RANDOM.integers(0, 2**64 - 1, COORDINATES, dtype=np.uint64)
@@ -198,17 +204,18 @@ def exhaustive_pairs(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("at", "key", "sketch").repartition("at").sortWithinPartitions("at").mapInArrow(work, "a bigint, b bigint")
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, of classes (key, sketch) that meet in a tree and whose sketches agree enough."""
+def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, of classes (key, sketch) that meet in a tree and whose sketches agree enough, and the
+    members (key, at) of crowds."""
     least = least_agreement(threshold)
     sketches = classes.select("key", "sketch")
     pivot_sketches = sketches.withColumnsRenamed({"key": "pivot", "sketch": "sp"})
-    members, small, found = sketches, [], []
+    members, small, found, crowds = sketches, [], [], []
     for level in range(LEVELS):
         rows = saved(grow(members, level, threshold), "tree-rows")
         pivot = F.min(F.struct(F.xxhash64("key", "at").alias("h"), "key"))["key"].alias("pivot")
         nodes = saved(rows.groupBy("at").agg(F.count("*").alias("n"), pivot).filter("n > 1"), "tree-nodes")
-        small.append(rows.join(nodes.filter(F.col("n") <= SMALL).select("at"), "at"))
+        small.append(rows.join(nodes.filter(F.col("n") <= SMALL).select("at"), "at").select("key", "at"))
         large = nodes.filter(F.col("n") > SMALL)
         if large.isEmpty():
             break
@@ -217,21 +224,15 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
         pairs = met.filter((F.col("agree") >= least) & (F.col("key") != F.col("pivot")))
         found.append(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
         # The pivot has met all members; those almost equal to it are linked to it and stop here, in this tree.
-        going = met.filter((F.col("agree") < ALIKE) & (F.col("key") != F.col("pivot"))).select("key", "at")
-        members = going.join(sketches, "key")
-    else:
-        # Blocks of the nodes that are still large, drawn twice.
-        parts = going.groupBy("at").agg(F.ceil(F.count("*") * 2 / SMALL).alias("parts"))
-        for draw in range(2):
-            part = F.pmod(F.xxhash64("key", F.lit(draw)), F.col("parts"))
-            small.append(going.join(parts, "at").select("key", F.xxhash64("at", part, F.lit(draw)).alias("at")))
-    gathered = small[0].select("key", "at")
-    for more in small[1:]:
-        gathered = gathered.unionAll(more.select("key", "at"))
-    out = exhaustive_pairs(gathered.join(sketches, "key"), least)
-    for more in found:
-        out = out.unionAll(more)
-    return saved(out.distinct(), "candidates")
+        going = met.filter((F.col("agree") < ALIKE) & (F.col("key") != F.col("pivot")))
+        # A level takes the pairs of a node times its mean agreement over the threshold, and its rows times up to 1 / threshold.
+        bound = CLOSE * threshold * COORDINATES if level < LEVELS - 1 else 0
+        crowded = saved(met.groupBy("at").agg(F.avg("agree").alias("mean")).filter(F.col("mean") >= bound).select("at"), "crowded")
+        crowds.append(going.join(crowded, "at", "left_semi").select("key", "at"))
+        members = going.join(crowded, "at", "left_anti").select("key", "at").join(sketches, "key")
+    out = exhaustive_pairs(reduce(DataFrame.unionAll, small).join(sketches, "key"), least)
+    pairs = saved(reduce(DataFrame.unionAll, found, out).distinct(), "candidates")
+    return pairs, saved(reduce(DataFrame.unionAll, crowds, rows.select("key", "at").limit(0)), "crowds")
 
 
 # --- confirmation ---------------------------------------------------------------------
@@ -296,30 +297,128 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(work, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, root): the components of the confirmed pairs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each of the sets ``a`` shares with each of the sets ``b``: products of incidence matrices."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    row, column = row[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(a), len(b)))
+    for low in range(0, int(shared.sum()), 4096):
+        i, j = np.searchsorted(column, [low, low + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[row[i:j], column[i:j] - low] = 1
+        both += held[a] @ held[b].T
+    return both
+
+
+def forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, another) so that what ``linked`` connects stays connected; ``a`` and ``b`` name its rows and columns."""
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while (rows := linked.any(axis=1)).any():
+        rows = np.arange(len(a)) == rows.argmax()
+        while True:
+            columns = linked[rows].any(axis=0)
+            more = linked[:, columns].any(axis=1)
+            if (more == rows).all():
+                break
+            rows = more
+        ends = np.unique(np.concatenate([a[rows], b[columns]]))
+        one.append(np.full(len(ends) - 1, ends[0]))
+        two.append(ends[1:])
+        linked[rows] = False
+    return np.concatenate(one), np.concatenate(two)
+
+
+def crowd_links(crowds: DataFrame, classes: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that connect what is linked in a crowd; ``roots`` are the components so far, inside which nothing is compared."""
+    named = crowds.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    marks = named.groupBy("at").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"),
+        F.min("root").alias("low"), F.max("root").alias("high"),
+    )
+    once = marks.filter("low <> high").groupBy("n", "x", "y").agg(F.min("at").alias("at")).select("at")  # equal crowds count once
+    named = saved(named.join(once, "at").join(classes.select("key", "n_shingles"), "key"), "crowds")
+    # A component with many members in a crowd has parts of its own, which are not compared with one another.
+    count = [F.sum("n").alias("n"), F.sum("w").alias("w")]
+    by = named.groupBy("at", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    by = saved(by.withColumn("own", F.when(F.col("n") >= PART, F.col("root"))), "crowd-components")
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("w") / PART_SHINGLES)).cast("int")
+    sides = saved(by.groupBy("at", "own").agg(*count).withColumn("parts", parts).drop("n", "w"), "crowd-sides")
+    part = lambda k: F.xxhash64("own", k)
+    placed = named.join(by.select("at", "root", "own"), ["at", "root"]).withColumnsRenamed({"at": "crowd", "own": "of"})
+    placed = placed.join(sides, (F.col("crowd") == F.col("at")) & F.col("of").eqNullSafe(F.col("own")))
+    placed = saved(placed.select("at", "key", "root", part(F.pmod(F.xxhash64("key", "at"), F.col("parts")).cast("int")).alias("part")), "crowd-parts")
+    listed = sides.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("at", "own", part(F.col("k")).alias("part"))
+    other = listed.withColumnsRenamed({"own": "own2", "part": "part2"})
+    tiles = listed.join(other, "at").filter("part <= part2 and (own is null or own2 is null or own <> own2)")
+    tiles = saved(tiles.select("at", "part", "part2", F.xxhash64("at", "part", "part2").alias("tile")), "crowd-tiles")
+    ones = placed.join(tiles.select("at", "part", "tile"), ["at", "part"])
+    twos = placed.join(tiles.filter("part <> part2").select("at", F.col("part2").alias("part"), "tile"), ["at", "part"])
+    ones, twos = (x.select("tile", F.lit(k).alias("side"), "key", "root") for k, x in enumerate((ones, twos)))
+
+    def compare(held):
+        table = pa.Table.from_batches(held)
+        side, key, root = (table.column(k).to_numpy() for k in (1, 2, 3))
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(4)]
+        n = np.array([len(x) for x in full])
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        b = b if len(b) else a
+        both = intersections(full, a, b)
+        linked = 100 * both >= percent * (n[a][:, None] + n[b] - both)
+        linked &= root[a][:, None] != root[b]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(linked, key[a], key[b])], names=["a", "b"])
+
+    def work(batches):
+        held: list[pa.RecordBatch] = []  # of the tile at hand, which may go on in the next batch
+        last = None
+        for batch in batches:
+            tile = _ints(batch.column(0))
+            for i, j in pairwise([0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1), len(tile)]):
+                if held and tile[i] != last:
+                    yield compare(held)
+                    held = []
+                if i < j:
+                    held.append(batch.slice(i, j - i))
+                    last = tile[i]
+        if held:
+            yield compare(held)
+
+    rows = ones.unionAll(twos).join(sets, "key").select("tile", "side", "key", "root", "shingles")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(work, "a bigint, b bigint")
+
+
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, root): the components of the confirmed pairs and of the links in crowds."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionAll(crowds.select("key")).distinct()
     wanted = saved(classes.select("key", "id").join(ends, "key", "left_semi"), "wanted")
     sets = saved(wanted_sets(docs, wanted, id_col, text_col).dropDuplicates(["key"]), "sets")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    good = saved(confirmed(first, sets, percent), "confirmed")
-    roots = components(good)
+    roots = components(confirmed(first, sets, percent))
     # The other pairs: those inside a component can change nothing.
     ra, rb = (roots.withColumnsRenamed({"node": x, "root": f"r{x}"}) for x in "ab")
     rest = pairs.join(first, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
     rest = saved(rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "other-pairs")
-    if rest.isEmpty():
-        return roots
-    return components(good.unionAll(confirmed(rest, sets, percent)))
+    if not rest.isEmpty():
+        roots = components(_edges(roots).unionAll(confirmed(rest, sets, percent)))
+    if not crowds.isEmpty():
+        roots = components(_edges(roots).unionAll(crowd_links(crowds, classes, roots, sets, percent)))
+    return roots
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = saved(sketched(docs, id_col, text_col), "sketches")
-    whole = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("sketch").alias("sketch"))
+    whole = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles"))
     classes = saved(whole, "classes")
-    pairs = candidates(classes, percent / 100)
-    roots = saved(links(docs, classes, pairs, percent, id_col, text_col), "roots")
+    pairs, crowds = candidates(classes, percent / 100)
+    roots = saved(links(docs, classes, pairs, crowds, percent, id_col, text_col), "roots")
     names = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
     names = saved(names.withColumn("root", F.coalesce("root", "key")), "names")
     least = names.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -19,6 +19,19 @@ def edge_rows() -> list[tuple]:
     ]
 
 
+def template_rows(percent: int, n: int = 400, pairs: int = 60) -> tuple[list[tuple], int]:
+    """``n`` texts on one template, of which any two are just below ``percent`` but for ``pairs`` pairs above it."""
+    template = [f"t{k}" for k in range(404)]
+    own = {85: 38, 80: 54}[percent]
+    rows = []
+    for k in range(n):
+        twin = k - 1 if k < 2 * pairs and k % 2 else k
+        kept = own // 4 if twin != k else 0
+        words = [f"d{twin}x{j}" for j in range(kept)] + [f"d{k}x{j}" for j in range(kept, own)]
+        rows.append((k, " ".join(template + words), "en", "template"))
+    return rows, pairs
+
+
 def frame(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     for name in CLASHING:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from cases import SMALL
+from cases import SMALL, frame, template_rows
 from plantpulse.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup, token_counts, url_filter
 from plantpulse.llm.queries import list_changes
 
@@ -126,6 +126,14 @@ def test_a_large_group_of_variants_stays_one_component(spark):
     assert {r.component_id for r in near_dedup.near_duplicates(docs, percent=85).collect()} == {0}
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_copies_on_one_template(spark, percent):
+    docs, pairs = template_rows(percent)
+    got = near_dedup.near_duplicates(frame(spark, docs), percent=percent).collect()
+    assert multiset((r.doc_id, r.n_shingles, r.component_id) for r in got) == multiset(brute.near_groups(docs, percent))
+    assert sum(not r.kept for r in got) == pairs
+
+
 def test_mixing(docs, rows):
     mixed = mixing.mix(docs, block_words=64)
     got = mixing.taken(*mixed).collect()
