@@ -4,9 +4,9 @@
    documents with equal sets form one class, and only classes are joined.
 2. Trees: at a node, a document branches by one of its minwise tokens, which the node chooses, and now and then by a
    second, so that a pair at the threshold shares one child on average. Nodes of at most ``SMALL`` classes are compared
-   exhaustively by sketch. A larger node compares a pivot with all its members and branches again without the pivot and
-   those almost equal to it. Where the members agree with the pivot so much that branching would not part them, and
-   after the last level, the node is a crowd. ``TREES`` independent trees give the recall.
+   exhaustively by sketch. A larger node compares a pivot with all its members and branches again without the pivot.
+   Where the members agree with the pivot so much that branching would not part them, and after the last level, the
+   node is a crowd. ``TREES`` independent trees give the recall.
 3. Pairs whose sketches agree enough are confirmed on their full sets: first one partner for each class, then every
    pair whose ends are not connected yet. Pairs left out join classes that are already in one component.
 4. In a crowd, all members that are not connected yet are compared on their full sets, part by part; of what is linked
@@ -40,7 +40,6 @@ LEVELS = 8
 SMALL = 32
 CLOSE = 0.7  # of the threshold: mean agreement with the pivot from which a node is a crowd
 PART, PART_SHINGLES = 512, 1 << 19  # members of a crowd compared together, and shingles of these
-ALIKE = 61  # coordinates in which a member agrees with a pivot to be almost equal
 _RANDOM = np.random.default_rng(20240609)
 _XOR = _RANDOM.integers(0, 2**64 - 1, COORDINATES, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**64 - 1, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -223,8 +222,7 @@ def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         met = saved(with_agreement(met), "pivots")
         pairs = met.filter((F.col("agree") >= least) & (F.col("key") != F.col("pivot")))
         found.append(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
-        # The pivot has met all members; those almost equal to it are linked to it and stop here, in this tree.
-        going = met.filter((F.col("agree") < ALIKE) & (F.col("key") != F.col("pivot")))
+        going = met.filter(F.col("key") != F.col("pivot"))  # the pivot has met all members
         # A level takes the pairs of a node times its mean agreement over the threshold, and its rows times up to 1 / threshold.
         bound = CLOSE * threshold * COORDINATES if level < LEVELS - 1 else 0
         crowded = saved(met.groupBy("at").agg(F.avg("agree").alias("mean")).filter(F.col("mean") >= bound).select("at"), "crowded")

@@ -32,6 +32,14 @@ def template_rows(percent: int, n: int = 400, pairs: int = 60) -> tuple[list[tup
     return rows, pairs
 
 
+def variant_rows(n: int = 200, strays: int = 40) -> list[tuple]:
+    """``n`` almost equal texts, and ``strays`` texts of which each is linked, at 85 percent, to one of them only."""
+    base = [f"b{k}" for k in range(400)]
+    own = lambda k: [f"v{k}x{j}" for j in range(4)]
+    rows = [(k, " ".join(base + own(k)), "en", "variants") for k in range(n)]
+    return rows + [(n + k, " ".join(base + own(k * n // strays) + [f"s{k}x{j}" for j in range(68)]), "en", "variants") for k in range(strays)]
+
+
 def frame(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     for name in CLASHING:

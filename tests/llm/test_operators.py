@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from cases import SMALL, frame, template_rows
+from cases import SMALL, frame, template_rows, variant_rows
 from plantpulse.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup, token_counts, url_filter
 from plantpulse.llm.queries import list_changes
 
@@ -134,6 +134,13 @@ def test_near_copies_on_one_template(spark, percent):
     assert sum(not r.kept for r in got) == pairs
 
 
+def test_a_text_linked_to_one_of_many_variants(spark):
+    docs = variant_rows()
+    got = near_dedup.near_duplicates(frame(spark, docs), percent=85).collect()
+    assert multiset((r.doc_id, r.n_shingles, r.component_id) for r in got) == multiset(brute.near_groups(docs, 85))
+    assert sum(r.kept for r in got) == 1
+
+
 def test_mixing(docs, rows):
     mixed = mixing.mix(docs, block_words=64)
     got = mixing.taken(*mixed).collect()
