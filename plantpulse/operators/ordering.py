@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def newest(table: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The row of each key with the greatest ``order``; map tasks send one row per key."""
@@ -47,6 +49,26 @@ def with_position(table: DataFrame, keys: list[str], chunk: Column, order: list[
     )
 
 
+def numbered(table: DataFrame, keys: list[str], order: list[str], name: str = "position", total: str | None = None) -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... of each row within its key, by ``order`` ascending, nulls first; ``total`` adds the rows of the key.
+
+    A distributed rank that needs no hint about the values: rows are dealt out by ranges of (key, order) and stored with
+    the number of their range, each range counts its rows per key, and the rows of the ranges before are added. A hot
+    key, or a table without keys, is numbered by as many tasks as it has ranges; one task sees one row per range of a
+    key at most. Null keys are a key of their own. Rows equal in key and order share a range and are numbered in any order.
+    """
+    ranged = stored(table.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    ranged = ranged.withColumn("_key", F.struct("_range", *keys))
+    sizes = ranged.groupBy("_key").agg(F.count("*").alias("_rows"))
+    of_key = Window.partitionBy(*[f"_key.{k}" for k in keys])
+    before = F.sum("_rows").over(of_key.orderBy("_key._range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")
+    shifts = sizes.select("_key", before.alias("_before"), F.sum("_rows").over(of_key).alias("_total"))
+    within = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+    placed = ranged.withColumn("_within", within).join(shifts, "_key")
+    added = {name: F.col("_before") + F.col("_within") - 1} | ({total: F.col("_total")} if total else {})
+    return placed.withColumns(added).drop("_range", "_key", "_within", "_before", "_total")
+
+
 def nest_pages(table: DataFrame, keys: list[str], chunk: Column, order: list[str], columns: list[str], name: str, page_size: int = 1000) -> DataFrame:
     """Rows of each key as ordered arrays of structs, at most ``page_size`` per output row.
 

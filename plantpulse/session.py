@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings, safe to set on a session somebody else built.
 SQL_SETTINGS = {
@@ -67,3 +67,10 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path for one run under the shared folder."""
     return os.path.join(shared_folder(spark), f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once below the shared folder and read from there: never computed twice, and safe from lost executors."""
+    path = new_folder(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
