@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup, token_counts, url_filter
+from . import (
+    decontaminate, exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, pii, quality, spelling, substring_dedup, token_counts, url_filter,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +89,28 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.without_repeats(_table(spark, folder, "documents")).drop("kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    tampered = [F.col("n_chars").cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    proved = merkle.manifest(docs, carry={"tampered": F.when(hit, merkle.leaf(tampered))})
+    proved = proved.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return quality.quality(docs, labels, ~held_out, carry={"held_out": held_out})
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
@@ -98,13 +122,103 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality": op12_quality,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _HOST = "regexp_replace(split_part(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '@', -1), ':[0-9]*$', '')"
 
+
+def _crc32(codes: str) -> str:
+    """Unsigned CRC-32 of an expression that gives a list of byte values, worked out bit by bit."""
+    bit = "lambda v, _: xor(v >> 1, (v & 1) * 3988292384)"
+    rounds = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {rounds}), 4294967295)"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    return f"sha256({' || '.join(_field(n_chars if c == 'n_chars' else c) for c in merkle.FIELDS)})"
+
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, {_leaf()} AS leaf,
+                   CASE WHEN {_crc32("list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))")} % 7 = 0
+                        THEN {_leaf("n_chars + 1")} ELSE {_leaf()} END AS start
+            FROM documents),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+            FROM leaves),
+        nodes AS (
+            SELECT 0 AS level, lang, idx, n, leaf AS h FROM placed
+            UNION ALL
+            SELECT level + 1, lang, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+            FROM nodes WHERE n > 1 GROUP BY level, lang, idx // 2, n),
+        subroots AS (
+            SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+            FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, idx, n, subroot AS h FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+            FROM tops WHERE n > 1 GROUP BY level, idx // 2, n),
+        folds AS (
+            SELECT p.doc_id, p.leaf, p.lang, p.idx, s.idx AS top, s.height, s.subroot, 0 AS step, p.start AS h, '' AS proof
+            FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+            UNION ALL
+            SELECT f.doc_id, f.leaf, f.lang, f.idx // 2, f.top, f.height, f.subroot, f.step + 1,
+                   sha256(CASE WHEN f.idx % 2 = 0 THEN f.h || coalesce(o.h, '') ELSE o.h || f.h END), f.proof || coalesce(o.h, '')
+            FROM folds f LEFT JOIN nodes o ON o.level = f.step AND o.lang IS NOT DISTINCT FROM f.lang AND o.idx = xor(f.idx, 1)
+            WHERE f.step < f.height),
+        ends AS (
+            SELECT doc_id, leaf, subroot, top AS idx, 0 AS step, h, proof FROM folds WHERE step = height
+            UNION ALL
+            SELECT e.doc_id, e.leaf, e.subroot, e.idx // 2, e.step + 1,
+                   sha256(CASE WHEN e.idx % 2 = 0 THEN e.h || coalesce(o.h, '') ELSE o.h || e.h END), e.proof || coalesce(o.h, '')
+            FROM ends e LEFT JOIN tops o ON o.level = e.step AND o.idx = xor(e.idx, 1)
+            WHERE e.step < (SELECT max(level) FROM tops))
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM ends, (SELECT h AS root FROM tops WHERE n = 1) WHERE step = (SELECT max(level) FROM tops)""",
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+            FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        spelt AS (
+            SELECT doc_id, run, k, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named FROM counted),
+        hashed AS (
+            SELECT run, k, {_crc32("""flatten(list_transform(range(1, length(named) + 1), lambda i: CASE WHEN unicode(named[i]) < 128
+                   THEN [CAST(unicode(named[i]) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(named[i]) - 64] END))""")} AS h
+            FROM spelt),
+        words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+            FROM hashed GROUP BY word HAVING length(word) >= 6 AND sum(k) >= 5),
+        gaps AS (
+            SELECT word, n, gap, left(word, gap - 1) || substr(word, gap + 1) AS rest
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS gap FROM words)),
+        near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.gap = b.gap AND a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+        best AS (
+            SELECT word, count(*) AS n_near, arg_max(other, other_n) FILTER (WHERE place = 1) AS other, max(other_n) AS other_n
+            FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near) GROUP BY word),
+        judged AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+                   CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word),
+        chains AS (
+            SELECT word, word AS here, form AS next FROM judged
+            UNION ALL SELECT c.word, c.next, j.form FROM chains c JOIN judged j ON c.next = j.word)
+        SELECT j.word, j.form, c.here AS root, j.n, j.n_near, j.form_n FROM judged j JOIN chains c ON j.word = c.word WHERE c.next IS NULL""",
     "op4_url_filter": f"""
         WITH captures AS (
             SELECT page_id, url, {_HOST} AS host,

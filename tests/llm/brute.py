@@ -164,3 +164,79 @@ def without_repeats(ordered):
                 seen.add(part)
         out.append((bytes(b for b, gone in zip(data, cover, strict=True) if not gone), sum(1 for k, x in enumerate(cover) if x and (not k or not cover[k - 1]))))
     return out
+
+
+def merkle(rows, fanout, columns):
+    """[(id, leaf, subroot, root, siblings level by level)]; ``rows`` are dicts with the columns, doc_id and lang."""
+    import hashlib
+
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(r):
+        return h(*["-" if r[c] is None else f"{len(str(r[c]).encode())}:{r[c]}" for c in columns])
+
+    def grown(level):
+        """Top, and the siblings of each place."""
+        paths, own = [[] for _ in level], list(range(len(level)))
+        while len(level) > 1:
+            for k, at in enumerate(own):
+                first = at // fanout * fanout
+                paths[k] += level[first:at] + level[at + 1 : first + fanout]
+            own = [at // fanout for at in own]
+            level = [h(*level[k : k + fanout]) for k in range(0, len(level), fanout)]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["lang"]].append((r["doc_id"] is not None, r["doc_id"] or 0, leaf(r)))
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort()
+        trees[name] = grown([x[2] for x in groups[name]])
+    if not names:
+        return []
+    root, above = grown([trees[name][0] for name in names])
+    return [
+        (x[1] if x[0] else None, x[2], trees[name][0], root, "".join(trees[name][1][k] + above[g]))
+        for g, name in enumerate(names) for k, x in enumerate(groups[name])
+    ]
+
+
+def word_counts(rows, slips=199):
+    count = Counter()
+    for doc_id, text, *_ in rows:
+        for run in re.findall(r"[a-zÀ-ÿ]+", (text or "").translate(LOWER)):
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if slips and h % slips == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    return {w: n for w, n in count.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def variants(count, factor=5):
+    """{word: (n, n_near, form, form_n, root)}"""
+    by_length = defaultdict(list)
+    for w in count:
+        by_length[len(w)].append(w)
+    form, out = {}, {}
+    for w, n in count.items():
+        near = [x for k in (-1, 0, 1) for x in by_length[len(w) + k] if one_edit(w, x)]
+        best = min(near, key=lambda x: (-count[x], x.encode()), default=None)
+        form[w] = best if best and count[best] >= factor * n else None
+        out[w] = len(near)
+    result = {}
+    for w, n in count.items():
+        end = w
+        while form[end]:
+            end = form[end]
+        result[w] = (n, out[w], form[w], count.get(form[w]), end)
+    return result
