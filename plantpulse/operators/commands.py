@@ -43,6 +43,21 @@ def overdue_commands(command_changes: DataFrame, as_of: datetime, timeout_second
     )
 
 
+def overdue_stream(command_changes: DataFrame, timeout_seconds: int = COMMAND_ACK_TIMEOUT_SECONDS, late_by: str = "1 hour") -> DataFrame:
+    """Requests whose timeout passed without an acknowledgement, as a stream: an outer join of requests and acks in event time.
+
+    A request is given up on once both sides' watermarks have passed its deadline, so requests and acks are kept for the
+    timeout plus ``late_by`` and no longer. An ack counts from ``late_by`` before its request on; one after the deadline does
+    not. Each request is judged by itself, repeats too. Rows without a command id only move the watermarks.
+    """
+    request = command_changes.filter(F.col("kind") != "ack").select("command_id", "issued_at").withWatermark("issued_at", late_by)
+    ack = command_changes.filter(F.col("kind") != "request").select(F.col("command_id").alias("ack_id"), "acked_at").withWatermark("acked_at", late_by)
+    in_time = F.expr(
+        f"command_id = ack_id AND acked_at >= issued_at - INTERVAL {late_by} AND acked_at <= issued_at + INTERVAL '{timeout_seconds}' SECOND"
+    )
+    return request.join(ack, in_time, "left_outer").filter("ack_id IS NULL AND command_id IS NOT NULL").select("command_id", "issued_at")
+
+
 def reconcile(acks: DataFrame, asset_state: DataFrame, chunk: str = "hour") -> DataFrame:
     """Each acknowledgement with the first state its asset reports at or after it.
 

@@ -69,13 +69,13 @@ def numbered(table: DataFrame, keys: list[str], order: list[str], name: str = "p
     return placed.withColumns(added).drop("_range", "_key", "_within", "_before", "_total")
 
 
-def nest_pages(table: DataFrame, keys: list[str], chunk: Column, order: list[str], columns: list[str], name: str, page_size: int = 1000) -> DataFrame:
+def nest_pages(table: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, page_size: int = 1000) -> DataFrame:
     """Rows of each key as ordered arrays of structs, at most ``page_size`` per output row.
 
     Almost every key fits on page 0. A key with more rows gets more pages, so no array
     grows with the data.
     """
-    placed = with_position(table, keys, chunk, [F.col(c) for c in order])
+    placed = numbered(table, keys, order)
     paged = placed.withColumn("page", F.floor(F.col("position") / F.lit(page_size)).cast("int"))
     nested = paged.groupBy(*keys, "page").agg(
         F.array_sort(F.collect_list(F.struct("position", *columns))).alias("_rows")

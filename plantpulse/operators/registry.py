@@ -15,7 +15,7 @@ def asset_detail(assets: DataFrame, signals: DataFrame, asset_id: str | None = N
     if asset_id is not None:
         assets = assets.filter(F.col("asset_id") == asset_id)
         signals = signals.filter(F.col("asset_id") == asset_id)
-    nested = nest_pages(signals, ["asset_id"], F.left("signal_id", F.lit(2)), ["signal_id"], SIGNAL_COLUMNS, "signals")
+    nested = nest_pages(signals, ["asset_id"], ["signal_id"], SIGNAL_COLUMNS, "signals")
     none = F.array().cast(nested.schema["signals"].dataType)
     return assets.join(nested, "asset_id", "left").select(
         "asset_id", "site_id", "area_id", "name",

@@ -13,12 +13,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.keys import KEY_READS, key_error, message_key
 from ..functions.payload import NUMBER, TEXT, Payload, with_payload
 from ..functions.rules import REJECTED, Rule, first_failure, rule, with_failure
 from ..functions.topics import log_topic, parse_topic, topic_filter
+from ..schemas import TABLES
 from . import contracts as C
+from .upsert import COMMAND_LOG
 
 # What a command acknowledgement writes when no request is known yet.
 ACK_PLACEHOLDER = {
@@ -273,17 +276,37 @@ def route(checked: DataFrame, topic: str, routes: dict[str, Route] = ROUTES) ->
 
 
 def table_rows(checked: DataFrame, table: str) -> DataFrame:
-    """Typed rows of every topic that feeds a table, in one pass: each column picks its reading by topic."""
-    topics = [topic for topic, r in ROUTES.items() if r.table == table]
-    good = checked.filter(F.col("topic").isin(topics) & F.col("failure").isNull())
-    fields = {topic: ROUTES[topic].fields(Payload()) for topic in topics}
-    columns = []
-    for name in fields[topics[0]]:
-        column = fields[topics[-1]][name]
-        for topic in topics[-2::-1]:
-            column = F.when(F.col("topic") == topic, fields[topic][name]).otherwise(column)
-        columns.append(column.alias(name))
-    return good.select(*columns, "arrival")
+    """Typed rows of every topic that feeds a table; each topic reads its own fields from its own messages only."""
+    parts = [route(checked, topic) for topic, r in ROUTES.items() if r.table == table]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+def sorted_out(checked: DataFrame, tables: list[str]) -> DataFrame:
+    """Every message with its ``target`` (one of the tables, or ``quarantine``) and its row packed in the column of that name.
+
+    One pass for all targets: written by target, each is a folder of its own. Rows have the columns of the stored table and
+    ``arrival``; messages for other tables are left out.
+    """
+    p, failed = Payload(), F.col("failure").isNotNull()
+    target, packed = F.when(failed, "quarantine"), {}
+    for topic, r in ROUTES.items():
+        if r.table not in tables:
+            continue
+        target = target.when(F.col("topic") == topic, r.table)
+        fields = r.fields(p)
+        if r.table == COMMAND_LOG.table:
+            # As in command_changes: only a request knows value and approval.
+            fields |= {name: F.when(fields["kind"] == "request", fields[name]) for name in COMMAND_LOG.last_known}
+        columns = [fields[f.name].cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TABLES[r.table])]
+        here = ~failed & (F.col("topic") == topic)
+        row = F.struct(*columns, "arrival")
+        packed[r.table] = packed[r.table].when(here, row) if r.table in packed else F.when(here, row)
+    rejected = F.struct("topic", "partition", "offset", "failure.reason", "failure.error", F.col("raw").cast("string").alias("raw"))
+    packed["quarantine"] = F.when(failed, rejected)
+    return checked.select(target.alias("target"), *[c.alias(name) for name, c in packed.items()]).filter(F.col("target").isNotNull())
 
 
 def quarantine(checked: DataFrame) -> DataFrame:

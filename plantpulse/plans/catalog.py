@@ -19,9 +19,9 @@ from ..operators.upsert import (
     command_changes, fold, insert_if_absent, new_commands, new_deployments,
 )
 from ..schemas import SITE_HEALTH
-from ..session import configure, new_folder
+from ..session import configure, new_folder, stored
 from ..sources import files, tables
-from ..streaming import features, live, replay
+from ..streaming import features, live, replay, rolled, scoring, unique
 from ..streaming.ingest import Ingest
 from .views import AS_OF, REPLAY_OFFSET, Plant
 
@@ -540,10 +540,8 @@ def route_model_scores(p: Plant) -> DataFrame:
 
 @query
 def quarantine(p: Plant) -> DataFrame:
-    """The stored log judged as a whole: all topics, all rules, one pass."""
-    path = new_folder(p.spark, "log")
-    p.log.write.parquet(path)
-    return routing.quarantine(routing.check(p.spark.read.parquet(path))).drop("raw")
+    """The log judged as a whole: all topics, all rules, one pass."""
+    return routing.quarantine(routing.check(p.log)).drop("raw")
 
 
 def _device_log(p: Plant) -> DataFrame:
@@ -687,21 +685,17 @@ def published_scores(p: Plant) -> DataFrame:
 @query
 def pca_scores(p: Plant) -> DataFrame:
     """Windows of 32 samples per asset seen through a bottleneck of 8: how many are scored, whether the mean error is the
-    variance the fit leaves, and whether its directions are orthonormal.
-
-    The windows are read three times, so they are written once.
-    """
-    path = new_folder(p.spark, "windows")
-    anomaly.sliding_windows(p.measurements, ["site_id", "asset_id"]).write.parquet(path)
-    windows = p.spark.read.parquet(path).withColumn("signal_id", F.lit("all"))
-    fitted = anomaly.fit(windows)
-    scored = anomaly.score(windows, fitted.reconstruct(F.col("window")))
-    sums = scored.groupBy("site_id", "asset_id").agg(F.count("score").alias("windows"), F.sum("score").alias("error"))
-    sums = sums.withColumn("mean_error", F.sum("error").over(Window.partitionBy()) / F.sum("windows").over(Window.partitionBy()))
+    variance the fit leaves, and whether its directions are orthonormal. No window is stored, neither to fit nor to score."""
+    keys = ["site_id", "asset_id"]
+    samples = stored(p.measurements.select(*keys, "ts_source", "seq", "value"), "samples")
+    fitted = anomaly.bottleneck(anomaly.window_totals(samples, keys))
+    scored = anomaly.window_errors(samples, keys, fitted)
+    sums = stored(scored.groupBy(*keys).agg(F.count("score").alias("windows"), F.sum("score").alias("error")), "errors")
+    error, windows = sums.agg(F.sum("error"), F.sum("windows")).first()
     length, k = fitted.directions.shape
     orthonormal = bool(abs(fitted.directions.T @ fitted.directions - np.eye(k)).max() < 1e-9)
-    agrees = F.abs(F.col("mean_error") * length - fitted.residual) <= 1e-6 * max(fitted.residual, 1.0)
-    return sums.select("site_id", "asset_id", "windows", agrees.alias("error_is_residual"), F.lit(orthonormal).alias("orthonormal"))
+    agrees = abs(error / windows * length - fitted.residual) <= 1e-6 * max(fitted.residual, 1.0)
+    return sums.select(*keys, "windows", F.lit(bool(agrees)).alias("error_is_residual"), F.lit(orthonormal).alias("orthonormal"))
 
 
 @query
@@ -725,15 +719,37 @@ def _finish(running) -> None:
     running.awaitTermination()
 
 
+#: Where the telemetry of a month is cut into four batches, and where the whole log is.
+MONTH = (datetime(2024, 1, 8), datetime(2024, 1, 16), datetime(2024, 1, 24))
+YEARS = (datetime(1998, 6, 1), datetime(2024, 1, 10), datetime(2024, 1, 20))
+
+
+class _Feed:
+    """A log as a stream of four batches in the order of time, each written when it is asked for, so that a job can be
+    stopped between two of them and started again."""
+
+    def __init__(self, p: Plant, log: DataFrame, edges: tuple[datetime, ...], purpose: str):
+        self.p, self.log, self.path, self.files = p, log, new_folder(p.spark, purpose), 2
+        bounds = [F.col("timestamp") >= F.lit(e) for e in edges]
+        self.part = sum((b.cast("int") for b in bounds), F.lit(0))
+
+    def write(self, *parts: int) -> None:
+        for k in parts:
+            # Files are read in the order of their times: a batch is the files of one part.
+            self.log.filter(self.part == k).repartition(self.files).write.mode("append").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return files.stream_files(self.p.spark, self.path, self.log.schema, max_files=self.files)
+
+
 @query
 def stream_features_1m(p: Plant) -> DataFrame:
-    """One-minute means through the file sink as JSON, decoded; closed windows only."""
-    out = new_folder(p.spark, "features")
-    encoded = features.feature_stream(p.telemetry_messages_of(_stream(p, "events")))
-    _finish(
-        encoded.writeStream.format("text").outputMode("append").option("path", f"{out}/messages")
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    )
+    """One-minute means of four batches through the file sink as JSON, decoded; closed windows only. The job stops with
+    windows open and goes on after its restart."""
+    out, feed = new_folder(p.spark, "features"), _Feed(p, p.telemetry_messages, MONTH, "feature-log")
+    for parts in ((0, 1), (2, 3)):
+        feed.write(*parts)
+        _finish(features.feature_job(feed.stream(), lambda m: m.writeStream.format("text").option("path", f"{out}/messages"), f"{out}/checkpoint"))
     schema = "siteId string, assetId string, signalId string, windowStart timestamp, windowEnd timestamp, avg_value double"
     decoded = p.spark.read.schema("value string").text(f"{out}/messages").select(F.from_json("value", schema).alias("m")).select("m.*")
     return decoded.select(
@@ -743,14 +759,126 @@ def stream_features_1m(p: Plant) -> DataFrame:
     )
 
 
+@query
+def feature_fields(p: Plant) -> DataFrame:
+    """All twelve fields the feature job parses, of messages that are JSON objects."""
+    parsed = features.parsed_telemetry(p.telemetry_messages).filter(F.col("event_id").isNotNull())
+    return rounded(parsed, "value")
+
+
 @query
 def stream_ingest(p: Plant) -> DataFrame:
-    """Telemetry messages streamed into the folded table, then compacted and read."""
-    ingest = Ingest(p.spark, new_folder(p.spark, "ingest"), ["measurements"])
-    _finish(ingest.start(p.telemetry_messages_of(_stream(p, "events")), availableNow=True))
-    table = ingest.tables["measurements"]
-    table.compact()
-    return table.read()
+    """The log of all topics streamed into its six tables in four batches with one restart, compacted and read: one row set
+    per table, with the columns of all as text. The measurements are compacted first."""
+    named = F.col("value").contains('"eventId"') & F.col("value").contains('"eventType":"error"')
+    events = _again(p.event_messages, named, {'"site-x"': '"site-y"', '"eventType":"error"': '"eventType":"fault"'})
+    failing = F.col("value").contains('"state":"error"')
+    states = _again(p.state_messages, failing, {'"site-x"': '"site-y"', '"state":"error"': '"state":"fault"'})
+    log = p.telemetry_messages
+    for more in (p.alarm_messages, events, states, p.command_messages, p.score_messages, p.audit_messages):
+        log = log.unionByName(more)
+    feed, path = _Feed(p, log, YEARS, "ingest-log"), new_folder(p.spark, "ingest")
+    for parts in ((0, 1), (2, 3)):
+        feed.write(*parts)
+        ingest = Ingest(p.spark, path)
+        _finish(ingest.start(feed.stream(), availableNow=True))
+    ingest.tables["measurements"].compact()
+    found = None
+    for name, table in ingest.tables.items():
+        rows = table.read().select(F.lit(name).alias("target"), *[F.col(c).cast("string") for c in table.schema.names])
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
+
+
+@query
+def stream_rollups(p: Plant) -> DataFrame:
+    """Rollups of three widths kept by the changes of four ingest batches."""
+    path, feed = new_folder(p.spark, "rolled"), _Feed(p, p.telemetry_messages, MONTH, "rollup-log")
+    kept = {name: rolled.StoredRollup(p.spark, f"{path}/rollup-{name}", policy["width"]) for name, policy in ROLLUPS.items()}
+    ingest = Ingest(p.spark, path, ["measurements"], after=lambda batch: [r.refresh(ingest.tables["measurements"], batch) for r in kept.values()])
+    feed.write(0, 1, 2, 3)
+    _finish(ingest.start(feed.stream(), availableNow=True))
+    found = [rounded(r.read(), "avg_value").withColumn("rollup", F.lit(name)) for name, r in kept.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _unique_feed(p: Plant) -> unique.UniqueFeed:
+    """Telemetry with repeats: every seventh message twice in its batch, every eleventh of a batch's last half day once more
+    in the next one; a restart after two batches."""
+    number = F.regexp_extract("key", "[0-9]+", 0).cast("bigint")
+    log = p.telemetry_messages
+    again = log.filter(number % 7 == 0)
+    last = [F.col("timestamp").between(F.lit(e - timedelta(hours=12)), F.lit(e - timedelta(microseconds=1))) for e in MONTH]
+    carried = log.filter((number % 11 == 0) & (last[0] | last[1] | last[2])).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 12 HOUR"))
+    feed = _Feed(p, log.unionByName(again).unionByName(carried), MONTH, "unique-log")
+    kept = unique.UniqueFeed(p.spark, new_folder(p.spark, "unique"), ["event_id"], "ts_source", "1 day")
+    for parts in ((0, 1), (2, 3)):
+        feed.write(*parts)
+        parsed = features.parsed_telemetry(feed.stream()).select("event_id", "signal_id", "ts_source")
+        kept.run(parsed.filter("event_id IS NOT NULL AND ts_source IS NOT NULL"))
+    return kept
+
+
+@query
+def stream_unique(p: Plant) -> DataFrame:
+    """Each message once, whatever the feed repeats."""
+    return _unique_feed(p).rows("event_id string, signal_id string, ts_source timestamp")
+
+
+@query
+def delivery_counters(p: Plant) -> DataFrame:
+    """Messages seen, unique, repeated and late in every batch of the same feed."""
+    return _unique_feed(p).counters().drop("batch")
+
+
+@query
+def stream_overdue_commands(p: Plant) -> DataFrame:
+    """Requests never acknowledged in time, as a stream of four batches; a last one only moves the time on."""
+    at = F.when(F.col("kind") == "ack", F.col("acked_at")).otherwise(F.col("issued_at"))
+    changes = _acked(p).select("kind", "command_id", *[F.col(c).cast("timestamp") for c in ("issued_at", "acked_at")], at.cast("timestamp").alias("timestamp"))
+    feed = _Feed(p, changes, (datetime(1993, 9, 1), datetime(1995, 5, 1), datetime(1997, 1, 1)), "commands")
+    out = new_folder(p.spark, "overdue")
+    feed.write(0, 1, 2, 3)
+    beat = F.lit(AS_OF.isoformat()).cast("timestamp")
+    nobody = p.spark.range(2).select(F.lit("beat").alias("kind"), F.lit(None).cast("string").alias("command_id"), *[beat.alias(c) for c in ("issued_at", "acked_at", "timestamp")])
+    nobody.repartition(2).write.mode("append").parquet(feed.path)
+    found = commands.overdue_stream(feed.stream())
+    _finish(
+        found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    return p.spark.read.schema(found.schema).parquet(f"{out}/rows")
+
+
+def _scoring_job(p: Plant) -> scoring.ScoringJob:
+    """The vectors as JSON lines, each seventh without its asset and each ninth cut short, scored in four batches with a
+    restart; the model is the mean of nothing: every window is rebuilt as zeros."""
+    vectors = _vectors(p).select("vec_id", "label", F.slice("window", 1, 32).alias("window"))
+    body = F.to_json(F.struct(
+        F.concat(F.lit("vec-"), "vec_id").alias("signalId"), F.lit("site-x").alias("siteId"),
+        F.when(F.col("vec_id") % 7 != 0, F.concat(F.lit("asset-"), "label")).alias("assetId"),
+        "window", F.lit("2024-01-30T00:00:00Z").alias("ts_source"), F.when(F.col("vec_id") % 3 == 0, F.lit(0.01)).alias("threshold"),
+    ))
+    lines = vectors.select(F.when(F.col("vec_id") % 9 == 0, F.left(body, F.lit(20))).otherwise(body).alias("value"), (F.col("vec_id") % 4).alias("part"))
+    source, path = new_folder(p.spark, "lines"), new_folder(p.spark, "scored")
+    job = scoring.ScoringJob(p.spark, path, "zero-model", "v1", lambda w: F.transform(w, lambda x: F.lit(0.0)))
+    for parts in ((0, 1), (2, 3)):
+        for k in parts:
+            lines.filter(F.col("part") == k).select("value").coalesce(1).write.mode("append").text(source)
+        _finish(job.start(p.spark.readStream.option("maxFilesPerTrigger", 1).text(source)))
+    return job
+
+
+@query
+def scored_lines(p: Plant) -> DataFrame:
+    """Scores of windows that came as JSON lines."""
+    return rounded(_scoring_job(p).scores().select("asset_id", "signal_id", "model_id", "threshold", "score", "anomalous"), "score")
+
+
+@query
+def scoring_manifest(p: Plant) -> DataFrame:
+    """What every batch of score lines gave."""
+    return _scoring_job(p).manifest().select("batch", "model_id", "version", "scored", "rejected", "anomalous")
 
 
 def _live(p: Plant, view: DataFrame, keys: list[str]) -> live.LiveView:
@@ -773,8 +901,12 @@ def live_open_alarms(p: Plant) -> DataFrame:
 
 @query
 def live_command_status(p: Plant) -> DataFrame:
+    """Current records from the stored command table; the stream keeps no state."""
     changes = command_changes(p.command_arrivals_of(_in_batches(p, "orders")))
-    return _live(p, live.command_status(changes), COMMAND_LOG.keys).read()
+    kinds = dict(changes.dtypes)
+    view = live.CommandStatusView(p.spark, new_folder(p.spark, "status"), kinds["arrival"])
+    _finish(view.start(changes, availableNow=True))
+    return view.read()
 
 
 def _staged(p: Plant, df: DataFrame, purpose: str) -> str:
@@ -803,3 +935,20 @@ def stream_replay(p: Plant) -> DataFrame:
     for _ in range(2):
         _finish(replay.replay(p.spark, source, out, max_files=2))
     return replay.published(p.spark, out)
+
+
+@query
+def keyed_replay(p: Plant) -> DataFrame:
+    """The spool published in four batches with a restart, every record with its place in its asset's key."""
+    pending = p.spool.withColumn("message_key", F.concat(F.lit("asset-"), F.col("row_id") % 50)).withColumn("timestamp", F.col("created_at").cast("timestamp"))
+    # Records are spooled in the order of their numbers: four runs of them are the batches.
+    spread = pending.select("row_id").approxQuantile("row_id", [0.25, 0.5, 0.75], 0.01)
+    source, job = new_folder(p.spark, "keyed-spool"), replay.KeyedReplay(p.spark, new_folder(p.spark, "keyed"))
+    part = sum(((F.col("row_id") >= e).cast("int") for e in spread), F.lit(0))
+    for parts in ((0, 1), (2, 3)):
+        for k in parts:
+            pending.filter(part == k).drop("timestamp").repartition(2).write.mode("append").parquet(source)
+        _finish(job.run(source, max_files=2))
+    if job.gaps().head(1):
+        raise RuntimeError("published numbers have gaps")
+    return job.published()

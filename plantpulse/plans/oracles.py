@@ -514,4 +514,40 @@ FROM (SELECT o_orderkey, turn, message_key, CASE WHEN turn IN (3,4) THEN concat(
              WHEN o_orderkey%11=0 THEN 'payload is not valid JSON' ELSE key_error END AS error
       FROM (SELECT *, {TOPIC} AS topic FROM device_topics) LEFT JOIN ({QUERIES["message_keys"]}) USING (o_orderkey))"""
 
+# Tables of the ingest, and the query that states the rows of each.
+_STORED = {
+    "measurements": QUERIES["stream_ingest"], "alarms": QUERIES["upsert_alarms"], "events": QUERIES["upsert_events"],
+    "asset_state": QUERIES["upsert_asset_state"], "command_log": QUERIES["command_log_from_messages"], "model_scores": QUERIES["upsert_model_scores"],
+}
+_MEASURED = QUERIES["stream_ingest"]
+QUERIES["stream_ingest"] = "\nUNION ALL BY NAME\n".join(f"SELECT '{name}' AS target, CAST(COLUMNS(*) AS VARCHAR) FROM ({sql})" for name, sql in _STORED.items())
+QUERIES["stream_rollups"] = "\nUNION ALL\n".join(f"SELECT *, '{name}' AS rollup FROM ({_rollup(width, f'({_MEASURED})')})" for name, width in (("1m", "1 minute"), ("15m", "15 minutes"), ("1h", "1 hour")))
+QUERIES["feature_fields"] = """SELECT event_id, CASE WHEN seq%50=16 THEN '' ELSE site_id END AS site_id, CASE WHEN seq%50<>0 THEN asset_id END AS asset_id, signal_id,
+       CASE WHEN seq%50=1 THEN 'great' ELSE quality END AS quality, CASE WHEN seq%50<>15 THEN ts_source END AS ts_source, ts_ingest,
+       CASE WHEN seq%50=3 THEN -1 ELSE seq END AS seq, unit, CASE WHEN seq%50 NOT IN (2,8) THEN round(value,6) END AS value,
+       CASE WHEN seq%50=9 THEN 'null' ELSE tags END AS tags, trace_id
+FROM telemetry WHERE seq%50 NOT IN (4,14)"""
+_USABLE = "telemetry WHERE seq%50 NOT IN (4,14,15)"
+QUERIES["stream_unique"] = f"SELECT event_id, signal_id, ts_source FROM {_USABLE}"
+_PARTS = "[TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-16', TIMESTAMP '2024-01-24']"
+QUERIES["delivery_counters"] = f"""SELECT min(ts_source) AS since, max(ts_source) AS until, count(*) AS seen,
+       count(*) FILTER (WHERE copy=0) AS "unique", count(*) FILTER (WHERE copy>0) AS repeated, CAST(0 AS BIGINT) AS late
+FROM (SELECT ts_source, copy, len(list_filter({_PARTS}, lambda e: e <= moment)) AS part FROM (
+  SELECT ts_source, ts_ingest AS moment, 0 AS copy FROM {_USABLE}
+  UNION ALL SELECT ts_source, ts_ingest, 1 FROM {_USABLE} AND seq%7=0
+  UNION ALL SELECT ts_source, ts_ingest + INTERVAL '12' HOUR, 2 FROM {_USABLE} AND seq%11=0
+            AND len(list_filter({_PARTS}, lambda e: ts_ingest >= e - INTERVAL '12' HOUR AND ts_ingest < e)) > 0))
+GROUP BY part"""
+QUERIES["stream_overdue_commands"] = f"SELECT command_id, issued_at FROM ({QUERIES['overdue_commands']})"
+QUERIES["keyed_replay"] = """SELECT kafka_topic AS topic, concat('asset-',row_id%50) AS key,
+       row_number() OVER (PARTITION BY kafka_topic, row_id%50 ORDER BY row_id) - 1 AS number, row_id, payload AS value
+FROM spool WHERE status='pending'"""
+_LINES = """(SELECT vec_id, concat('asset-',label) AS asset_id, concat('vec-',vec_id) AS signal_id, CASE WHEN vec_id%3=0 THEN 0.01E0 ELSE 0.15E0 END AS threshold,
+       list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE)))/len(embedding[1:32]) AS score FROM embeddings)"""
+QUERIES["scored_lines"] = f"""SELECT asset_id, signal_id, 'zero-model' AS model_id, threshold, round(score,6) AS score, score>threshold AS anomalous
+FROM {_LINES} WHERE vec_id%7<>0 AND vec_id%9<>0"""
+QUERIES["scoring_manifest"] = f"""SELECT vec_id%4 AS batch, 'zero-model' AS model_id, 'v1' AS version, count(*) FILTER (WHERE vec_id%7<>0 AND vec_id%9<>0) AS scored,
+       count(*) FILTER (WHERE vec_id%7=0 OR vec_id%9=0) AS rejected, count(*) FILTER (WHERE vec_id%7<>0 AND vec_id%9<>0 AND score>threshold) AS anomalous
+FROM {_LINES} GROUP BY 1"""
+
 ORACLES = {name: _with_views(sql) for name, sql in QUERIES.items()}

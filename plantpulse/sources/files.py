@@ -20,12 +20,12 @@ def stream_files(spark: SparkSession, path: str, schema: str, max_files: int | N
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def _window_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Score windows from JSON lines, with the line and what it lacks."""
+def window_lines(lines: DataFrame) -> DataFrame:
+    """Score windows from JSON lines (column ``value``), batch or stream, with the line (``raw``) and what it lacks (``error``)."""
     p = Payload()
     reads = dict.fromkeys(["modelId", "siteId", "assetId", "signalId"], TEXT)
     reads |= {"ts_source": TIME, "threshold": NUMBER, "window": RAW}
-    rows = with_payload(spark.read.text(path), F.col("value"), reads, p).select(
+    rows = with_payload(lines, F.col("value"), reads, p).select(
         p.value("window").try_cast("array<double>").alias("window"),
         p.text("modelId").alias("model_id"),
         p.text("siteId").alias("site_id"),
@@ -44,12 +44,12 @@ def _window_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """The score windows of JSON lines; lines without window, asset or signal are in ``rejected_windows``."""
-    return _window_lines(spark, path).filter(F.col("error").isNull()).drop("raw", "error")
+    return window_lines(spark.read.text(path)).filter(F.col("error").isNull()).drop("raw", "error")
 
 
 def rejected_windows(spark: SparkSession, path: str) -> DataFrame:
     """The lines that give no score window, and why: the quarantine of ``read_windows``."""
-    return _window_lines(spark, path).filter(F.col("error").isNotNull()).select("raw", "error")
+    return window_lines(spark.read.text(path)).filter(F.col("error").isNotNull()).select("raw", "error")
 
 
 def write_messages(messages: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -11,7 +11,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.constants import RETENTION_MONTHS
 from ..functions.times import literal
@@ -99,6 +99,18 @@ def drop_expired_days(spark: SparkSession, path: str, as_of: datetime, months: i
     return gone
 
 
+def swap_days(spark: SparkSession, staged: str, target: str, schema: StructType, time: str) -> None:
+    """Put days that were staged in full in the place of the same days of ``target``; a stopped run is finished by the next.
+
+    Staged data without a success marker is an unfinished write and goes.
+    """
+    if not _exists(spark, staged):
+        return
+    if _exists(spark, f"{staged}/_SUCCESS"):
+        write_table(spark.read.schema(schema).parquet(staged).drop(DAY), target, time)
+    _remove(spark, staged)
+
+
 # --- upserts --------------------------------------------------------------------------
 
 
@@ -110,14 +122,18 @@ class FoldedTable:
     in arrival order.
     """
 
-    def __init__(self, spark: SparkSession, path: str, spec: UpsertSpec, schema: str, arrival_type: str):
-        self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+    def __init__(
+        self, spark: SparkSession, path: str, spec: UpsertSpec, schema: str, arrival_type: str, arrivals: str | None = None
+    ):
+        """``arrivals`` names a folder of batches that somebody else writes (``Ingest``): the rows lie in a column named
+        by the table."""
+        self.spark, self.path, self.spec, self.shared = spark, path.rstrip("/"), spec, arrivals is not None
         self.schema = StructType.fromDDL(schema)
         self.change_schema = StructType.fromDDL(
             f"{schema}, arrival struct<batch_id:bigint,at:{arrival_type}>, {DAY} date"
         )
         self.base_path = f"{self.path}/base"
-        self.changes_path = f"{self.path}/changes"
+        self.changes_path = arrivals or f"{self.path}/changes"
         self.staged_path = f"{self.path}/staged"
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
@@ -140,15 +156,33 @@ class FoldedTable:
         if not batches:
             return self.spark.createDataFrame([], self.change_schema)
         paths = [f"{self.changes_path}/batch={b}" for b in batches]
-        return self.spark.read.schema(self.change_schema).parquet(*paths)
-
-    def read(self) -> DataFrame:
-        """The table as of now: one row per key. Reading changes nothing: staged days count as soon as they are whole."""
-        base = self._base()
+        if not self.shared:
+            return self.spark.read.schema(self.change_schema).parquet(*paths)
+        at = self.change_schema["arrival"].dataType["at"].dataType
+        packed = StructType([*self.schema, StructField("arrival", at)])
+        schema = StructType([StructField(self.spec.table, packed), StructField("batch", LongType())])
+        found = self.spark.read.schema(schema).option("basePath", self.changes_path).parquet(*paths)
+        rows = found.select("batch", f"{self.spec.table}.*")
+        order = F.struct(F.col("batch").alias("batch_id"), F.col("arrival").alias("at"))
+        return rows.withColumn("arrival", order).withColumn(DAY, F.to_date(self.spec.time)).drop("batch")
+
+    def changes(self, batch_id: int) -> DataFrame:
+        """The stored arrivals of one batch."""
+        return self._changes([batch_id] if batch_id in self._batches() else [])
+
+    def read(self, days: list[date] | None = None) -> DataFrame:
+        """The table as of now: one row per key. Reading changes nothing: staged days count as soon as they are whole.
+
+        With ``days`` only the partitions of those days are read.
+        """
+        base, changes = self._base(), self._changes(self._batches())
+        if days is not None:
+            base, changes = (rows.filter(F.col(DAY).isin(list(days))) for rows in (base, changes))
         if _exists(self.spark, f"{self.staged_path}/_SUCCESS"):
             staged = self.spark.read.schema(base.schema).parquet(self.staged_path)
+            staged = staged if days is None else staged.filter(F.col(DAY).isin(list(days)))
             base = base.join(staged.select(DAY).distinct(), DAY, "left_anti").unionByName(staged)
-        return merge(base, self._changes(self._batches()), self.spec).select(*self.schema.names)
+        return merge(base, changes, self.spec).select(*self.schema.names)
 
     def compact(self) -> None:
         """Fold the stored batches into the base and drop them.
@@ -171,11 +205,5 @@ class FoldedTable:
             _remove(self.spark, f"{self.changes_path}/batch={batch}")
 
     def _finish_swap(self) -> None:
-        """Put staged days in place. Staged data without a success marker is an unfinished write."""
-        if not _exists(self.spark, self.staged_path):
-            return
-        if _exists(self.spark, f"{self.staged_path}/_SUCCESS"):
-            schema = StructType([f for f in self.change_schema if f.name != "arrival"])
-            staged = self.spark.read.schema(schema).parquet(self.staged_path).drop(DAY)
-            write_table(staged, self.base_path, self.spec.time)
-        _remove(self.spark, self.staged_path)
+        schema = StructType([f for f in self.change_schema if f.name != "arrival"])
+        swap_days(self.spark, self.staged_path, self.base_path, schema, self.spec.time)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..functions.payload import Payload, with_payload
 from ..operators.contracts import TELEMETRY_READS, telemetry_fields
+from ..operators.rollups import series_mean
 
 
 def parsed_telemetry(log: DataFrame) -> DataFrame:
-    """Typed telemetry of a log; fields that do not parse are NULL."""
+    """Typed telemetry of a log, all twelve fields; fields that do not parse are NULL. What is not selected later is not read."""
     p = Payload()
     parsed = with_payload(log.select("value"), F.col("value").cast("string"), TELEMETRY_READS, p)
-    fields = telemetry_fields(p)
-    return parsed.select(*[fields[name].alias(name) for name in ("site_id", "asset_id", "signal_id", "ts_source", "value")])
+    return parsed.select(*[column.alias(name) for name, column in telemetry_fields(p).items()])
 
 
 def rolling_means(telemetry: DataFrame, width: str = "1 minute", late_by: str = "10 minutes") -> DataFrame:
@@ -48,3 +52,15 @@ def feature_messages(features: DataFrame) -> DataFrame:
 
 def feature_stream(log: DataFrame) -> DataFrame:
     return feature_messages(rolling_means(parsed_telemetry(log)))
+
+
+def feature_job(source: DataFrame, sink: Callable[[DataFrame], DataStreamWriter], checkpoint: str, **trigger) -> StreamingQuery:
+    """Telemetry messages in, one-minute means out: ``source`` is any stream with a ``value``, ``sink`` turns the message
+    stream into a writer (files, a broker, a table). A restart on the same checkpoint goes on inside open windows."""
+    writer = sink(feature_stream(source)).outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def backfill_job(table: DataFrame, sink: Callable[[DataFrame], None]) -> None:
+    """The mean over all history of every series of a measurement table, handed to ``sink``."""
+    sink(series_mean(table))

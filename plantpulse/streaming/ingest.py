@@ -2,46 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import routing
-from ..operators.upsert import SPECS, command_changes
+from ..operators.upsert import SPECS
 from ..schemas import TABLES
-from ..sources.tables import FoldedTable
+from ..sources.tables import FoldedTable, _exists
 
 ARRIVAL = "struct<timestamp:timestamp,partition:int,offset:bigint>"
+QUARANTINE = "quarantine struct<topic:string,partition:int,offset:bigint,reason:string,error:string,raw:string>"
 
 
 class Ingest:
     """Tables under ``path`` and the batch step that feeds them.
 
-    Every ``compact_every`` batches the tables fold their batches into their base, so that no
-    more than that many stay open. A batch that is tried again after that folds to the same rows.
+    A batch is parsed once and written once, partitioned by target: nothing is cached, and every table reads the folder
+    of its own arrivals. Every ``compact_every`` batches the tables fold their batches into their base, so that no more
+    than that many stay open. A batch that is tried again replaces what its earlier try wrote, and folds to the same rows.
+    ``after`` is called with the batch number once the batch is stored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tables: list[str] | None = None, compact_every: int = 16):
-        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+    def __init__(
+        self, spark: SparkSession, path: str, tables: list[str] | None = None, compact_every: int = 16,
+        after: Callable[[int], None] | None = None,
+    ):
+        self.spark, self.path, self.compact_every, self.after = spark, path.rstrip("/"), compact_every, after
+        self.arrivals = f"{self.path}/arrivals"
         self.tables = {
-            name: FoldedTable(spark, f"{self.path}/{name}", SPECS[name], TABLES[name], ARRIVAL)
+            name: FoldedTable(spark, f"{self.path}/{name}", SPECS[name], TABLES[name], ARRIVAL, f"{self.arrivals}/target={name}")
             for name in (tables or list(SPECS))
         }
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Validate once, then append to each table and to the quarantine.
-
-        Each write replaces what an earlier try of the same batch left behind.
-        """
-        checked = routing.check(batch).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for name, table in self.tables.items():
-                rows = routing.table_rows(checked, name)
-                table.append(command_changes(rows) if name == "command_log" else rows, batch_id)
-            rejected = routing.quarantine(checked)
-            rejected.write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={batch_id}")
-        finally:
-            checked.unpersist()
+        """Validate and store one batch: one job, whatever the number of tables."""
+        rows = routing.sorted_out(routing.check(batch), list(self.tables)).withColumn("batch", F.lit(batch_id))
+        (
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+            .partitionBy("target", "batch").parquet(self.arrivals)
+        )
+        if self.after is not None:
+            self.after(batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             for table in self.tables.values():
                 table.compact()
@@ -56,4 +60,7 @@ class Ingest:
         )
 
     def quarantine(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/quarantine").drop("batch")
+        path = f"{self.arrivals}/target=quarantine"
+        if not _exists(self.spark, path):
+            return self.spark.createDataFrame([], QUARANTINE).select("quarantine.*")
+        return self.spark.read.schema(QUARANTINE).parquet(path).select("quarantine.*")

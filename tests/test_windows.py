@@ -42,7 +42,7 @@ def test_top_n(skewed):
 
 def test_pages(skewed):
     rows, df = skewed
-    pages = ordering.nest_pages(df, ["k"], F.date_trunc("hour", "ts_source"), ["ts_source", "seq"], ["seq"], "items", page_size=16)
+    pages = ordering.nest_pages(df, ["k"], ["ts_source", "seq"], ["seq"], "items", page_size=16)
     got = {}
     for r in pages.orderBy("k", "page").collect():
         assert len(r["items"]) <= 16
