@@ -7,6 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Error texts of contracts, topics and routing, in the words of this library.
+NOT_JSON = "payload is not valid JSON"
+NOT_OBJECT = "payload is not an object"
+ABSENT = "{} is missing"
+EMPTY = "{} may not be empty"
+UNKNOWN_VALUE = "{} has a value outside its list"
+BAD_TIME = "no full date and time: "
+BELOW_ZERO = "{} is below zero"
+VALUE_KIND = "value is neither number nor text nor flag"
+VALUE_TEXT = "value does not read as a number: "
+LOOSE_REFERENCE = "approval_reference stands without an approval"
+NO_SCORE = "message carries no score"
+NO_TABLE = "no table takes messages of topic "
+NO_CHANNEL = "channel is not in use: "
+BAD_PART = "{} is empty or holds a slash"
+NOT_A_TOPIC = "text is no device topic: "
+
 REJECTED = "rejected"
 MALFORMED = "malformed"
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules as R
 from .constants import CHANNEL_TOPICS
 
 
@@ -19,10 +20,10 @@ def build_topic(site: Column, area: Column, asset: Column, channel: Column) -> C
 def topic_error(site: Column, area: Column, asset: Column, channel: Column) -> Column:
     """Why a topic cannot be built: NULL when it can."""
     known = F.coalesce(channel.isin(*CHANNEL_TOPICS), F.lit(False))
-    checks = [F.when(~known, F.concat(F.lit("Unsupported channel: "), F.coalesce(channel, F.lit(""))))]
+    checks = [F.when(~known, F.concat(F.lit(R.NO_CHANNEL), F.coalesce(channel, F.lit(""))))]
     for name, part in (("site_id", site), ("area_id", area), ("asset_id", asset)):
         bad = part.isNull() | (part == "") | part.contains("/")
-        checks.append(F.when(bad, F.lit(f"{name} must be non-empty and slash-free")))
+        checks.append(F.when(bad, F.lit(R.BAD_PART.format(name))))
     return F.coalesce(*checks)
 
 
@@ -37,8 +38,8 @@ def parse_topic(topic: Column) -> Column:
     shaped = F.coalesce(shaped, F.lit(False))
     channel = F.when(shaped, F.array_join(F.slice(parts, F.lit(7), F.greatest(size - 6, F.lit(0))), "/"))
     known = channel.isin(*CHANNEL_TOPICS)
-    error = F.when(~shaped, F.concat(F.lit("Topic is malformed: "), F.coalesce(topic, F.lit("")))).when(
-        ~known, F.concat(F.lit("Unsupported channel: "), channel)
+    error = F.when(~shaped, F.concat(F.lit(R.NOT_A_TOPIC), F.coalesce(topic, F.lit("")))).when(
+        ~known, F.concat(F.lit(R.NO_CHANNEL), channel)
     )
 
     def part(index: int) -> Column:

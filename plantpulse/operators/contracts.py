@@ -18,6 +18,7 @@ from ..functions.constants import (
     SAMPLING_CLASSES,
 )
 from ..functions.payload import NUMBER, RAW, TEXT, TIME, WHOLE, Payload, is_number_kind, with_payload
+from ..functions import rules as R
 from ..functions.rules import MALFORMED, Rule, first_failure, rule, with_failure
 
 LENIENT = "lenient"
@@ -41,27 +42,27 @@ MODEL_OPTIONAL = ["rollbackVersion"]
 
 def payload_rules(p: Payload) -> list[Rule]:
     return [
-        rule(~p.is_json(), "payload is not valid JSON"),
-        rule(~p.is_object(), "payload is not an object", MALFORMED),
+        rule(~p.is_json(), R.NOT_JSON),
+        rule(~p.is_object(), R.NOT_OBJECT, MALFORMED),
     ]
 
 
 def _missing(p: Payload, names: list[str]) -> list[Rule]:
-    return [rule(~p.present(n), f"{n} is missing") for n in names]
+    return [rule(~p.present(n), R.ABSENT.format(n)) for n in names]
 
 
 def _required_text(p: Payload, names: dict[str, str]) -> list[Rule]:
     """JSON null counts as empty."""
-    return [rule(F.coalesce(p.text(key), F.lit("")) == "", f"{label} is required") for key, label in names.items()]
+    return [rule(F.coalesce(p.text(key), F.lit("")) == "", R.EMPTY.format(label)) for key, label in names.items()]
 
 
 def _one_of(value: Column, allowed: list[str], label: str) -> Rule:
-    return rule(~F.coalesce(value.isin(*allowed), F.lit(False)), f"{label} is invalid")
+    return rule(~F.coalesce(value.isin(*allowed), F.lit(False)), R.UNKNOWN_VALUE.format(label))
 
 
 def _timestamp_rule(p: Payload, name: str) -> Rule:
     shown = F.coalesce(p.text(name), F.lit("null"))
-    return rule(p.time(name).isNull(), F.concat(F.lit("Invalid timestamp: "), shown))
+    return rule(p.time(name).isNull(), F.concat(F.lit(R.BAD_TIME), shown))
 
 
 def _object_if_present(p: Payload, name: str) -> Rule:
@@ -133,7 +134,7 @@ def telemetry_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
         _one_of(p.text("quality"), QUALITY_LEVELS, "quality"),
         _timestamp_rule(p, "ts_source"),
         _timestamp_rule(p, "ts_ingest"),
-        rule(seq < 0, "seq must be non-negative"),
+        rule(seq < 0, R.BELOW_ZERO.format("seq")),
     ]
     return rules
 
@@ -144,8 +145,8 @@ def value_rules(p: Payload) -> list[Rule]:
     type_of = p.kind("value")
     supported = p.is_number("value") | type_of.isin("STRING", "BOOLEAN")
     return [
-        rule(~supported, "Unsupported telemetry value type"),
-        rule(p.number("value").isNull(), F.concat(F.lit("Telemetry value is not numeric: "), shown)),
+        rule(~supported, R.VALUE_KIND),
+        rule(p.number("value").isNull(), F.concat(F.lit(R.VALUE_TEXT), shown)),
     ]
 
 
@@ -196,7 +197,7 @@ def command_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
         not_approved = not_approved & p.present("approved")
     rules += [
         _one_of(priority, COMMAND_PRIORITIES, "priority"),
-        rule(not_approved & (reference != ""), "approval_reference requires approval"),
+        rule(not_approved & (reference != ""), R.LOOSE_REFERENCE),
         _timestamp_rule(p, "expiresAt"),
     ]
     return rules
@@ -240,7 +241,7 @@ def device_rules(p: Payload, mode: str = LENIENT) -> list[Rule]:
         p, {"siteId": "site_id", "assetId": "asset_id", "deviceId": "device_id", "protocol": "protocol"}
     )
     rules += [
-        rule(F.size(_string_map(p, "signalMap")) == 0, "signal_map is required"),
+        rule(F.size(_string_map(p, "signalMap")) == 0, R.EMPTY.format("signal_map")),
         _one_of(p.text("samplingClass"), SAMPLING_CLASSES, "sampling_class"),
     ]
     return rules

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.keys import KEY_READS, key_error, message_key
 from ..functions.payload import NUMBER, TEXT, Payload, with_payload
+from ..functions import rules as R
 from ..functions.rules import REJECTED, Rule, first_failure, rule, with_failure
 from ..functions.topics import log_topic, parse_topic, topic_filter
 from ..schemas import TABLES
@@ -50,7 +51,7 @@ def _first_time(p: Payload, *names: str) -> tuple[Column, Column]:
 
 def _time_rule(p: Payload, *names: str) -> Rule:
     text, time = _first_time(p, *names)
-    return rule(text.isNotNull() & time.isNull(), F.concat(F.lit("Invalid timestamp: "), text))
+    return rule(text.isNotNull() & time.isNull(), F.concat(F.lit(R.BAD_TIME), text))
 
 
 def _alarm_rules(p: Payload) -> list[Rule]:
@@ -68,7 +69,7 @@ def _event_rules(p: Payload) -> list[Rule]:
 def _state_rules(p: Payload) -> list[Rule]:
     return C.payload_rules(p) + [
         _time_rule(p, *SOURCE_TIME),
-        *[rule(p.text(n).isNull(), f"{n} is missing") for n in ("siteId", "assetId")],
+        *[rule(p.text(n).isNull(), R.ABSENT.format(n)) for n in ("siteId", "assetId")],
     ]
 
 
@@ -78,7 +79,7 @@ def _request_rules(p: Payload) -> list[Rule]:
 
 def _ack_rules(p: Payload) -> list[Rule]:
     return C.payload_rules(p) + [
-        rule(p.text("commandId").isNull(), "commandId is missing"),
+        rule(p.text("commandId").isNull(), R.ABSENT.format("commandId")),
         _time_rule(p, "issuedAt"),
         _time_rule(p, "expiresAt"),
     ]
@@ -87,8 +88,8 @@ def _ack_rules(p: Payload) -> list[Rule]:
 def _score_rules(p: Payload) -> list[Rule]:
     return C.payload_rules(p) + [
         _time_rule(p, *SOURCE_TIME),
-        rule(F.coalesce(p.kind("score"), F.lit("VOID")) == "VOID", "score is required for analytics.inference"),
-        *[rule(p.text(n).isNull(), f"{n} is missing") for n in ("siteId", "assetId", "signalId")],
+        rule(F.coalesce(p.kind("score"), F.lit("VOID")) == "VOID", R.NO_SCORE),
+        *[rule(p.text(n).isNull(), R.ABSENT.format(n)) for n in ("siteId", "assetId", "signalId")],
         rule(p.number("score").isNull(), "score is not numeric"),
     ]
 
@@ -255,7 +256,7 @@ def check(
         log = log.filter(F.col("topic").isin(topics))
     p = Payload()
     parsed = with_payload(log, F.col("value").cast("string"), _all_reads(list(chosen.values())), p)
-    unknown = F.concat(F.lit("No processor configured for topic: "), F.coalesce(F.col("topic"), F.lit("")))
+    unknown = F.concat(F.lit(R.NO_TABLE), F.coalesce(F.col("topic"), F.lit("")))
     failure = F.when(
         ~F.coalesce(F.col("topic").isin(*chosen), F.lit(False)),
         F.struct(F.lit(REJECTED).alias("reason"), unknown.alias("error")),
@@ -340,7 +341,7 @@ def forward(messages: DataFrame, topic: str = "topic", payload: str = "value") -
     channel = F.col("_place.channel")
     key = message_key(p, channel, F.col("_place.site_id"), F.col("_place.asset_id"))
     error = F.coalesce(
-        F.col("_place.error"), F.when(~F.coalesce(p.is_json(), F.lit(False)), "payload is not valid JSON"), key_error(channel, key)
+        F.col("_place.error"), F.when(~F.coalesce(p.is_json(), F.lit(False)), R.NOT_JSON), key_error(channel, key)
     )
     judged = with_payload(placed, F.col(payload).cast("string"), KEY_READS, p).select(
         *messages.columns, log_topic(channel).alias("log_topic"), key.alias("message_key"), error.alias("error")

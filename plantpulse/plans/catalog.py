@@ -836,7 +836,7 @@ def stream_overdue_commands(p: Plant) -> DataFrame:
     """Requests never acknowledged in time, as a stream of four batches; a last one only moves the time on."""
     at = F.when(F.col("kind") == "ack", F.col("acked_at")).otherwise(F.col("issued_at"))
     changes = _acked(p).select("kind", "command_id", *[F.col(c).cast("timestamp") for c in ("issued_at", "acked_at")], at.cast("timestamp").alias("timestamp"))
-    feed = _Feed(p, changes, (datetime(1993, 9, 1), datetime(1995, 5, 1), datetime(1997, 1, 1)), "commands")
+    feed = _Feed(p, changes, (datetime(1996, 9, 1), datetime(1998, 5, 1), datetime(2000, 1, 1)), "commands")
     out = new_folder(p.spark, "overdue")
     feed.write(0, 1, 2, 3)
     beat = F.lit(AS_OF.isoformat()).cast("timestamp")

@@ -99,11 +99,11 @@ SELECT a.arrival, CAST(seq%8 AS INTEGER) AS part, ts_source, ts_ingest, event_id
        CASE WHEN seq%50=5 THEN 1.0E0 ELSE CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) END AS value,
        CASE WHEN seq%50=17 THEN '{}' ELSE replace(tags,' ','') END AS tags,
        CASE WHEN seq%50=18 THEN '' ELSE trace_id END AS trace_id,
-       CASE seq%50 WHEN 0 THEN 'assetId is missing' WHEN 1 THEN 'quality is invalid' WHEN 3 THEN 'seq must be non-negative'
+       CASE seq%50 WHEN 0 THEN 'assetId is missing' WHEN 1 THEN 'quality has a value outside its list' WHEN 3 THEN 'seq is below zero'
             WHEN 4 THEN 'payload is not valid JSON' WHEN 9 THEN 'tags is not an object'
-            WHEN 14 THEN 'payload is not an object' WHEN 15 THEN 'Invalid timestamp: not-a-time'
-            WHEN 16 THEN 'site_id is required' END AS envelope_error,
-       CASE seq%50 WHEN 2 THEN 'Telemetry value is not numeric: running' WHEN 8 THEN 'Unsupported telemetry value type' END AS value_error,
+            WHEN 14 THEN 'payload is not an object' WHEN 15 THEN 'no full date and time: not-a-time'
+            WHEN 16 THEN 'site_id may not be empty' END AS envelope_error,
+       CASE seq%50 WHEN 2 THEN 'value does not read as a number: running' WHEN 8 THEN 'value is neither number nor text nor flag' END AS value_error,
        CASE WHEN seq%50 IN (9,14) THEN 'malformed' WHEN seq%50 IN (0,1,2,3,4,8,15,16) THEN 'rejected' END AS reason
 FROM arrivals a""",
     "alarm_rows": """
@@ -150,9 +150,9 @@ SELECT 'request' AS kind, n, arrival, CASE WHEN n%40=4 THEN issued_at + INTERVAL
        CASE WHEN n%40 IN (2,8) THEN FALSE ELSE approved END AS approved,
        approval_reference, expires_at,
        CASE WHEN n%40 IN (2,8) OR NOT approved THEN 'pending-approval' ELSE 'approved' END AS status,
-       CASE WHEN n%40=0 THEN 'priority is invalid' WHEN n%40=1 THEN 'requestedBy is missing'
-            WHEN n%40=2 OR (n%40=8 AND approval_reference<>'') THEN 'approval_reference requires approval'
-            WHEN n%40=3 THEN 'Invalid timestamp: later' END AS error
+       CASE WHEN n%40=0 THEN 'priority has a value outside its list' WHEN n%40=1 THEN 'requestedBy is missing'
+            WHEN n%40=2 OR (n%40=8 AND approval_reference<>'') THEN 'approval_reference stands without an approval'
+            WHEN n%40=3 THEN 'no full date and time: later' END AS error
 FROM command_arrivals WHERE kind='request'""",
     "ack_rows": """
 SELECT 'ack' AS kind, n, arrival, CASE WHEN n%7=5 THEN issued_at + INTERVAL '1' SECOND ELSE issued_at END AS issued_at, command_id,
@@ -354,11 +354,11 @@ FROM request_rows)""",
        CAST(CASE WHEN e IS NOT NULL THEN -1 WHEN asset_key%20=3 THEN 0 WHEN asset_key%20=7 THEN 1 ELSE 2 END AS INTEGER) AS thresholds,
        CASE WHEN e IS NOT NULL THEN NULL WHEN asset_key%20=4 THEN 'shift=b;team=a' ELSE '' END AS ownership_tags,
        CASE WHEN e IS NOT NULL THEN 'rejected' END AS reason, e AS error
-FROM (SELECT *, CASE asset_key%20 WHEN 0 THEN 'signal_map is required' WHEN 1 THEN 'sampling_class is invalid' WHEN 2 THEN 'units is missing'
-             WHEN 5 THEN 'asset_id is required' END AS e FROM asset_registry)""",
+FROM (SELECT *, CASE asset_key%20 WHEN 0 THEN 'signal_map may not be empty' WHEN 1 THEN 'sampling_class has a value outside its list' WHEN 2 THEN 'units is missing'
+             WHEN 5 THEN 'asset_id may not be empty' END AS e FROM asset_registry)""",
     "contract_device_strict": """SELECT asset_key, CASE WHEN asset_key%20 IN (0,1,2,5,6,7,8) THEN 'rejected' END AS reason,
-       CASE asset_key%20 WHEN 0 THEN 'signal_map is required' WHEN 1 THEN 'sampling_class is invalid' WHEN 2 THEN 'units is missing'
-            WHEN 5 THEN 'asset_id is required' WHEN 6 THEN 'signalMap values must be of type string'
+       CASE asset_key%20 WHEN 0 THEN 'signal_map may not be empty' WHEN 1 THEN 'sampling_class has a value outside its list' WHEN 2 THEN 'units is missing'
+            WHEN 5 THEN 'asset_id may not be empty' WHEN 6 THEN 'signalMap values must be of type string'
             WHEN 7 THEN 'thresholds values must be of type number' WHEN 8 THEN 'unknown key: colour' END AS error
 FROM asset_registry""",
     "contract_model": """SELECT p_partkey, CASE WHEN e IS NULL THEN p_brand END AS model_id, CASE WHEN e IS NULL THEN concat('v',p_partkey) END AS version,
@@ -367,10 +367,10 @@ FROM asset_registry""",
        CASE WHEN e IS NULL THEN 'site-asia' END AS target_scope,
        CASE WHEN e IS NOT NULL THEN NULL WHEN p_partkey%20=2 THEN '' WHEN p_partkey%20=5 THEN '7' ELSE concat('v',p_partkey-1) END AS rollback_version,
        CASE WHEN e IS NOT NULL THEN 'rejected' END AS reason, e AS error
-FROM (SELECT *, CASE p_partkey%20 WHEN 0 THEN 'approval_state is invalid' WHEN 1 THEN 'version is required'
+FROM (SELECT *, CASE p_partkey%20 WHEN 0 THEN 'approval_state has a value outside its list' WHEN 1 THEN 'version may not be empty'
              WHEN 3 THEN 'inputSchema is missing' END AS e FROM part)""",
     "contract_model_strict": """SELECT p_partkey, CASE WHEN p_partkey%20 IN (0,1,3,5,6) THEN 'rejected' END AS reason,
-       CASE p_partkey%20 WHEN 0 THEN 'approval_state is invalid' WHEN 1 THEN 'version is required' WHEN 3 THEN 'inputSchema is missing'
+       CASE p_partkey%20 WHEN 0 THEN 'approval_state has a value outside its list' WHEN 1 THEN 'version may not be empty' WHEN 3 THEN 'inputSchema is missing'
             WHEN 5 THEN 'rollbackVersion must be of type string' WHEN 6 THEN 'unknown key: owner' END AS error
 FROM part""",
     "numeric_coercion": """SELECT event_id, CASE event_id%12 WHEN 1 THEN CAST(event_id AS DOUBLE) WHEN 2 THEN 1.0E0 WHEN 3 THEN 0.0E0
@@ -396,13 +396,13 @@ FROM device_topics WHERE turn IN (0,1,6)""",
     "topic_build": """SELECT asset_id, CASE WHEN asset_key%8<6 THEN concat('site/',site_id,'/area/',area_id,'/asset/',asset_id,'/',
             CASE asset_key%8 WHEN 0 THEN 'telemetry' WHEN 1 THEN 'event' WHEN 2 THEN 'alarm' WHEN 3 THEN 'state'
                  WHEN 4 THEN 'command/request' ELSE 'command/ack' END) END AS topic,
-       CASE asset_key%8 WHEN 6 THEN 'Unsupported channel: write' WHEN 7 THEN 'site_id must be non-empty and slash-free' END AS error
+       CASE asset_key%8 WHEN 6 THEN 'channel is not in use: write' WHEN 7 THEN 'site_id is empty or holds a slash' END AS error
 FROM asset_registry""",
     "topic_parse": f"""SELECT o_orderkey, CASE WHEN turn IN (0,1,6) THEN site_id END AS site_id, CASE WHEN turn IN (0,1,6) THEN area_id END AS area_id,
        CASE WHEN turn IN (0,1,6) THEN asset_id END AS asset_id,
        CASE turn WHEN 0 THEN 'telemetry' WHEN 1 THEN 'command/ack' WHEN 6 THEN 'command/request' END AS channel,
-       CASE turn WHEN 2 THEN 'Unsupported channel: write' WHEN 5 THEN 'Unsupported channel: command/request/now'
-            WHEN 3 THEN concat('Topic is malformed: ',{TOPIC}) WHEN 4 THEN concat('Topic is malformed: ',{TOPIC}) END AS error,
+       CASE turn WHEN 2 THEN 'channel is not in use: write' WHEN 5 THEN 'channel is not in use: command/request/now'
+            WHEN 3 THEN concat('text is no device topic: ',{TOPIC}) WHEN 4 THEN concat('text is no device topic: ',{TOPIC}) END AS error,
        CASE turn WHEN 0 THEN 'raw.telemetry' WHEN 1 THEN 'command.ack' WHEN 6 THEN 'command.request' END AS log_topic
 FROM device_topics""",
     "topic_filter": "SELECT o_orderkey, turn<>4 AS device, (turn=6 AND site_id='site-asia') AS requests FROM device_topics",
@@ -416,12 +416,12 @@ FROM telemetry WHERE reason IS NULL""",
     "route_model_scores": "SELECT ts_source, model_id, site_id, asset_id, signal_id, score, anomalous, payload FROM score_rows",
     "quarantine": """SELECT 'raw.telemetry' AS topic, part AS "partition", arrival AS "offset", reason, coalesce(envelope_error,value_error) AS error
 FROM telemetry WHERE reason IS NOT NULL
-UNION ALL SELECT 'raw.events', CAST(event_id%4 AS INTEGER), event_id, 'rejected', 'Invalid timestamp: soon' FROM events WHERE event_id%6=4
+UNION ALL SELECT 'raw.events', CAST(event_id%4 AS INTEGER), event_id, 'rejected', 'no full date and time: soon' FROM events WHERE event_id%6=4
 UNION ALL SELECT 'asset.state', CAST(event_id%4 AS INTEGER), event_id, 'rejected', 'assetId is missing' FROM events WHERE event_id%6=5
 UNION ALL SELECT 'command.request', 0, arrival, 'rejected', error FROM request_rows WHERE error IS NOT NULL
 UNION ALL SELECT 'command.ack', 0, arrival, 'rejected', error FROM ack_rows WHERE error IS NOT NULL
-UNION ALL SELECT 'analytics.inference', 0, vec_id, 'rejected', 'score is required for analytics.inference' FROM embeddings WHERE vec_id%6=4
-UNION ALL SELECT 'platform.audit', 0, o_orderkey, 'rejected', 'No processor configured for topic: platform.audit' FROM orders""",
+UNION ALL SELECT 'analytics.inference', 0, vec_id, 'rejected', 'message carries no score' FROM embeddings WHERE vec_id%6=4
+UNION ALL SELECT 'platform.audit', 0, o_orderkey, 'rejected', 'no table takes messages of topic platform.audit' FROM orders""",
     "live_feed": f"""SELECT topic, concat('{{"topic":"',topic,'","receivedAt":"',
        strftime(TIMESTAMP '2024-01-31 00:00:00' + to_seconds(o_orderkey%1000),'%Y-%m-%dT%H:%M:%S'),'.000Z","payload":',
        CASE WHEN o_orderkey%2=0 THEN concat('{{"n":',o_orderkey,'}}') ELSE concat('"say \\"',o_orderkey,'\\""') END,'}}') AS value
@@ -509,8 +509,8 @@ FROM (SELECT unnest(w) AS x, unnest(range(1,33)) AS k FROM {_WINDOWS}) GROUP BY
 QUERIES["stream_live_feed"] = QUERIES["live_feed"]
 QUERIES["forwarded"] = f"""SELECT o_orderkey, CASE WHEN error IS NULL THEN CASE turn WHEN 0 THEN 'raw.telemetry' WHEN 1 THEN 'command.ack'
        ELSE 'command.request' END END AS log_topic, CASE WHEN error IS NULL THEN message_key END AS message_key, error
-FROM (SELECT o_orderkey, turn, message_key, CASE WHEN turn IN (3,4) THEN concat('Topic is malformed: ',topic)
-             WHEN turn=2 THEN 'Unsupported channel: write' WHEN turn=5 THEN 'Unsupported channel: command/request/now'
+FROM (SELECT o_orderkey, turn, message_key, CASE WHEN turn IN (3,4) THEN concat('text is no device topic: ',topic)
+             WHEN turn=2 THEN 'channel is not in use: write' WHEN turn=5 THEN 'channel is not in use: command/request/now'
              WHEN o_orderkey%11=0 THEN 'payload is not valid JSON' ELSE key_error END AS error
       FROM (SELECT *, {TOPIC} AS topic FROM device_topics) LEFT JOIN ({QUERIES["message_keys"]}) USING (o_orderkey))"""
 

@@ -25,11 +25,11 @@ def test_build_then_parse(spark, rows):
     "topic,error",
     [
         ("site/s/area/a/asset/x/command/request", None),
-        ("site/s/area/a/asset/x/write", "Unsupported channel: write"),
-        ("site/s/area/a/asset/x", "Topic is malformed: site/s/area/a/asset/x"),
-        ("plant/s/area/a/asset/x/event", "Topic is malformed: plant/s/area/a/asset/x/event"),
-        ("", "Topic is malformed: "),
-        (None, "Topic is malformed: "),
+        ("site/s/area/a/asset/x/write", "channel is not in use: write"),
+        ("site/s/area/a/asset/x", "text is no device topic: site/s/area/a/asset/x"),
+        ("plant/s/area/a/asset/x/event", "text is no device topic: plant/s/area/a/asset/x/event"),
+        ("", "text is no device topic: "),
+        (None, "text is no device topic: "),
     ],
 )
 def test_parse_errors(spark, topic, error):
