@@ -43,7 +43,9 @@ WIDTH = REACH + LENGTH
 PIECE = 1 << 20
 MOST = 200_000
 BATCH = 1 << 15  # segments in one collection, more only for one anchor
-FLUSH = 1 << 15  # segments that are packed together
+FLUSH = 1 << 15  # segments that are packed together,
+FLUSH_BYTES = 6 << 20  # and their bytes
+STEP = 1 << 14  # single strings of frequent anchors that are cut out at a time
 BUCKET = 150_000  # segments, before copies shrink, that are sent to one task
 _FILTER_BITS = 27
 _LAST = np.iinfo(np.int64).max
@@ -138,6 +140,18 @@ def within(size: np.ndarray) -> np.ndarray:
     return at
 
 
+def running(data: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums, from the first byte on, of hashes of each byte and its place in its segment (``edge`` has where these begin)."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    for a in range(0, len(data), PIECE):
+        b = min(a + PIECE, len(data))
+        place = np.arange(a, b)
+        place -= edge[np.searchsorted(edge, place, "right") - 1]
+        np.cumsum(mixed(_VALUE[data[a:b]] + place.astype(np.uint64)), out=total[a + 1 : b + 1])
+        total[a + 1 : b + 1] += total[a]
+    return total
+
+
 _KINDS = (("at", np.uint64), ("left", np.uint8), ("size", np.uint8), ("doc", np.int64), ("tie", np.int64), ("pos", np.int64))
 
 
@@ -168,27 +182,44 @@ def segments(keyed: DataFrame, repeated, frequent, buckets: int) -> DataFrame:
             doc, tie = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             held = []
             for part in slices(batch.column(2)):
-                for h, pos, first, last in anchors(part.data, part.offsets):
-                    keep = repeated.value.has(h)
-                    h, pos, first, last = (x[keep] for x in (h, pos, first, last))
-                    many = frequent.value.has(h)
-                    if many.any():
-                        # Single strings, by their own hash.
-                        n = (last - first + 1)[many]
-                        start = np.repeat(first[many] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        up, down = powers(len(part.data) + 1)
-                        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[part.data] * up[: len(part.data)])])
-                        own = mixed((total[start + LENGTH] - total[start]) * down[start] + np.uint64(LENGTH))
-                        h, pos, first, last = (np.concatenate([x[~many], y]) for x, y in ((h, own), (pos, start), (first, start), (last, start)))
-                    row = np.searchsorted(part.offsets, pos, "right") - 1
-                    size = last - first + LENGTH
-                    held.append((h, pos - first, size, gathered(part.data, first, size), row + part.first, pos - part.offsets[row]))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield from sent(held, doc, tie)
-                    held = []
+                for piece in cut(part):
+                    held.append(piece)
+                    if sum(len(x[0]) for x in held) >= FLUSH or sum(len(x[3]) for x in held) >= FLUSH_BYTES:
+                        yield from sent(held, doc, tie)
+                        held = []
             if held:
                 yield from sent(held, doc, tie)
 
+    def cut(part):
+        """Segments of a slice of rows, a bounded number of bytes at a time."""
+        for h, pos, first, last in anchors(part.data, part.offsets):
+            keep = repeated.value.has(h)
+            h, pos, first, last = (x[keep] for x in (h, pos, first, last))
+            many = frequent.value.has(h)
+            if many.any():
+                yield from single(part, first[many], last[many])
+                h, pos, first, last = (x[~many] for x in (h, pos, first, last))
+            for a in range(0, len(h), STEP):
+                yield cut_out(part, *(x[a : a + STEP] for x in (h, pos, first, last)))
+
+    def single(part, first, last):
+        """Single strings, by their own hash."""
+        up, down = powers(len(part.data) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[part.data] * up[: len(part.data)])])
+        upto = np.cumsum(last - first + 1)
+        for a in range(0, int(upto[-1]), STEP):
+            # The a-th string and those after it: which range each is of, and its place there.
+            k = np.arange(a, min(a + STEP, int(upto[-1])))
+            of = np.searchsorted(upto, k, "right")
+            start = last[of] - (upto[of] - 1 - k)
+            own = mixed((total[start + LENGTH] - total[start]) * down[start] + np.uint64(LENGTH))
+            yield cut_out(part, own, start, start, start)
+
+    def cut_out(part, h, pos, first, last):
+        row = np.searchsorted(part.offsets, pos, "right") - 1
+        size = last - first + LENGTH
+        return h, pos - first, size, gathered(part.data, first, size), row + part.first, pos - part.offsets[row]
+
     def sent(held, doc, tie):
         at, left, size, data, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         if not len(at):
@@ -199,7 +230,7 @@ def segments(keyed: DataFrame, repeated, frequent, buckets: int) -> DataFrame:
         data = gathered(data, edge, size)
         edge = np.cumsum(size) - size
         # Copies of a segment: same anchor, same place of it, same bytes. The first in order stands for them.
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(_VALUE[data] + within(size).astype(np.uint64)))])
+        total = running(data, edge)
         name = mixed(total[edge + size] - total[edge]) ^ mixed(at + left.astype(np.uint64) * np.uint64(512) + size.astype(np.uint64))
         _, first, which = np.unique(name, return_index=True, return_inverse=True)
         chief = first[which]
