@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching over bytes.
 
 Training counts, per language, how often each byte follows each context of up to ``ORDER`` bytes; the counts come from
-at most ``per_language`` labelled rows of each language, those with the smallest hash of their id, read in full. The
+at most ``per_language`` labelled rows of each language, those with the smallest hash of id and text, read in full. The
 context trees are then frozen. The code length of a byte is that of PPM with escape method C, without exclusions: in
 the longest context seen, a follower seen c times of n with d distinct followers costs log2((n+d)/c) bits; another
 byte costs the escape log2((n+d)/d) and is coded in the next shorter context, at last as one of 256. As the
@@ -10,14 +10,13 @@ a text is a sum of table entries over its bytes.
 
 The language with the shortest code wins; ties go to the smaller name. Its score is its share of the probability,
 2**-bits over the sum for all languages. Null text, or text without a letter, is ``und`` with score 0; so is every
-text when there is nothing to learn from. Rows with null text or language are not learned from. Rows repeated with one
-id get equal results. An empty table gives an empty result. Columns other than id, text and language are not read, and
+text when there is nothing to learn from. Rows with null text or language are not learned from; null ids are, and
+rows that repeat id and text are learned once. Rows repeated with one id get equal results. An empty table gives an empty result. Columns other than id, text and language are not read, and
 id and language never enter a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -26,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .scratch import saved
 from .text import slices
 
 ORDER = 4
 PER_LANGUAGE = 400
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _EMPTY = np.uint64(2**64 - 1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,27 +124,36 @@ def counts(sample: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded_sample(docs: DataFrame, id_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, by the smallest hash of the id; heaps shrink before the shuffle."""
+def bounded_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """language and key of at most ``per_language`` different rows of each language, by the smallest hash of id and text."""
     from pyspark.sql.window import Window
 
-    key = F.xxhash64(F.lit(11), F.col(id_col))
-    salted = Window.partitionBy(lang_col, (F.abs(key) % 64)).orderBy(key, id_col)
-    few = docs.withColumn("_place", F.row_number().over(salted)).filter(F.col("_place") <= per_language)
-    final = Window.partitionBy(lang_col).orderBy(key, id_col)
-    return few.withColumn("_place", F.row_number().over(final)).filter(F.col("_place") <= per_language).drop("_place")
+    keys = docs.select(F.col(lang_col).alias("lang"), sample_key(id_col, text_col).alias("key")).distinct()
+    salted = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key")
+    few = keys.withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= per_language)
+    final = Window.partitionBy("lang").orderBy("key")
+    return few.withColumn("place", F.row_number().over(final)).filter(F.col("place") <= per_language).drop("place")
+
+
+def sample_key(id_col: str, text_col: str) -> Column:
+    """Hash of id and text, whatever is null: rows that share an id are told apart, repeated rows count once."""
+    return F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """The frozen model. What reaches the driver are the counts of the bounded sample."""
-    usable = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    chosen = bounded_sample(usable.select(id_col, lang_col), id_col, lang_col, per_language).select(id_col).distinct()
-    sample = usable.join(chosen, id_col, "left_semi").select(text_col, lang_col)
-    table = counts(sample, text_col, lang_col).toArrow()
-    langs = table.column("lang").to_numpy(zero_copy_only=False)
+    usable = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
+    # The keys are few and stored; texts move only once they are chosen.
+    chosen = saved(bounded_sample(usable, id_col, text_col, lang_col, per_language), "sample")
+    named = usable.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), sample_key(id_col, text_col).alias("key"))
+    sample = named.join(chosen, ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
+    table = counts(sample, "text", "lang").toArrow()
     length, gram, n = (table.column(c).to_numpy() for c in ("length", "gram", "n"))
-    languages = sorted(set(langs))
-    lang = np.searchsorted(languages, langs.astype(str)) if languages else np.zeros(0, int)
+    # By number: a name for every count would be millions of small objects on the driver.
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    languages = sorted(names)
+    lang = np.array([languages.index(x) for x in names], int)[coded.indices.to_numpy()]
     return build(languages, lang, length, gram.astype(np.uint64), n)
 
 
@@ -224,7 +232,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             names, scores, rates = [], [], []
             for part in slices(texts, 1 << 20):
                 n = part.last - part.first
-                letters = [bool(t) and _LETTER.search(t) is not None for t in texts.slice(part.first, n).to_pylist()]
+                letters = [any(map(str.isalpha, t or "")) for t in texts.slice(part.first, n).to_pylist()]
                 if not model.languages:
                     letters = [False] * n
                 bits = code_lengths(model, part.data, part.offsets) if any(letters) else np.zeros((n, 1))
@@ -240,3 +248,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             )
 
     return docs.select(*[f.name for f in kept]).mapInArrow(work, schema)
+
+
+def recognised(scored: DataFrame, text_col: str = "text", lang_col: str = "lang", margin: float = 1.5, least: int = 100) -> Column:
+    """Whether a row of ``predict`` is text of a learned language: it has letters, and its code is not far longer than usual.
+
+    Usual is the 99th percentile of the bits a byte, of all rows whose language was predicted as labelled, among texts of about
+    the same size (powers of two); beyond ``margin`` times that a text is rejected. Sizes with fewer than ``least`` such rows
+    have no bound. The bounds, one a size, are worked out here; ``scored`` should be stored.
+    """
+    size = F.floor(F.log2(F.octet_length(text_col) + 1)).cast("int")
+    agreed = scored.filter(F.col("lang_pred") == F.col(lang_col))
+    usual = agreed.groupBy(size.alias("size")).agg(F.percentile_approx("bits_per_byte", 0.99).alias("usual"), F.count("*").alias("n"))
+    bounds = [x for r in usual.collect() if r.n >= least for x in (F.lit(r["size"]), F.lit(r.usual * margin))]
+    known = F.col("lang_pred") != UNKNOWN
+    if not bounds:
+        return known
+    return known & F.coalesce(F.col("bits_per_byte") <= F.create_map(*bounds)[size], F.lit(True))
