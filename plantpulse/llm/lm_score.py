@@ -24,7 +24,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import folder, saved
@@ -113,7 +113,8 @@ def from_six_bytes(raw: bytes) -> np.ndarray:
 
 
 def packed_pairs(texts: DataFrame, plan: Plan) -> DataFrame:
-    """Per batch and shard: distinct first words, how many pairs each has, the second words, and the counts."""
+    """Per batch and shard: distinct first words, how many pairs each has, the second words, and the counts; and an empty
+    row for every shard, so that each gets its file."""
 
     def work(batches):
         for batch in batches:
@@ -145,7 +146,9 @@ def packed_pairs(texts: DataFrame, plan: Plan) -> DataFrame:
         kinds = [pa.int64()] + [pa.binary()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(work, "shard bigint, u binary, length binary, v binary, n binary")
+    none = F.lit(b"").cast("binary")
+    every = texts.sparkSession.range(1 << plan.bits).select(F.col("id").alias("shard"), *[none.alias(c) for c in ("u", "length", "v", "n")])
+    return texts.mapInArrow(work, "shard bigint, u binary, length binary, v binary, n binary").unionAll(every)
 
 
 def merged_shards(packed: DataFrame, where: str, parts: int) -> DataFrame:
@@ -169,6 +172,9 @@ def merged_shards(packed: DataFrame, where: str, parts: int) -> DataFrame:
 
     def one(shard, held):
         u, v, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(u):
+            write_shard(f"{where}/pairs-{shard}", np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return
         key = pair_key(u, v)
         order = np.argsort(key)
         key = key[order]
@@ -190,6 +196,12 @@ def merged_shards(packed: DataFrame, where: str, parts: int) -> DataFrame:
 # --- files ----------------------------------------------------------------------------
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark itself would resolve it by, so that every worker means the same store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     return parts.path if parts.scheme in ("", "file") else None
@@ -216,20 +228,17 @@ def store(uri: str, arrays: list[np.ndarray]) -> None:
     os.replace(part, path)
 
 
-def load(uri: str, kinds: list[str]) -> list[np.ndarray] | None:
-    """The arrays of a file, memory-mapped where the store has paths; None if there is no such file."""
+def load(uri: str, kinds: list[str]) -> list[np.ndarray]:
+    """The arrays of a file, memory-mapped where the store has paths. Every shard has a file: one that is missing is an error."""
     path = _local(uri)
-    try:
-        if path is not None:
-            data = np.memmap(path, np.uint8, "r")
-        else:
-            from pyarrow import fs
-
-            system, path = fs.FileSystem.from_uri(uri)
-            with system.open_input_file(path) as source:
-                data = np.frombuffer(source.read(), np.uint8)
-    except FileNotFoundError:
-        return None
+    if path is not None:
+        data = np.memmap(path, np.uint8, "r")
+    else:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as source:
+            data = np.frombuffer(source.read(), np.uint8)
     head = 8 * len(kinds)
     ends = head + np.cumsum(data[:head].view(np.int64))
     return [data[e - n : e].view(k) for e, n, k in zip(ends, np.diff(ends, prepend=head), kinds, strict=True)]
@@ -246,11 +255,8 @@ def write_shard(uri: str, key: np.ndarray, n: np.ndarray) -> None:
 
 def pair_counts(uri: str, key: np.ndarray) -> np.ndarray:
     """Counts of pairs in one shard; 0 where the pair was not seen."""
-    found = load(uri, ["<u4", "<u4", "u1", "<i8"])
+    index, rest, code, values = load(uri, ["<u4", "<u4", "u1", "<i8"])
     out = np.zeros(len(key), np.int64)
-    if found is None:
-        return out
-    index, rest, code, values = found
     if not len(rest):
         return out
     code = code.view(np.uint16 if len(code) == 2 * len(rest) else np.uint32)
@@ -298,7 +304,7 @@ class Model(NamedTuple):
         n, back, low = np.zeros(len(h), np.int64), np.ones(len(h)), np.full(len(h), self.unknown)
         for shard, a, b in shard_runs((h >> np.uint64(64 - self.plan.bits)).astype(np.int64) if self.plan.bits else np.zeros(len(h), np.int64)):
             found = load(f"{self.where}/words-{shard}", ["<u8", "<i8", "<f8", "<f8"])
-            if found is None or not len(found[0]):
+            if not len(found[0]):
                 continue
             at = np.minimum(np.searchsorted(found[0], h[a:b]), len(found[0]) - 1)
             hit = found[0][at] == h[a:b]
@@ -317,7 +323,7 @@ def shard_runs(shard: np.ndarray):
 def fit(texts: DataFrame) -> Model:
     """Counts the training texts (one text column) and writes the model below the shared folder."""
     spark = texts.sparkSession
-    where = folder(spark, "kneser-ney")
+    where = qualified(spark, folder(spark, "kneser-ney"))
     counted = saved(word_counts(texts), "word-counts")
     total, vocabulary = counted.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
@@ -358,11 +364,14 @@ def fit(texts: DataFrame) -> Model:
 
     def write(shard, held):
         word, n, back, low = (np.concatenate(x) for x in zip(*held, strict=True))
-        word = word.view(np.uint64)
+        real = n > 0
+        word, n, back, low = word[real].astype(np.int64).view(np.uint64), n[real].astype(np.int64), back[real], low[real]
         order = np.argsort(word)
         store(f"{where}/words-{shard}", [word[order], n[order], back[order], low[order]])
         return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(word)])], names=["shard", "n"])
 
+    every = spark.range(1 << bits).select(F.col("id").alias("shard"), *[F.lit(0).cast(t) for t in ("bigint", "bigint", "double", "double")])
+    full = full.unionAll(every)
     done = full.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(work, "shard bigint, n bigint")
     done.agg(F.sum("n")).collect()
     return Model(where, plan, total, vocabulary, d2, rest)
