@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.ordering import numbered
 from . import (
     decontaminate, exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, pii, quality, spelling, substring_dedup, token_counts, url_filter,
 )
+from .scratch import saved
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,8 +49,8 @@ def list_changes(spark: SparkSession, folder: str) -> DataFrame:
     list a host with a first path segment, clicks take that off."""
     pages, events = _table(spark, folder, "pages"), _table(spark, folder, "events")
     names = pages.select(url_filter.host(F.col("url")).alias("host")).filter("host <> ''").distinct()
-    names = names.withColumn("place", F.row_number().over(Window.orderBy("host")) - 1)
-    number = names.agg(F.count("*")).first()[0]
+    names = saved(numbered(names, [], ["host"], "place"), "hosts")
+    number = names.count()
     kinds = {"error": ("", True), "purchase": ("", False), "view": ("/en", True), "click": ("/en", False)}
     suffix = F.create_map(*[F.lit(x) for kind, (path, _) in kinds.items() for x in (kind, path)])
     listed = F.create_map(*[F.lit(x) for kind, (_, on) in kinds.items() for x in (kind, on)])
