@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -67,6 +68,21 @@ def test_lm_shards_and_frequent_words(docs, rows, monkeypatch):
     assert got == sorted((r[1], round(r[5], 6)) for r in brute.lm_scores(rows))
 
 
+def test_lm_shard_that_is_missing_is_an_error(docs, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 5_000)
+    model = lm_score.fit(docs.filter(~held(7)).select("text"))
+    where = urlparse(model.where)
+    assert where.scheme == "file"
+    names = sorted(n for n in os.listdir(where.path) if not n.startswith("."))
+    assert names == sorted(f"{kind}-{k}" for kind in ("pairs", "words") for k in range(1 << model.plan.bits))
+    os.remove(f"{where.path}/pairs-3")
+    with pytest.raises(Exception, match="pairs-3"):
+        lm_score.scored(docs, model).collect()
+
+
 def test_token_counts(docs, rows):
     vocabulary = token_counts.Vocabulary.load()
     known = {}
@@ -184,6 +200,42 @@ def test_context_finds_identifiers_of_another_format(spark):
     assert got[10] == "context:16:28" and got[11] == "" and got[0] == "email:16:38"
 
 
+def test_context_precision_and_recall(spark):
+    """Planted identifiers of two formats beside two labels, found over rounds; numbers beside plain words are left alone."""
+    secret = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    texts, planted = [], {"digest": 0, "ticket": 0, "badge": 0}
+    for k in range(60):
+        parts = [f"words of text {k} stand on page {1_000_000 + k * 7919} of the 2{k:05d} here,"]
+        if k < 20:
+            parts.append(f'with api key: "{secret(k)}" at the end')
+            planted["digest"] += 1
+        elif k < 30:
+            # A format that is not known, beside the label of known ones; and again beside another label.
+            parts.append(f"with api key: zx-{k}-9{k}1-qq! and issued to zx-{k}-9{k}1-qq then")
+            planted["ticket"] += 2
+        elif k < 32:
+            parts.append(f"issued to Q/77{k}/X{k} then")
+            planted["badge"] += 1
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    kinds = {"digest": r"[0-9a-f]{40}", "ticket": r"zx-\d+-\d+-qq", "badge": r"Q/\d+/X\d+"}
+    found = Counter()
+    for r in pii.personal_data(docs).select("doc_id", "spans").collect():
+        for span in r.spans:
+            body = texts[r.doc_id][span.start : span.end]
+            found[next((kind for kind, form in kinds.items() if re.fullmatch(form, body)), body)] += 1
+    assert dict(found) == planted
+
+
+def test_context_of_the_documents_is_found_by_the_method(spark):
+    """Secrets beside a label in the given documents: all of them, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    want = {(k, m.start(1), m.end(1)) for k, t in text.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    got = {(r.doc_id, s.start, s.end) for r in pii.personal_data(docs).select("doc_id", "spans").collect() for s in r.spans if s.kind == "context"}
+    assert len(want) > 5 and got == want
+
+
 def test_language(docs, rows):
     model = language_id.fit(docs, ~held(4))
     got = language_id.predict(docs.select("doc_id", "text", F.col("lang").alias("true_lang")), model).collect()
@@ -196,6 +248,19 @@ def test_language(docs, rows):
     assert len(judged) > 20 and sum(r.true_lang == r.lang_pred for r in judged) / len(judged) >= 0.95
 
 
+def test_language_of_numbers_null_ids_and_shared_ids(spark):
+    german = "Der Fluss und die alte Stadt liegen im Tal, und viele Boote fahren dort. "
+    english = "The river and the old town lie in the valley, and many boats sail there. "
+    rows = [(None, german * (1 + k % 3) + str(k), "de") for k in range(30)] + [(7, english + str(k), "en") for k in range(30)] + [(8, english, "en")] * 50
+    docs = spark.createDataFrame(rows + [(9, "²³ ½", None), (10, "١٢", None), (11, "Die Boote und der Fluss", None)], "doc_id int, text string, lang string")
+    model = language_id.fit(docs, F.lit(True), per_language=5)
+    assert model.languages == ["de", "en"]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs.filter("lang is null"), model).collect()}
+    assert got == {9: "und", 10: "und", 11: "de"}
+    chosen = language_id.bounded_sample(docs.filter("lang is not null"), "doc_id", "text", "lang", 5)
+    assert {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()} == {"de": 5, "en": 5}
+
+
 def test_code_lengths_follow_the_definition():
     import numpy as np
 
@@ -260,6 +325,46 @@ def test_repeated_passages(spark, docs, rows, most):
     assert all(r.n_bytes - r.n_removed == len(r.kept) and r.kept_sha256 == hashlib.sha256(r.kept).hexdigest() for r in got)
 
 
+@pytest.mark.parametrize("most", [substring_dedup.MOST, 3])
+def test_a_frequent_line_is_cut_out_in_steps(spark, most, monkeypatch):
+    line = "the same line of one hundred and some more bytes stands in every document of this table, over and over again\n"
+    texts = [f"{k} own words {k * 7919} " + line * (1 + k % 3) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(substring_dedup, "STEP", 64)
+    monkeypatch.setattr(substring_dedup, "FLUSH_BYTES", 5_000)
+    got = {r.doc_id: (bytes(r.kept), r.n_spans) for r in substring_dedup.without_repeats(docs, most=most).collect()}
+    assert got == dict(enumerate(brute.without_repeats(texts)))
+
+
+def test_segments_of_a_frequent_line_stay_small(monkeypatch):
+    """Single strings of two megabytes of one line: what is held before it is sent is bounded by bytes."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class All:
+        value = type("Every", (), {"has": staticmethod(lambda h: np.ones(len(h), bool))})()
+
+    taken = {}
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, work, schema):
+            taken["work"] = work
+
+    substring_dedup.segments(Rows(), All(), All(), 16)
+    line = "the same line of one hundred and some more bytes stands in every document of this table, over and over again\n"
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([line * 9_000] * 2)], names=["doc", "tie", "text"])
+    tracemalloc.start()
+    sent = sum(1 for _ in taken["work"](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent > 10 and peak < 400 << 20
+
+
 def test_empty_tables(spark, docs, empty):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id int, text string")
     results = [

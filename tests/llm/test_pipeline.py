@@ -25,7 +25,7 @@ def test_query_and_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{k}" for k in range(1, 11)] and "pipeline" in entry.queries()
+    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{k}" for k in range(1, 14)] and "pipeline" in entry.queries()
 
 
 def test_native_operators_run_no_python(spark):
@@ -34,6 +34,27 @@ def test_native_operators_run_no_python(spark):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_language_stage_rejects_by_code_length(spark):
+    import random
+
+    rng = random.Random(2)
+    prose = ["der", "fluss", "und", "die", "alte", "stadt", "liegen", "im", "tal", "viele", "boote", "fahren", "dort"]
+    rows = [(k, " ".join(rng.choices(prose, k=40)), "de") for k in range(300)]
+    junk = [(1000 + k, "".join(rng.choices("qxzjvwyk#~|0123456789", k=200)), None) for k in range(5)]
+    clean = [(2000 + k, " ".join(rng.choices(prose, k=40)), None) for k in range(20)] + [(3000, "tal", None)]
+    docs = spark.createDataFrame(rows + junk + clean, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows + clean}
+
+
+def test_exact_stage_keeps_columns_of_any_name(spark):
+    names = ["_key", "_place", "key", "place", "doc"]
+    rows = [(1, "A b", *"pqrst"), (2, "a b", *"uvwxy"), (2, "a b", *"uvwxy")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    got = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [rows[1]]
+
+
 def test_stages(spark, docs, rows, tmp_path):
     benchmark = spark.createDataFrame(items(), "item_id bigint, text string")
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
