@@ -2,7 +2,8 @@
 
 Each stage works on all rows its predecessor kept. A document id stands for its rows: near copies and contaminated
 documents go by id, so rows that share an id stand or fall together (exact copies are told apart by their text too).
-Rows with null ids are kept or dropped like any other. Empty tables pass through.
+Rows with null ids are kept or dropped like any other. Empty tables pass through. Extra columns pass through all stages
+but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,22 +24,23 @@ def _by_id(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a recognised language; rejected are those without text or letters."""
+    """Keeps documents of a recognised language. Rejected are those without text or letters, and those whose code length in
+    every learned language is far above what labelled documents of their size take."""
     model = language_id.fit(docs, F.lit(True))
-    scored = language_id.predict(docs.select(F.struct("*").alias("doc"), "text"), model)
-    return scored.filter(F.col("lang_pred") != language_id.UNKNOWN).select("doc.*")
+    scored = saved(language_id.predict(docs.select(F.struct("*").alias("doc"), "text", "lang"), model), "recognised")
+    return scored.filter(language_id.recognised(scored)).select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    kept = exact_dedup.copies(docs).filter("kept").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("_key"))
+    kept = exact_dedup.copies(docs).filter("kept").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("key"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower).cast("binary"), 256)
-    marked = docs.withColumn("_key", F.struct("doc_id", sha.alias("sha")))
+    # The row travels as one column, whatever its columns are called.
+    marked = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", sha.alias("sha")).alias("key"))
     # A struct is never null, and equal where its fields are, nulls too: join and window share one exchange of the texts.
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    left = marked.join(kept, "_key", "left_semi").withColumn("_place", place).filter("_place = 1")
-    return left.select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return marked.join(kept, "key", "left_semi").withColumn("place", place).filter("place = 1").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
