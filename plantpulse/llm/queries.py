@@ -148,7 +148,42 @@ def _leaf(n_chars: str = "n_chars") -> str:
     return f"sha256({' || '.join(_field(n_chars if c == 'n_chars' else c) for c in merkle.FIELDS)})"
 
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""
+        WITH docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+        items AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_TERMS} AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g
+            FROM items),
+        placed AS (
+            SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: {{'k': k, 'g': array_to_string(w[k:k + n - 1], ' ')}})) AS x
+            FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+        hits AS (SELECT doc_id, x.k AS k, p.n, item_id FROM placed p JOIN windows g ON p.n = g.n AND p.x.g = g.g),
+        covered AS (
+            SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hits) GROUP BY doc_id),
+        named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id""",
+    "op5_near_dedup": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s
+            FROM docs),
+        elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+        roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id,
+               least(doc_id, coalesce(root, doc_id)) = doc_id AS kept
+        FROM sets LEFT JOIN roots ON doc_id = node""",
     "op11_merkle_manifest": f"""
         WITH RECURSIVE leaves AS (
             SELECT doc_id, lang, {_leaf()} AS leaf,

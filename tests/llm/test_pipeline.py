@@ -17,7 +17,7 @@ sys.path.append(str(Path(__file__).parent.parent))
 from compare import differences, oracle_frame  # noqa: E402
 
 
-@pytest.mark.parametrize("name", ["op4_url_filter", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op4_url_filter", "op5_near_dedup", "op9_exact_dedup"])
 def test_query_and_sql(spark, name):
     got = entry.queries()[name](spark, SMALL).toPandas()
     assert differences(got, oracle_frame(entry.oracle_sql()[name], SMALL)) is None
