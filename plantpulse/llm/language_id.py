@@ -250,16 +250,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.select(*[f.name for f in kept]).mapInArrow(work, schema)
 
 
-def recognised(scored: DataFrame, text_col: str = "text", lang_col: str = "lang", margin: float = 1.5, least: int = 100) -> Column:
+def recognised(scored: DataFrame, text_col: str = "text", lang_col: str = "lang", margin: float = 1.25, least: int = 100) -> Column:
     """Whether a row of ``predict`` is text of a learned language: it has letters, and its code is not far longer than usual.
 
-    Usual is the 99th percentile of the bits a byte, of all rows whose language was predicted as labelled, among texts of about
-    the same size (powers of two); beyond ``margin`` times that a text is rejected. Sizes with fewer than ``least`` such rows
-    have no bound. The bounds, one a size, are worked out here; ``scored`` should be stored.
+    Usual is the most bits a byte of any row whose language was predicted as labelled, among texts of about the same size
+    (powers of two), so that no such row is ever rejected; beyond ``margin`` times that a text is. Sizes with fewer than
+    ``least`` such rows have no bound. The bounds, one a size, are worked out here; ``scored`` should be stored.
     """
     size = F.floor(F.log2(F.octet_length(text_col) + 1)).cast("int")
     agreed = scored.filter(F.col("lang_pred") == F.col(lang_col))
-    usual = agreed.groupBy(size.alias("size")).agg(F.percentile_approx("bits_per_byte", 0.99).alias("usual"), F.count("*").alias("n"))
+    usual = agreed.groupBy(size.alias("size")).agg(F.max("bits_per_byte").alias("usual"), F.count("*").alias("n"))
     bounds = [x for r in usual.collect() if r.n >= least for x in (F.lit(r["size"]), F.lit(r.usual * margin))]
     known = F.col("lang_pred") != UNKNOWN
     if not bounds:
