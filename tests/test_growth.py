@@ -47,3 +47,25 @@ def test_messages_are_built_from_dealt_rows_and_not_sorted(spark, tmp_path):
     assert len({r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}) > 1
     dealt = views.Plant(spark, str(tmp_path)).dealt(events, "event_id")
     assert "hashpartitioning" in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_filter_on_a_parsed_field_does_not_parse_again(spark):
+    parsed = features.parsed_telemetry(log(spark), "event_id", "ts_source").filter("event_id IS NOT NULL AND ts_source IS NOT NULL")
+    assert not [line for line in plan(parsed).splitlines() if "Filter" in line and "variant" in line.lower()]
+    assert parsed.columns == ["event_id", "ts_source"] and parsed.count() == 3
+
+
+def test_large_batches_of_a_feed_are_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "new_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    days = F.timestamp_seconds(F.lit(datetime(2024, 1, 1).timestamp()).cast("bigint") + F.col("id") % 30 * 86400)
+    rows = spark.range(0, 30000, 1, 4).select("id", days.alias("timestamp"))
+    edges, p = catalog.MONTH, views.Plant(spark, "nowhere")
+    monkeypatch.setattr(catalog, "ROWS_A_FILE", 2000, raising=False)
+    feed = catalog._Feed(p, rows, edges, "many")
+    assert feed.files == 4  # as many as a shuffle has parts, here
+    feed.write(0, 1, 2, 3)
+    found = spark.read.parquet(f"{tmp_path}/many").groupBy(F.input_file_name().alias("f")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("z"), F.count("*").alias("n")).collect()
+    assert len(found) == 16 and sum(r.n for r in found) == 30000
+    # No file holds rows of two batches; a feed with an empty batch stays with two files each.
+    assert all(sum(r.a >= e for e in edges) == sum(r.z >= e for e in edges) for r in found)
+    assert catalog._Feed(p, rows.filter(F.col("timestamp") >= F.lit(edges[0])), edges, "few").files == 2
