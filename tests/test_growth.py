@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from plantpulse.plans import catalog, views
+from plantpulse.session import configure
 from plantpulse.streaming import features
 
 LINE = '{"eventId":"e%d","siteId":"s","assetId":"a","signalId":"v","quality":"good","ts_source":"2024-01-01T00:00:00Z",' \
@@ -69,3 +70,15 @@ def test_large_batches_of_a_feed_are_many_files(spark, tmp_path, monkeypatch):
     # No file holds rows of two batches; a feed with an empty batch stays with two files each.
     assert all(sum(r.a >= e for e in edges) == sum(r.z >= e for e in edges) for r in found)
     assert catalog._Feed(p, rows.filter(F.col("timestamp") >= F.lit(edges[0])), edges, "few").files == 2
+
+
+def test_methods_too_large_for_the_compiler_are_cut(spark):
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    assert configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_a_batch_of_some_ten_thousands_is_read_by_more_than_two_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "new_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    days = F.timestamp_seconds(F.lit(datetime(2024, 1, 1).timestamp()).cast("bigint") + F.col("id") % 30 * 86400)
+    rows = spark.range(0, 480000, 1, 4).select("id", days.alias("timestamp"))
+    assert catalog._Feed(views.Plant(spark, "nowhere"), rows, catalog.MONTH, "some").files == 4  # the parts of a shuffle, here
