@@ -8,7 +8,8 @@
    to its right, lower-cased and with all digits alike; other candidates count as tokens too.
 3. Rounds over the graph of patterns and instances: a pattern gets as confidence the summed scores of the instances it occurs
    with, divided by all its occurrences in all texts, beside plain words too, if ``SUPPORT`` trusted instances stand beside it;
-   so words that stand anywhere never count. An instance gets the noisy-or of its trusted patterns, or the mean score of the
+   so words that stand anywhere never count. These are left out once a share of the texts holds them too often for any
+   confidence; the rest are counted in all texts. An instance gets the noisy-or of its trusted patterns, or the mean score of the
    instances of its shape (punctuation and length) where enough of them are known, so that identifiers seen in one context
    lead to others; seeds keep 1.
 4. Candidates beside a trusted pattern that look like identifiers are added as ``context`` spans, without the punctuation
@@ -47,6 +48,7 @@ CREDENTIALS = (r"(?i)(?<![0-9a-z])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})(?![
 ROUNDS = 3
 CONFIDENCE = 0.6
 SUPPORT = 3
+SHARES = (256, 16)  # one text in so many is searched first for the patterns' words
 TRUSTED = 0.5
 LEAST_DIGITS, LEAST_CHARACTERS = 3, 6
 
@@ -194,7 +196,24 @@ def totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         return F.zip_with(F.slice(t, 1, short), F.slice(t, 2, short), lambda x, y: F.concat(x, F.lit(" "), y))
 
     pieces = texts.select(let(tokens, pairs).alias("runs"))
-    return pieces.select(F.explode("runs").alias("words")).join(wanted, "words", "left_semi").groupBy("words").agg(F.count("*").alias("total"))
+    # Not explode: the filter Spark adds below it would work out the pairs of every text twice, before any other filter.
+    return pieces.select(F.explode_outer("runs").alias("words")).join(wanted, "words", "left_semi").groupBy("words").agg(F.count("*").alias("total"))
+
+
+def counted_words(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``totals`` in all ``texts`` (doc_id, text) for the words of ``patterns`` (pattern, beside) that can be trusted.
+
+    The scores beside a pattern sum to ``beside`` at most. Where a share of the texts alone holds its words more often than
+    that allows, it is never trusted and not counted any further. So what is left to count in the next share, or in all
+    texts, is a multiple of ``beside`` and does not grow with the number of frequent words.
+    """
+    for share in SHARES:
+        part = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+        known = totals(part, patterns).withColumnRenamed("words", "found")
+        left = patterns.join(known, F.col("pattern.words") == F.col("found"), "left")
+        left = left.filter(F.coalesce(F.col("beside") / F.col("total") >= CONFIDENCE, F.lit(True)))
+        patterns = saved(left.select("pattern", "beside"), "patterns-left")
+    return totals(texts, patterns)
 
 
 def bootstrapped(edges: DataFrame, instances: DataFrame, total: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -228,12 +247,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     beside = occurrences(found)
     edges = beside.groupBy("pattern", "instance").agg(F.count("*").alias("n"))
     # A pattern with fewer instances can never be trusted.
-    enough = edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= SUPPORT).select("pattern")
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("beside"))
+    enough = enough.filter(F.col("instances") >= SUPPORT).select("pattern", "beside")
     enough = saved(enough, "patterns")
     edges = saved(edges.join(enough, "pattern", "left_semi"), "edges")
     each = found.select(F.explode("candidates").alias("c")).select("c.*")
     instances = saved(each.groupBy("instance").agg(F.count("*").alias("n"), F.max(F.col("based") | F.col("seed")).alias("seed")), "instances")
-    total = saved(totals(docs.select(text.alias("text")), enough), "totals")
+    total = saved(counted_words(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), enough), "totals")
     trusted = bootstrapped(edges, instances, total, rounds)
     digits = F.char_length(F.regexp_replace("instance", "[^0-9]++", ""))
     looks = F.contains("instance", F.lit("@")) | ((digits >= LEAST_DIGITS) & (F.char_length("instance") >= LEAST_CHARACTERS))

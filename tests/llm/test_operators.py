@@ -236,6 +236,25 @@ def test_context_of_the_documents_is_found_by_the_method(spark):
     assert len(want) > 5 and got == want
 
 
+def test_words_that_stand_anywhere_are_not_counted_in_all_texts(spark, monkeypatch):
+    """Of the patterns only those that can be trusted are looked up in every text; results stay as they are."""
+    kept, saved = {}, pii.saved
+
+    def keep(df, purpose):
+        kept[purpose] = saved(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(pii, "saved", keep)
+    plain = [(k, f"text {chr(97 + k % 26) * 5} goes out and of the " + "sea and of the land " * 10) for k in range(3000)]
+    named = [(10_000 + k, f"we heard of the user{k}@mail.example.com and contact me: user{k}@mail.example.com soon") for k in range(6)]
+    docs = spark.createDataFrame([*plain, *named, (20_000, "then contact me: agent-7731-X then")], "doc_id int, text string")
+    found = pii.personal_data(docs).select("doc_id", pii.joined("spans").alias("s")).filter("doc_id >= 10000").collect()
+    found = {r.doc_id: r.s for r in found}
+    assert found[20_000] == "context:17:29" and found[10_000].count("email") == 2
+    totals = {r["words"]: r.total for r in kept["totals"].collect()}
+    assert totals["contact me:"] == 7 and "of the" not in totals
+
+
 def test_language(docs, rows):
     model = language_id.fit(docs, ~held(4))
     got = language_id.predict(docs.select("doc_id", "text", F.col("lang").alias("true_lang")), model).collect()
