@@ -27,8 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps documents of a recognised language. Rejected are those without text or letters, and those whose code length in
     every learned language is far above what labelled documents of their size take."""
     model = language_id.fit(docs, F.lit(True))
-    scored = saved(language_id.predict(docs.select(F.struct("*").alias("doc"), "text", "lang"), model), "recognised")
-    return scored.filter(language_id.recognised(scored)).select("doc.*")
+    # The other columns travel as one, whatever they are called, and the text beside them once.
+    names = {name: f"c{k}" for k, name in enumerate(docs.columns) if name not in ("text", "lang")}
+    others = F.struct(F.lit(True).alias("there"), *[docs[f"`{name}`"].alias(c) for name, c in names.items()]).alias("doc")
+    scored = saved(language_id.predict(docs.select(others, "text", "lang"), model), "recognised")
+    return scored.filter(language_id.recognised(scored)).select(
+        *[F.col(f"doc.{names[name]}").alias(name) if name in names else F.col(name) for name in docs.columns]
+    )
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from .text import slices
 
 ORDER = 4
 PER_LANGUAGE = 400
+BLOCK = 1 << 16  # bytes looked up together
 UNKNOWN = "und"
 _EMPTY = np.uint64(2**64 - 1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +92,8 @@ def grams(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     key = np.zeros(n, np.uint64)
     for k in range(length):
-        key = (key << np.uint64(8)) | data[k : k + n]
+        key <<= np.uint64(8)
+        key |= data[k : k + n]
     inside = np.ones(len(data) + length, bool)
     for k in range(1, length):
         inside[offsets[:-1] + k - 1] = False  # the run would begin in an earlier row
@@ -209,11 +211,17 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
             starts = offsets[:-1][np.diff(offsets) >= length] + length - 1
             at = np.searchsorted(last, starts)
             key, last = key[at], last[at]
-        cost = lookup(model, key, length)
-        total = np.zeros((len(cost) + 1, cost.shape[1]))
-        np.cumsum(cost, axis=0, out=total[1:], dtype=np.float64)
+        # A block at a time, so that the arrays per byte and language stay small however long the rows are.
         edges = np.searchsorted(last, offsets)
-        bits += total[edges[1:]] - total[edges[:-1]]
+        sums = np.zeros((len(edges), len(model.languages)))
+        before = np.zeros(len(model.languages))
+        for low in range(0, len(key), BLOCK):
+            cost = lookup(model, key[low : low + BLOCK], length)
+            total = np.cumsum(np.concatenate([before[None], cost]), axis=0)
+            i, j = np.searchsorted(edges, low), np.searchsorted(edges, low + len(cost), "right")
+            sums[i:j] = total[edges[i:j] - low]
+            before = total[-1]
+        bits += sums[1:] - sums[:-1]
     return bits
 
 

@@ -280,6 +280,28 @@ def test_language_of_numbers_null_ids_and_shared_ids(spark):
     assert {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()} == {"de": 5, "en": 5}
 
 
+def test_code_lengths_of_a_slice_take_bounded_memory():
+    """Blocks give what whole rows give, and the arrays per byte and language are those of a block."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    gram = np.arange(97, 123).repeat(8)
+    model = language_id.build([f"l{k}" for k in range(8)], np.tile(np.arange(8), 26), np.ones(208, int), gram.astype(np.uint64), rng.integers(1, 9, 208))
+    data = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    offsets = np.concatenate([[0, 0, 1, 3], np.sort(rng.integers(4, len(data), 50)), [len(data) // 3 * 3, len(data)]])
+    offsets = np.sort(offsets)
+    tracemalloc.start()
+    bits = language_id.code_lengths(model, data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    for k in range(0, len(offsets) - 1, 7):
+        own = language_id.code_lengths(model, data[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k])
+        assert np.allclose(own[0], bits[k])
+
+
 def test_code_lengths_follow_the_definition():
     import numpy as np
 

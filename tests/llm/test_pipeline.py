@@ -47,6 +47,24 @@ def test_language_stage_rejects_by_code_length(spark):
     assert kept == {r[0] for r in rows + clean}
 
 
+def test_language_stage_sends_texts_once(spark, monkeypatch):
+    """Columns of any name and order come through, and no column but the text holds it."""
+    kept, saved = {}, corpus_pipeline.saved
+
+    def keep(df, purpose):
+        kept[purpose] = saved(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(corpus_pipeline, "saved", keep)
+    names = ["doc", "there", "c0", "score", "lang_pred", "a.b"]
+    rows = [("Der Fluss im Tal", k, *"pqrstu", "de") for k in range(20)] + [("die Boote", None, *[None] * 6, None)]
+    docs = spark.createDataFrame(rows, "text string, doc_id bigint, " + ", ".join(f"`{n}` string" for n in names) + ", lang string")
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert got.columns == docs.columns and multiset(tuple(r) for r in got.collect()) == multiset(rows)
+    assert "text" not in kept["recognised"].select("doc.*").columns
+    assert not any("Fluss" in str(r.doc) for r in kept["recognised"].collect())
+
+
 def test_exact_stage_keeps_columns_of_any_name(spark):
     names = ["_key", "_place", "key", "place", "doc"]
     rows = [(1, "A b", *"pqrst"), (2, "a b", *"uvwxy"), (2, "a b", *"uvwxy")]
