@@ -17,15 +17,15 @@ def components(links: DataFrame) -> DataFrame:
     state = saved(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    before = None
     while True:
-        mark = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == before:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
         both = state.unionAll(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below, above = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), below.alias("below"), above.alias("above"))
+        least = saved(least, "nodes")
+        # Done when every node has either one smaller neighbour, its root, or only larger ones: another step would change nothing.
+        if least.filter("below > 1 or below = 1 and above > 0").isEmpty():
+            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

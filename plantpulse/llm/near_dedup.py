@@ -139,22 +139,18 @@ def _ints(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def grow(members: DataFrame, level: int, threshold: float) -> DataFrame:
-    """(key, at) one level down; ``members`` has key, sketch and, below the roots, at."""
+def grow(members: DataFrame, threshold: float) -> DataFrame:
+    """(key, at) below the roots of all trees, of members (key, sketch)."""
 
     def work(batches):
         for batch in batches:
             keys, sketch = _ints(batch.column(0)), _matrix(batch.column(1))
-            if level:
-                jobs = [(_ints(batch.column(2)).view(np.uint64), None)]
-            else:
-                jobs = [(mixed(np.full(len(keys), t + 1, np.uint64)), np.full(len(keys), t)) for t in range(TREES)]
-            for at, tree in jobs:
-                member, child = children(at, level, tree, sketch, threshold)
+            for t in range(TREES):
+                at = mixed(np.full(len(keys), t + 1, np.uint64))
+                member, child = children(at, 0, np.full(len(keys), t), sketch, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[member]), pa.array(child.view(np.int64))], names=["key", "at"])
 
-    columns = ["key", "sketch"] + (["at"] if level else [])
-    return members.select(*columns).mapInArrow(work, "key bigint, at bigint")
+    return members.select("key", "sketch").mapInArrow(work, "key bigint, at bigint")
 
 
 def least_agreement(threshold: float) -> int:
@@ -162,15 +158,25 @@ def least_agreement(threshold: float) -> int:
     return math.floor(COORDINATES * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
 
 
-def with_agreement(rows: DataFrame) -> DataFrame:
-    """(key, at, pivot, agree) of rows (key, at, sketch, pivot, sp): how many coordinates agree with the pivot's."""
+def met_pivots(rows: DataFrame, level: int, threshold: float) -> DataFrame:
+    """(key, at, pivot, agree, one, two) of rows (key, at, sketch, pivot, sp): how many coordinates agree with the pivot's, and
+    the children the member has at ``level`` (``two`` is null where it has one), so that no sketch is looked up for them."""
 
     def work(batches):
         for batch in batches:
-            agree = (_matrix(batch.column(2)) == _matrix(batch.column(4))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3)), pa.array(agree.astype(np.int32))], names=["key", "at", "pivot", "agree"])
+            sketch = _matrix(batch.column(2))
+            agree = (sketch == _matrix(batch.column(4))).sum(axis=1)
+            member, child = children(_ints(batch.column(1)).view(np.uint64), level, None, sketch, threshold)
+            n = len(agree)  # every member comes once, then some a second time
+            two, alone = np.zeros(n, np.int64), np.ones(n, bool)
+            two[member[n:]], alone[member[n:]] = child[n:].view(np.int64), False
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in (0, 1, 3)), pa.array(agree.astype(np.int32)), pa.array(child[:n].view(np.int64)), pa.array(two, mask=alone)],
+                names=["key", "at", "pivot", "agree", "one", "two"],
+            )
 
-    return rows.select("key", "at", "sketch", "pivot", "sp").mapInArrow(work, "key bigint, at bigint, pivot bigint, agree int")
+    schema = "key bigint, at bigint, pivot bigint, agree int, one bigint, two bigint"
+    return rows.select("key", "at", "sketch", "pivot", "sp").mapInArrow(work, schema)
 
 
 def exhaustive_pairs(rows: DataFrame, least: int) -> DataFrame:
@@ -211,17 +217,19 @@ def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     least = least_agreement(threshold)
     sketches = classes.select("key", "sketch")
     pivot_sketches = sketches.withColumnsRenamed({"key": "pivot", "sketch": "sp"})
-    members, small, found, crowds = sketches, [], [], []
+    grown, small, found, crowds = grow(sketches, threshold), [], [], []
     for level in range(LEVELS):
-        rows = saved(grow(members, level, threshold), "tree-rows")
+        rows = saved(grown, "tree-rows")
         pivot = F.min(F.struct(F.xxhash64("key", "at").alias("h"), "key"))["key"].alias("pivot")
         nodes = saved(rows.groupBy("at").agg(F.count("*").alias("n"), pivot).filter("n > 1"), "tree-nodes")
         small.append(rows.join(nodes.filter(F.col("n") <= SMALL).select("at"), "at").select("key", "at"))
-        large = nodes.filter(F.col("n") > SMALL)
+        # The pivots' sketches are found for the nodes, of which there are few, and not for their members.
+        large = saved(nodes.filter(F.col("n") > SMALL).join(pivot_sketches, "pivot").select("at", "pivot", "sp"), "large-nodes")
         if large.isEmpty():
             break
-        met = rows.join(large.select("at", "pivot"), "at").join(sketches, "key").join(pivot_sketches, "pivot")
-        met = saved(with_agreement(met), "pivots")
+        # Narrow rows first: where they are few, Spark sends them to the sketches instead of dealing all sketches by key again.
+        held = saved(rows.join(large.select("at"), "at", "left_semi").select("key", "at"), "held")
+        met = saved(met_pivots(held.join(sketches, "key").join(large, "at"), level + 1, threshold), "pivots")
         pairs = met.filter((F.col("agree") >= least) & (F.col("key") != F.col("pivot")))
         found.append(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
         going = met.filter(F.col("key") != F.col("pivot"))  # the pivot has met all members
@@ -229,7 +237,8 @@ def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         bound = CLOSE * threshold * COORDINATES if level < LEVELS - 1 else 0
         crowded = saved(met.groupBy("at").agg(F.avg("agree").alias("mean")).filter(F.col("mean") >= bound).select("at"), "crowded")
         crowds.append(going.join(crowded, "at", "left_semi").select("key", "at"))
-        members = going.join(crowded, "at", "left_anti").select("key", "at").join(sketches, "key")
+        on = going.join(crowded, "at", "left_anti")
+        grown = on.select("key", F.explode(F.filter(F.array("one", "two"), lambda x: x.isNotNull())).alias("at"))
     out = exhaustive_pairs(reduce(DataFrame.unionAll, small).join(sketches, "key"), least)
     pairs = saved(reduce(DataFrame.unionAll, found, out).distinct(), "candidates")
     return pairs, saved(reduce(DataFrame.unionAll, crowds, rows.select("key", "at").limit(0)), "crowds")
