@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.times import span
 from ..operators.rollups import rollup
-from ..sources.tables import DAY, FoldedTable, _exists, swap_days, write_table
+from ..sources.tables import DAY, FoldedTable, _exists, on_days, swap_days, write_table
 
 SCHEMA = "bucket timestamp, site_id string, asset_id string, signal_id string, avg_value double, min_value double, max_value double"
 
@@ -54,7 +54,7 @@ class StoredRollup:
         renamed = changed.select(*[F.col(k).alias(f"_{k}") for k in keys])
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
         again = rollup(table.read(days), self.width).join(renamed, same, "left_semi")
-        kept = self._stored().filter(F.col(DAY).isin(days)).drop(DAY).join(renamed, same, "left_anti")
+        kept = self._stored().filter(on_days(days)).drop(DAY).join(renamed, same, "left_anti")
         write_table(kept.unionByName(again), self.staged_path, "bucket", only_days=False)
         swap_days(self.spark, self.staged_path, self.rows_path, self.schema, "bucket")
         return days

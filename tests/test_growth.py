@@ -1,11 +1,16 @@
 """What must not grow faster than the input: topics read, work per message, tasks per batch."""
 
-from datetime import datetime
+import time
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from plantpulse.operators.upsert import SPECS
 from plantpulse.plans import catalog, views
+from plantpulse.schemas import TABLES
 from plantpulse.session import configure
+from plantpulse.sources.tables import FoldedTable, on_days
 from plantpulse.streaming import features
 
 LINE = '{"eventId":"e%d","siteId":"s","assetId":"a","signalId":"v","quality":"good","ts_source":"2024-01-01T00:00:00Z",' \
@@ -82,3 +87,50 @@ def test_a_batch_of_some_ten_thousands_is_read_by_more_than_two_tasks(spark, tmp
     days = F.timestamp_seconds(F.lit(datetime(2024, 1, 1).timestamp()).cast("bigint") + F.col("id") % 30 * 86400)
     rows = spark.range(0, 480000, 1, 4).select("id", days.alias("timestamp"))
     assert catalog._Feed(views.Plant(spark, "nowhere"), rows, catalog.MONTH, "some").files == 4  # the parts of a shuffle, here
+
+
+def test_large_tables_stream_in_four_batches_of_several_files(spark, monkeypatch):
+    asked = []
+    stream = catalog.files.stream_files
+    monkeypatch.setattr(catalog.files, "stream_files", lambda s, path, schema, max_files: asked.append((path, max_files)) or stream(s, path, schema, max_files))
+    monkeypatch.setattr(catalog, "ROWS_A_FILE", 100)
+    plant = views.Plant(spark, "/root/testdata/sf0.001")
+    catalog._in_batches(plant, "orders")
+    (path, each), = asked
+    stored = spark.read.parquet(path)
+    assert each > 1 and len(stored.inputFiles()) == 4 * each
+    assert stored.exceptAll(plant.table("orders")).isEmpty() and stored.count() == plant.table("orders").count()
+
+
+def _table(spark, path):
+    return FoldedTable(spark, str(path), SPECS["model_scores"], TABLES["model_scores"], "bigint")
+
+
+def _scores(spark, days):
+    columns = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in StructType.fromDDL(TABLES["model_scores"]) if f.name not in ("ts_source", "asset_id")]
+    rows = spark.range(400).selectExpr(f"TIMESTAMP'2024-01-01' + make_dt_interval(id % {days}) AS ts_source", "string(id) AS asset_id", "id AS arrival", *columns)
+    return rows.coalesce(1)
+
+
+def test_a_batch_in_one_part_is_stored_by_several_tasks(spark, tmp_path):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        table = _table(spark, tmp_path)
+        table.append(_scores(spark, 3), 0)
+    finally:
+        spark.conf.set(name, before)
+    assert len(table.changes(0).inputFiles()) > 1 and table.changes(0).count() == 400
+
+
+def test_days_are_named_in_one_expression(spark, tmp_path):
+    table = _table(spark, tmp_path)
+    table.append(_scores(spark, 5), 0)
+    kept = table.read([date(2024, 1, 1), date(2024, 1, 4), None, date(1850, 1, 1)])
+    assert {r.ts_source.day for r in kept.select("ts_source").distinct().collect()} == {1, 4} and kept.count() == 160
+    assert table.read([]).count() == table.read([None]).count() == 0
+    many = [date(2000, 1, 1) + timedelta(k) for k in range(3000)]
+    began = time.monotonic()
+    on_days(many)
+    assert time.monotonic() - began < 1
