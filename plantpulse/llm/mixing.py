@@ -154,7 +154,9 @@ def mix(
     )
     slots = schedule(goal, block_words)
     low, high = F.col("turn") * block_words, F.col("turn") * block_words + F.col("words")
-    pieces = slots.join(spans, ["rank", "turn"]).select(
+    # Both sides have a row per block of the mix. The planner takes spans for as large as the stored file of ``rows``, packed and
+    # before the explodes, and would send all of them through the driver: they are dealt out whatever it reckons.
+    pieces = slots.join(spans.hint("merge"), ["rank", "turn"]).select(
         "slot", "row", (F.greatest("from", low) - F.col("from")).alias("first"),
         (F.least("to", high) - F.greatest("from", low)).alias("words"),
     )
