@@ -185,13 +185,16 @@ class FoldedTable:
 
         With ``days`` only the partitions of those days are read.
         """
-        base, changes = self._base(), self._changes(self._batches())
+        batches = self._batches()
+        base, changes = self._base(), self._changes(batches)
         if days is not None:
             base, changes = (rows.filter(on_days(days)) for rows in (base, changes))
         if _exists(self.spark, f"{self.staged_path}/_SUCCESS"):
             staged = self.spark.read.schema(base.schema).parquet(self.staged_path)
             staged = staged if days is None else staged.filter(on_days(days))
             base = base.join(staged.select(DAY).distinct(), DAY, "left_anti").unionByName(staged)
+        if not batches:
+            return base.select(*self.schema.names)  # folded already
         return merge(base, changes, self.spec).select(*self.schema.names)
 
     def compact(self) -> None:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,21 @@ ARRIVAL = "struct<timestamp:timestamp,partition:int,offset:bigint>"
 QUARANTINE = "quarantine struct<topic:string,partition:int,offset:bigint,reason:string,error:string,raw:string>"
 
 
+@contextmanager
+def _open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Writes by partition keep up to ``most`` files open in a task instead of sorting all rows by partition first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Ingest:
     """Tables under ``path`` and the batch step that feeds them.
 
@@ -39,11 +55,14 @@ class Ingest:
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Validate and store one batch: one job, whatever the number of tables."""
-        rows = routing.sorted_out(routing.check(batch), list(self.tables)).withColumn("batch", F.lit(batch_id))
-        (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-            .partitionBy("target", "batch").parquet(self.arrivals)
-        )
+        rows = routing.sorted_out(batch, list(self.tables)).withColumn("batch", F.lit(batch_id))
+        with _open_files(rows.sparkSession, len(self.tables) + 1):
+            (
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+                # Ids and payloads hardly repeat, and rows are read a few times only: dictionaries cost more than they spare.
+                .option("parquet.enable.dictionary", "false")
+                .partitionBy("target", "batch").parquet(self.arrivals)
+            )
         if self.after is not None:
             self.after(batch_id)
         if (batch_id + 1) % self.compact_every == 0:
